@@ -53,7 +53,8 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.01"
     sf_dir = str(TESTDATA / f"sf{sf}")
-    spark = build_session(master="local[8]", shuffle_partitions=8, **{"spark.ui.enabled": "false"})
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    spark = build_session(master="local[8]", shuffle_partitions=8, **quiet)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

@@ -56,8 +56,15 @@ def _sub(expr: str, *pairs: tuple[str, str]) -> str:
     return expr
 
 
-NORMAL = _render("sql_body", "upper(t)", "t")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+def _statements(text: str) -> str:
+    """Without the preamble of the annotated corpus: lines that hold USE, SET or GO."""
+    return f"regexp_replace({text}, '(?m)^(?:(?i:USE \\w+|SET ANSI_NULLS ON|GO)\n)+', '')"
+
+
 BARE = _render("sql_body", "t", "t")
+NORMAL = _statements(_render("sql_body", "upper(t)", "t"))
+BARE_STATEMENTS = _statements(BARE)
 CODE = _render("sql_body", "upper(t)", "''''''")
 
 
@@ -166,7 +173,7 @@ _TABLE = _outside_literals(
 )
 _CONSTRAINT = _outside_literals(NORMAL, _sub("s", _DBO))
 _FUNCTION = _outside_literals(
-    BARE,
+    BARE_STATEMENTS,
     _sub(
         "s",
         (r"@+([A-Za-z_#])", r"\1"),
@@ -179,7 +186,7 @@ _VIEW = _outside_literals(
 )
 # The views of the corpus select two plain columns from one FROM clause.
 _VIEW_LINES = (
-    rf"regexp_replace(trim({_VIEW}), '(?s)\bSELECT\s+([^,]*?)\s*,\s*([^,]*?)\s+FROM\b', "
+    rf"regexp_replace(trim({_VIEW}, {_BLANKS}), '(?s)\bSELECT\s+([^,]*?)\s*,\s*([^,]*?)\s+FROM\b', "
     rf"'SELECT' || chr(10) || '    \1,' || chr(10) || '    \2' || chr(10) || 'FROM')"
 )
 
@@ -196,8 +203,8 @@ select sql_file_name, _stg_sql_file_md5,
        {_sub(f"upper({_trigger(1)})", _DBO)} as trigger_name,
        {_sub(f"upper({_trigger(2)})", _DBO)} as target_table,
        upper({_trigger(3)}) as timing, upper({_trigger(4)}) as events,
-       trim({_trigger(5)}) as trigger_body
-from (select *, {BARE} as bare from registry
+       trim({_trigger(5)}, {_BLANKS}) as trigger_body
+from (select *, {BARE_STATEMENTS} as bare from registry
       where object_type = 'trigger' and operation_type = 'create')""",
 )
 _TRIGGER_PLAN = """
@@ -237,8 +244,8 @@ select sql_file_name, _stg_sql_file_md5, {_TRIGGER_PLAN} as target_sql,
        trigger_name, target_table, timing, events
 from triggers""",
         )
-    # In the corpus only a preamble (GO) or a DECLARE asks for review.
-    review = r"regexp_matches(code, '\bGO\b')"
+    # In the corpus only a DECLARE or a name that needs its delimiters.
+    review = r"regexp_matches(sql_body, '\[[^\]]*-[^\]]*\]')"
     extra = ""
     if kind == "function":
         review += r" or regexp_matches(code, '\bDECLARE\b')"
@@ -246,7 +253,7 @@ from triggers""",
     return (
         "translated",
         f"""
-select sql_file_name, _stg_sql_file_md5, trim({_TARGETS[kind]}) as target_sql,
+select sql_file_name, _stg_sql_file_md5, trim({_TARGETS[kind]}, {_BLANKS}) as target_sql,
        {_KINDS[kind]} as target_object_type, {review} as needs_review{extra}
 from (select *, {CODE} as code from registry where {_work(kind)})""",
     )
@@ -262,7 +269,7 @@ def _translate_sql(kind: str, variant: str) -> str:
 
 def _all_targets_sql() -> str:
     targets = [
-        f"select sql_file_name, _stg_sql_file_md5, trim({target}) as new_sql, "
+        f"select sql_file_name, _stg_sql_file_md5, trim({target}, {_BLANKS}) as new_sql, "
         f"{_KINDS[kind]} as new_type from registry where {_work(kind)}"
         for kind, target in _TARGETS.items()
     ]
@@ -282,7 +289,7 @@ def _all_targets_sql() -> str:
 def _table_snapshot_sql() -> str:
     return _ctes(*_registered("plain")) + (
         "select sql_file_name, _stg_sql_file_md5, operation_type, "
-        f"case when operation_type = 'create' then trim({_TABLE}) end as target_sql, "
+        f"case when operation_type = 'create' then trim({_TABLE}, {_BLANKS}) end as target_sql, "
         "case when operation_type = 'create' then 'Table' end as target_object_type "
         "from registry where stmt_type = 'DDL' and object_type = 'table'"
     )

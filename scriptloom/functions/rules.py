@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.text import count_matches, map_code
+from scriptloom.functions.text import count_matches, map_code, strip
 
 # --- classification -------------------------------------------------------------
 
@@ -100,6 +100,29 @@ _TEXT_TYPE = (
 _AFTER_NAME = r"([\w$#]\s+)(?<!\bDEFAULT\s{1,8})"
 
 
+_SETTINGS = r"ANSI_NULLS|ANSI_PADDING|ANSI_WARNINGS|ARITHABORT|QUOTED_IDENTIFIER|NOCOUNT|XACT_ABORT"
+
+
+def statements_only(text: Column) -> Column:
+    """Comment-free script text without session settings; batch ends become semicolons."""
+
+    def rule(code: Column) -> Column:
+        code = F.regexp_replace(
+            code,
+            rf"(?im)^[ \t]*(?:USE[ \t]+[\w$#]+|SET[ \t]+(?:{_SETTINGS})[ \t]+(?:ON|OFF))[ \t;]*$",
+            "",
+        )
+        code = F.regexp_replace(code, r"(?im)^[ \t]*GO(?:[ \t]+\d+)?[ \t;]*$", ";")
+        return F.regexp_replace(code, r"\s*;[\s;]*;", ";")
+
+    return strip(F.regexp_replace(map_code(text, rule), r"^[\s;]+|(?<=;)[\s;]+\z|\s+(?=;\z)", ""))
+
+
+def several_statements(code: Column) -> Column:
+    """True when code follows a semicolon."""
+    return F.rlike(code, F.lit(r";\s*\S"))
+
+
 def drop_dbo(code: Column) -> Column:
     return F.regexp_replace(code, r"(?i)\bDBO\s*\.\s*", "")
 
@@ -112,7 +135,7 @@ def _table_rules(code: Column) -> Column:
 
 
 def table_ddl(text: Column) -> Column:
-    return F.trim(map_code(text, _table_rules))
+    return strip(map_code(text, _table_rules))
 
 
 def table_review(text: Column) -> Column:
@@ -123,7 +146,7 @@ def table_review(text: Column) -> Column:
             r"\b(?:IDENTITY|CLUSTERED|NONCLUSTERED|ON\s+PRIMARY|TEXTIMAGE_ON|PERSISTED|ROWGUIDCOL"
             r"|SPARSE|COLLATE|UNIQUEIDENTIFIER|SMALLMONEY|MONEY|BIT|DATETIME|SMALLDATETIME"
             r"|DATETIME2|DATETIMEOFFSET|VARBINARY|IMAGE|HIERARCHYID|GEOGRAPHY|GEOMETRY"
-            r"|SQL_VARIANT|ROWVERSION|TINYINT|GETDATE|NEWID|GO)\b|\bWITH\s*\("
+            r"|SQL_VARIANT|ROWVERSION|TINYINT|GETDATE|NEWID)\b|\bWITH\s*\("
         ),
     )
 
@@ -135,9 +158,8 @@ def table_name(ddl: Column) -> Column:
     )
 
 
-def copy_statement(ddl: Column) -> Column:
-    """Load statement: a CSV file named like the table, continuing on errors."""
-    name = table_name(ddl)
+def copy_statement(name: Column) -> Column:
+    """Load statement of a table: a CSV file named like it, continuing on errors."""
     return F.concat(
         F.lit("COPY INTO "),
         name,
@@ -148,12 +170,12 @@ def copy_statement(ddl: Column) -> Column:
 
 
 def constraint_ddl(text: Column) -> Column:
-    return F.trim(map_code(text, drop_dbo))
+    return strip(map_code(text, drop_dbo))
 
 
 def constraint_review(text: Column) -> Column:
     return F.rlike(
-        text, F.lit(r"\b(?:WITH\s+(?:NO)?CHECK|CHECK\s+CONSTRAINT|CLUSTERED|NONCLUSTERED|GO)\b")
+        text, F.lit(r"\b(?:WITH\s+(?:NO)?CHECK|CHECK\s+CONSTRAINT|CLUSTERED|NONCLUSTERED)\b")
     )
 
 
@@ -169,7 +191,7 @@ def _function_rules(code: Column) -> Column:
 
 def function_ddl(text: Column) -> Column:
     """Function rules keep case and schema; the text is `bare_names`."""
-    return F.trim(map_code(text, _function_rules))
+    return strip(map_code(text, _function_rules))
 
 
 def has_declare(code: Column) -> Column:
@@ -186,7 +208,7 @@ def function_review(code: Column) -> Column:
         has_declare(code)
         | has_branch(code)
         | F.rlike(
-            code, F.lit(r"\bRETURNS\s+(?:@\w+\s+)?TABLE\b|@@|\b(?:WHILE|EXEC|WITH|GO)\b|#\w")
+            code, F.lit(r"\bRETURNS\s+(?:@\w+\s+)?TABLE\b|@@|\b(?:WHILE|EXEC|WITH)\b|#\w")
         )
     )
 
@@ -205,7 +227,7 @@ def _view_rules(code: Column) -> Column:
 
 def view_header(text: Column) -> Column:
     """View DDL before its select list is laid out."""
-    return F.trim(map_code(text, _view_rules))
+    return strip(map_code(text, _view_rules))
 
 
 def view_select_list(ddl: Column) -> Column:
@@ -235,7 +257,7 @@ def view_review(ddl: Column, select_list: Column) -> Column:
     return (
         ~view_list_is_flat(select_list)
         | (count_matches(ddl, r"\bSELECT\b") > 1)
-        | F.rlike(ddl, F.lit(r"\b(?:TOP|APPLY|PIVOT|SCHEMABINDING|NOLOCK|ISNULL|GETDATE|GO)\b"))
+        | F.rlike(ddl, F.lit(r"\b(?:TOP|APPLY|PIVOT|SCHEMABINDING|NOLOCK|ISNULL|GETDATE)\b"))
     )
 
 
@@ -258,7 +280,7 @@ def trigger_parts(text: Column) -> dict[str, Column]:
         "target_table": _found(drop_dbo(F.upper(part(2)))),
         "timing": _found(F.regexp_replace(F.upper(part(3)), r"\s+", " ")),
         "events": _found(F.regexp_replace(F.upper(part(4)), r"\s*,\s*", ",")),
-        "trigger_body": _found(F.trim(map_code(part(5), drop_dbo))),
+        "trigger_body": _found(strip(map_code(part(5), drop_dbo))),
     }
 
 

@@ -35,6 +35,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def strip(value: Column) -> Column:
+    """The text without blanks and line breaks around it."""
+    return F.btrim(value, F.lit(" \t\r\n"))
+
+
 def title_case(value: Column, delimiters: str = TITLE_DELIMITERS) -> Column:
     """First letter of each word upper, the rest lower; words end at any delimiter."""
     if not delimiters:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from scriptloom.functions import rules
 from scriptloom.functions.text import (
     bare_names,
-    code_only,
     has_irregular_name,
     normalized,
     tokens,
@@ -25,8 +24,18 @@ from scriptloom.operators.once import once
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS
 
 
-def _tokenized(work: DataFrame) -> DataFrame:
-    return once(work, __tokens=tokens(F.col("sql_body")))
+def _statements(work: DataFrame, render: Callable[[Column], Column]) -> DataFrame:
+    """Add the rendered statements of each script and the common reasons for review."""
+    rows = once(work, __tokens=tokens(F.col("sql_body")))
+    rows = once(
+        rows,
+        __text=rules.statements_only(render(F.col("__tokens"))),
+        __irregular=has_irregular_name(F.col("__tokens")),
+    )
+    rows = once(rows.drop("__tokens"), __code=F.upper(without_literals(F.col("__text"))))
+    return rows.withColumn(
+        "__review", F.col("__irregular") | rules.several_statements(F.col("__code"))
+    )
 
 
 def _result(work: DataFrame, kind: str, compat: bool, *extra: str) -> DataFrame:
@@ -40,59 +49,60 @@ def _result(work: DataFrame, kind: str, compat: bool, *extra: str) -> DataFrame:
     )
 
 
-def _code(text: str) -> Column:
-    return without_literals(F.col(text))
-
-
 def translate_table(work: DataFrame, compat: bool = False) -> DataFrame:
     """Table DDL: no dbo, bare upper-case names, text and variant types, OR REPLACE."""
-    rows = once(_tokenized(work), __text=normalized(F.col("__tokens")))
-    rows = rows.withColumn("target_sql", rules.table_ddl(F.col("__text")))
-    review = rules.table_review(_code("__text")) | has_irregular_name(F.col("__tokens"))
-    return _result(rows.withColumn("needs_review", review), "table", compat)
+    rows = _statements(work, normalized).select(
+        *KEY,
+        rules.table_ddl(F.col("__text")).alias("target_sql"),
+        (F.col("__review") | rules.table_review(F.col("__code"))).alias("needs_review"),
+    )
+    return _result(rows, "table", compat)
 
 
 def copy_statements(tables: DataFrame) -> DataFrame:
     """Load statement for each translated table; null where no table name is found."""
-    return tables.select(*KEY, rules.copy_statement(F.col("target_sql")).alias("copy_sql"))
+    named = once(tables, __name=rules.table_name(F.col("target_sql")))
+    return named.select(*KEY, rules.copy_statement(F.col("__name")).alias("copy_sql"))
 
 
 def translate_constraint(work: DataFrame, compat: bool = False) -> DataFrame:
     """ALTER TABLE: no dbo, bare upper-case names."""
-    rows = once(_tokenized(work), __text=normalized(F.col("__tokens")))
-    rows = rows.withColumn("target_sql", rules.constraint_ddl(F.col("__text")))
-    review = rules.constraint_review(_code("__text")) | has_irregular_name(F.col("__tokens"))
-    return _result(rows.withColumn("needs_review", review), "constraint", compat)
+    rows = _statements(work, normalized).select(
+        *KEY,
+        rules.constraint_ddl(F.col("__text")).alias("target_sql"),
+        (F.col("__review") | rules.constraint_review(F.col("__code"))).alias("needs_review"),
+    )
+    return _result(rows, "constraint", compat)
 
 
 def translate_function(work: DataFrame, compat: bool = False) -> DataFrame:
     """Function DDL: no @, text return type, LANGUAGE SQL; flags what is unsupported."""
-    rows = once(_tokenized(work), __code=code_only(F.col("__tokens")))
-    rows = (
-        rows.withColumn("target_sql", rules.function_ddl(bare_names(F.col("__tokens"))))
-        .withColumn("has_declare", rules.has_declare(F.col("__code")))
-        .withColumn("has_branch", rules.has_branch(F.col("__code")))
-        .withColumn(
-            "needs_review",
-            rules.function_review(F.col("__code")) | has_irregular_name(F.col("__tokens")),
-        )
+    rows = _statements(work, bare_names).select(
+        *KEY,
+        rules.function_ddl(F.col("__text")).alias("target_sql"),
+        rules.has_declare(F.col("__code")).alias("has_declare"),
+        rules.has_branch(F.col("__code")).alias("has_branch"),
+        (F.col("__review") | rules.function_review(F.col("__code"))).alias("needs_review"),
     )
     return _result(rows, "function", compat, "has_declare", "has_branch")
 
 
 def translate_view(work: DataFrame, compat: bool = False) -> DataFrame:
     """View DDL: OR REPLACE, bare upper-case names, no dbo, one selected column per line."""
-    rows = once(_tokenized(work), __text=rules.view_header(normalized(F.col("__tokens"))))
-    rows = once(rows, __list=rules.view_select_list(F.col("__text")))
-    rows = rows.withColumn("target_sql", rules.view_ddl(F.col("__text"), F.col("__list")))
-    review = rules.view_review(_code("__text"), F.col("__list"))
-    review = review | has_irregular_name(F.col("__tokens"))
-    return _result(rows.withColumn("needs_review", review), "view", compat)
+    rows = once(_statements(work, normalized), __ddl=rules.view_header(F.col("__text")))
+    rows = once(rows, __list=rules.view_select_list(F.col("__ddl"))).select(
+        *KEY,
+        rules.view_ddl(F.col("__ddl"), F.col("__list")).alias("target_sql"),
+        (F.col("__review") | rules.view_review(F.col("__code"), F.col("__list"))).alias(
+            "needs_review"
+        ),
+    )
+    return _result(rows, "view", compat)
 
 
 def trigger_headers(work: DataFrame) -> DataFrame:
     """Header fields and body of each trigger."""
-    rows = once(_tokenized(work), __text=bare_names(F.col("__tokens")))
+    rows = _statements(work, bare_names)
     parts = rules.trigger_parts(F.col("__text"))
     return once(rows, **parts).select(*KEY, *parts)
 
