@@ -33,7 +33,8 @@ _TOKEN = (
 
 def _render(body: str, code: str, literal: str) -> str:
     """Comments to a space, delimiters off; `code` and `literal` are over token t."""
-    name = code.replace("t", "t[2:length(t) - 1]") if code == "t" else "upper(t[2:length(t) - 1])"
+    name = "regexp_replace(t[2:length(t) - 1], '[^\\w]', '_', 'g')"
+    name = name if code == "t" else f"upper({name})"
     return (
         f"array_to_string(list_transform(regexp_extract_all({body}, '{_TOKEN}'), lambda t: "
         f"case when starts_with(t, '''') then {literal} "
@@ -482,6 +483,7 @@ def all_sql() -> dict[str, str]:
         "qualify row_number() over (partition by sql_file_name, md5 "
         "order by case when k % 5 = 0 then 0 else 1 end, path) = 1",
         "apply_translation": _all_targets_sql(),
+        "translate_registry": _all_targets_sql(),
         "apply_translation_snapshot": _table_snapshot_sql(),
         "object_type_stats": plain
         + "select upper(object_type[1]) || lower(object_type[2:]) as db_object_type, "

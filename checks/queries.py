@@ -27,7 +27,12 @@ from scriptloom.operators.ingest import (
 )
 from scriptloom.operators.sqlapi import SqlMemo
 from scriptloom.operators.stats import object_type_stats, stmt_type_stats
-from scriptloom.operators.translate import TRANSLATORS, copy_statements, trigger_headers
+from scriptloom.operators.translate import (
+    TRANSLATORS,
+    copy_statements,
+    translate_registry,
+    trigger_headers,
+)
 from scriptloom.operators.worklist import stored_worklist, worklist
 from scriptloom.schema import BATCH_LIMIT, KEY, PREVIEW_LIMIT, WORKLIST_KINDS, WORKLIST_LIMITS
 from scriptloom.session import work_dir
@@ -188,7 +193,16 @@ def translated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, translate in TRANSLATORS.items():
         part = translate(worklist(registry, kind)).select(*KEY, "target_sql", "target_object_type")
         updates = part if updates is None else updates.unionByName(part)
-    return apply_translation(registry, updates, BATCH_TS).select(
+    return _translation_report(apply_translation(registry, updates, BATCH_TS))
+
+
+def translated_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result without work lists: every row translated where it is."""
+    return _translation_report(translate_registry(_registry(spark, sf_dir), batch_ts=BATCH_TS))
+
+
+def _translation_report(registry: DataFrame) -> DataFrame:
+    return registry.select(
         *KEY,
         "stmt_type",
         "object_type",
@@ -419,6 +433,7 @@ def all_queries() -> dict[str, Query]:
         "registry_insert": inserted_registry,
         "apply_translation": translated_registry,
         "apply_translation_snapshot": translated_snapshot,
+        "translate_registry": translated_in_place,
         "object_type_stats": object_stats,
         "stmt_type_stats": stmt_stats,
         "copy_statement": copies,

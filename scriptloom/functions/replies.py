@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptloom.functions.rules import COMPLEXITY_LABELS
-from scriptloom.functions.text import word_count
+from scriptloom.functions.text import BLANKS, strip, word_count
 from scriptloom.schema import CLASS_KEYS
 
 _STRICT = {"allowSingleQuotes": "false"}
@@ -43,9 +43,9 @@ def classification_fault(reply: Column, fields: Column) -> Column:
 
 
 _SUMMARY = (
-    r"(?is)\bSummary\s*:\s*(.*?)\s*"
-    r"\bExpected\s+Output\s*:\s*(.*?)\s*"
-    r"\b(?:Query\s+)?Complexity\s*:\s*(.*?)\s*$"
+    r"(?is)\bSummary\s*:(.*?)"
+    r"\bExpected\s+Output\s*:(.*?)"
+    r"\b(?:Query\s+)?Complexity\s*:(.*)$"
 )
 
 # Fixed value: a summary must stay below this many words.
@@ -56,13 +56,13 @@ def summary_parts(reply: Column) -> dict[str, Column]:
     """The three labelled parts of a summary reply, null where missing or empty."""
 
     def part(group: int) -> Column:
-        text = F.regexp_extract(reply, _SUMMARY, group)
+        text = strip(F.regexp_extract(reply, _SUMMARY, group))
         return F.when(text != "", text)
 
     return {
         "summary": part(1),
         "expected_output": part(2),
-        "label": F.regexp_replace(part(3), r"[.\s]+$", ""),
+        "label": F.rtrim(part(3), F.lit(BLANKS + ".")),
     }
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptloom.functions.text import count_matches, map_code, strip
+from scriptloom.functions.text import BLANKS, count_matches, map_code, strip
 
 # --- classification -------------------------------------------------------------
 
 _ID = r'(?:\[[^\]]*\]|"[^"]*"|[\w$#@]+)'
-_NAME = rf"{_ID}(?:\s*\.\s*{_ID}){{0,3}}"
+_NAME = rf"{_ID}(?:\s*\.\s*{_ID}?){{0,3}}"
 _GAP = r"(?:\s|--[^\n]*|/\*.*?\*/)"
 # What may precede the statement proper in an exported script.
 _LEAD = rf"(?is)^(?:{_GAP}|;|GO\b|(?:USE|SET|PRINT|IF)\b[^\n;]*)*+"
@@ -113,9 +113,9 @@ def statements_only(text: Column) -> Column:
             "",
         )
         code = F.regexp_replace(code, r"(?im)^[ \t]*GO(?:[ \t]+\d+)?[ \t;]*$", ";")
-        return F.regexp_replace(code, r"\s*;[\s;]*;", ";")
+        return F.regexp_replace(code, r"(?<!\s)\s*;[\s;]*", ";\n")
 
-    return strip(F.regexp_replace(map_code(text, rule), r"^[\s;]+|(?<=;)[\s;]+\z|\s+(?=;\z)", ""))
+    return F.btrim(map_code(text, rule), F.lit(BLANKS + ";"))
 
 
 def several_statements(code: Column) -> Column:
@@ -216,7 +216,7 @@ def function_review(code: Column) -> Column:
 # Select list of a view: pieces between top-level commas. A piece may hold literals
 # and calls without nested parentheses.
 _PIECE = r"(?:'[^']*'|\([^()']*\)|[^,'()])++"
-_VIEW_PARTS = r"(?s)^(.*?\bSELECT\s+(?:DISTINCT\s+)?)(.*?)(\s+FROM\b.*)$"
+_VIEW_PARTS = r"(?s)^((?>.*?\bSELECT\b)(?:\s+DISTINCT\b)?)(.*?)((?<!\s)\s+FROM\b.*)$"
 
 
 def _view_rules(code: Column) -> Column:
@@ -241,14 +241,14 @@ def view_list_is_flat(select_list: Column) -> Column:
 def view_ddl(ddl: Column, select_list: Column) -> Column:
     """Put each column of a flat select list on its own line."""
     pieces = F.transform(
-        F.regexp_extract_all(select_list, F.lit(rf"(?s){_PIECE}"), F.lit(0)),
-        lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""),
+        F.regexp_extract_all(select_list, F.lit(rf"(?s){_PIECE}"), F.lit(0)), strip
     )
     laid_out = F.concat(
-        F.regexp_replace(F.regexp_extract(ddl, _VIEW_PARTS, 1), r"\s+$", ""),
+        F.regexp_extract(ddl, _VIEW_PARTS, 1),
         F.lit("\n    "),
         F.array_join(pieces, ",\n    "),
-        F.regexp_replace(F.regexp_extract(ddl, _VIEW_PARTS, 3), r"^\s+", "\n"),
+        F.lit("\n"),
+        strip(F.regexp_extract(ddl, _VIEW_PARTS, 3)),
     )
     return F.when(view_list_is_flat(select_list), laid_out).otherwise(ddl)
 
@@ -263,7 +263,7 @@ def view_review(ddl: Column, select_list: Column) -> Column:
 
 _TRIGGER = (
     rf"(?is)\bCREATE\s+(?:OR\s+ALTER\s+)?TRIGGER\s+({_NAME})\s+ON\s+({_NAME})\s+"
-    r"(?:WITH\s+[\w\s]+?\s+)?(AFTER|FOR|INSTEAD\s+OF)\s+"
+    r"(?:WITH(?:\s+[\w,]+){1,8}?\s+)?(AFTER|FOR|INSTEAD\s+OF)\s+"
     r"((?:INSERT|UPDATE|DELETE)(?:\s*,\s*(?:INSERT|UPDATE|DELETE))*)"
     r"(?:\s+NOT\s+FOR\s+REPLICATION)?\s+AS\b\s*(.*)$"
 )
@@ -309,7 +309,7 @@ _CODE_NAME = r"[\w$#]+(?:\s*\.\s*[\w$#]*){0,3}"
 _SOURCES = (
     rf"\b(?:FROM|JOIN)\s+({_CODE_NAME}(?:(?:\s+(?:AS\s+)?[\w$#]+)?\s*,\s*{_CODE_NAME})*+)"
 )
-_CTE = r"(?:\bWITH|,)\s*([\w$#]+)\s*(?:\([^()]*\))?\s*AS\s*\("
+_CTE = r"(?:\bWITH|,)\s*+([\w$#]+)\s*+(?:\([^()]*\)\s*+)?AS\s*+\("
 
 
 def source_names(code: Column) -> Column:

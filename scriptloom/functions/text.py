@@ -1,8 +1,8 @@
 """Text functions on columns.
 
-The scans over script text use patterns whose repeats are either single character
-classes or possessive, so that Java matches them in a loop: a script of any length
-is processed whole, with no deep recursion.
+The patterns for script text keep to repeats of single character classes, possessive
+groups and starting points that a failed attempt cannot revisit. A script of any
+length is processed whole, in time linear in it and without deep recursion.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ TOKEN = (
     r"(?s)'[^']*'?"
     r"|--[^\n]*"
     r"|/\*.*?(?:\*/|\z)"
-    r"|\[[^\]]*\]"
-    r'|"[^"]*"'
+    r"|\[[^\]]*\]?"
+    r'|"[^"]*"?'
     r"""|[^'"\[/-]+"""
     r"|."
 )
 
+BLANKS = " \t\r\n"
+
 # Marks around a bare name while tokens are glued; private-use characters.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
@@ -37,7 +39,7 @@ def base_name(path: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """The text without blanks and line breaks around it."""
-    return F.btrim(value, F.lit(" \t\r\n"))
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def title_case(value: Column, delimiters: str = TITLE_DELIMITERS) -> Column:
@@ -67,13 +69,21 @@ def _is_comment(token: Column) -> Column:
 
 
 def _is_delimited(token: Column) -> Column:
-    return (F.length(token) > 1) & (token.startswith("[") | token.startswith('"'))
+    closed = (token.startswith("[") & token.endswith("]")) | (
+        token.startswith('"') & token.endswith('"')
+    )
+    return closed & (F.length(token) > 1)
 
 
 def _undelimit(token: Column) -> Column:
     return token.substr(F.lit(2), F.length(token) - 2)
 
 
+def _regular(name: Column) -> Column:
+    """The name with an underscore for each character it could not have undelimited."""
+    return F.regexp_replace(name, r"[^\p{L}\p{N}_$#@]", "_")
+
+
 def _render(toks: Column, literal: Callable[[Column], Column], upper: bool) -> Column:
     """Glue tokens back: comments become a space, delimited names become bare ones."""
     fold = F.upper if upper else (lambda c: c)
@@ -82,7 +92,7 @@ def _render(toks: Column, literal: Callable[[Column], Column], upper: bool) -> C
         return (
             F.when(tok.startswith("'"), literal(tok))
             .when(_is_comment(tok), F.lit(" "))
-            .when(_is_delimited(tok), F.concat(F.lit(_OPEN), fold(_undelimit(tok)), F.lit(_CLOSE)))
+            .when(_is_delimited(tok), F.concat(F.lit(_OPEN), fold(_regular(_undelimit(tok))), F.lit(_CLOSE)))
             .otherwise(fold(tok))
         )
 

@@ -1,13 +1,15 @@
-"""Rule translation of work lists.
+"""Rule translation of scripts.
 
-Every translation keeps the key columns and adds `target_sql`, `target_object_type`
-and `needs_review`, true when the script uses something the rules leave alone.
-The key and these columns are what `apply_translation` takes.
+Every translation adds `target_sql`, `target_object_type` and `needs_review`, true when
+the script uses something the rules leave alone. One chain of expressions serves all
+kinds: with a constant kind the optimizer drops the branches of the others, with a kind
+per row the whole registry is translated in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,103 +23,118 @@ from scriptloom.functions.text import (
     without_literals,
 )
 from scriptloom.operators.once import once
-from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS
+from scriptloom.schema import (
+    COMPAT_TARGET_KINDS,
+    KEY,
+    REGISTRY_COLUMNS,
+    TARGET_KINDS,
+    WORKLIST_KINDS,
+)
+
+# Kinds whose rules keep the case of names.
+_KEEP_CASE = ["function", "trigger"]
+
+_TRIGGER_FIELDS = ["trigger_name", "target_table", "timing", "events", "trigger_body"]
 
 
-def _statements(work: DataFrame, render: Callable[[Column], Column]) -> DataFrame:
-    """Add the rendered statements of each script and the common reasons for review."""
-    rows = once(work, __tokens=tokens(F.col("sql_body")))
+def _case(kind: Column, branches: dict[str, Column]) -> Column:
+    chosen = F.lit(None)
+    for name, value in branches.items():
+        chosen = F.when(kind == name, value).otherwise(chosen)
+    return chosen
+
+
+def _statements(rows: DataFrame, kind: Column) -> DataFrame:
+    """Add `__text`, the script's statements, `__code`, the same without literals, upper
+    case, and `__irregular`. All three are null for rows without a kind."""
+    rows = once(rows, __tokens=F.when(kind.isNotNull(), tokens(F.col("sql_body"))))
+    toks = F.col("__tokens")
+    text = F.when(kind.isin(_KEEP_CASE), bare_names(toks)).otherwise(normalized(toks))
     rows = once(
-        rows,
-        __text=rules.statements_only(render(F.col("__tokens"))),
-        __irregular=has_irregular_name(F.col("__tokens")),
+        rows, __text=rules.statements_only(text), __irregular=has_irregular_name(toks)
+    ).drop("__tokens")
+    return once(rows, __code=F.upper(without_literals(F.col("__text"))))
+
+
+def _with_trigger_parts(rows: DataFrame, kind: Column) -> DataFrame:
+    parts = rules.trigger_parts(F.col("__text"))
+    return once(
+        rows, **{name: F.when(kind == "trigger", parts[name]) for name in _TRIGGER_FIELDS}
     )
-    rows = once(rows.drop("__tokens"), __code=F.upper(without_literals(F.col("__text"))))
-    return rows.withColumn(
-        "__review", F.col("__irregular") | rules.several_statements(F.col("__code"))
+
+
+def _translated(rows: DataFrame, kind: Column, compat: bool) -> DataFrame:
+    """Add the translation columns to rows that have `sql_body`; `kind` may be null."""
+    rows = _with_trigger_parts(_statements(rows, kind), kind)
+    text, code = F.col("__text"), F.col("__code")
+    rows = once(rows, __ddl=F.when(kind == "view", rules.view_header(text)))
+    rows = once(rows, __list=rules.view_select_list(F.col("__ddl")))
+    targets = {
+        "table": rules.table_ddl(text),
+        "constraint": rules.constraint_ddl(text),
+        "function": rules.function_ddl(text),
+        "view": rules.view_ddl(F.col("__ddl"), F.col("__list")),
+        "trigger": rules.trigger_plan(
+            F.col("trigger_name"), F.col("target_table"), F.col("events"), F.col("trigger_body")
+        ),
+    }
+    # A trigger always needs review: its body stays as it is, and a task runs on a schedule.
+    reviews = {
+        "table": rules.table_review(code),
+        "constraint": rules.constraint_review(code),
+        "function": rules.function_review(code),
+        "view": rules.view_review(code, F.col("__list")),
+        "trigger": F.lit(True),
+    }
+    target_kinds = COMPAT_TARGET_KINDS if compat else TARGET_KINDS
+    review = F.col("__irregular") | rules.several_statements(code) | _case(kind, reviews)
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("__") or c == "__kind"],
+        _case(kind, targets).cast("string").alias("new_sql"),
+        _case(kind, {k: F.lit(v) for k, v in target_kinds.items()})
+        .cast("string")
+        .alias("new_type"),
+        review.alias("needs_review"),
+        rules.has_declare(code).alias("has_declare"),
+        rules.has_branch(code).alias("has_branch"),
     )
 
 
-def _result(work: DataFrame, kind: str, compat: bool, *extra: str) -> DataFrame:
-    target_kind = (COMPAT_TARGET_KINDS if compat else TARGET_KINDS)[kind]
-    return work.select(
+def _from_worklist(work: DataFrame, kind: str, compat: bool, *extra: str) -> DataFrame:
+    return _translated(work, F.lit(kind), compat).select(
         *KEY,
-        "target_sql",
-        F.lit(target_kind).cast("string").alias("target_object_type"),
-        "needs_review",
+        F.col("new_sql").alias("target_sql"),
+        F.col("new_type").alias("target_object_type"),
+        F.coalesce("needs_review", F.lit(True)).alias("needs_review"),
         *extra,
     )
 
 
 def translate_table(work: DataFrame, compat: bool = False) -> DataFrame:
     """Table DDL: no dbo, bare upper-case names, text and variant types, OR REPLACE."""
-    rows = _statements(work, normalized).select(
-        *KEY,
-        rules.table_ddl(F.col("__text")).alias("target_sql"),
-        (F.col("__review") | rules.table_review(F.col("__code"))).alias("needs_review"),
-    )
-    return _result(rows, "table", compat)
-
-
-def copy_statements(tables: DataFrame) -> DataFrame:
-    """Load statement for each translated table; null where no table name is found."""
-    named = once(tables, __name=rules.table_name(F.col("target_sql")))
-    return named.select(*KEY, rules.copy_statement(F.col("__name")).alias("copy_sql"))
+    return _from_worklist(work, "table", compat)
 
 
 def translate_constraint(work: DataFrame, compat: bool = False) -> DataFrame:
     """ALTER TABLE: no dbo, bare upper-case names."""
-    rows = _statements(work, normalized).select(
-        *KEY,
-        rules.constraint_ddl(F.col("__text")).alias("target_sql"),
-        (F.col("__review") | rules.constraint_review(F.col("__code"))).alias("needs_review"),
-    )
-    return _result(rows, "constraint", compat)
+    return _from_worklist(work, "constraint", compat)
 
 
 def translate_function(work: DataFrame, compat: bool = False) -> DataFrame:
     """Function DDL: no @, text return type, LANGUAGE SQL; flags what is unsupported."""
-    rows = _statements(work, bare_names).select(
-        *KEY,
-        rules.function_ddl(F.col("__text")).alias("target_sql"),
-        rules.has_declare(F.col("__code")).alias("has_declare"),
-        rules.has_branch(F.col("__code")).alias("has_branch"),
-        (F.col("__review") | rules.function_review(F.col("__code"))).alias("needs_review"),
-    )
-    return _result(rows, "function", compat, "has_declare", "has_branch")
+    return _from_worklist(work, "function", compat, "has_declare", "has_branch")
 
 
 def translate_view(work: DataFrame, compat: bool = False) -> DataFrame:
     """View DDL: OR REPLACE, bare upper-case names, no dbo, one selected column per line."""
-    rows = once(_statements(work, normalized), __ddl=rules.view_header(F.col("__text")))
-    rows = once(rows, __list=rules.view_select_list(F.col("__ddl"))).select(
-        *KEY,
-        rules.view_ddl(F.col("__ddl"), F.col("__list")).alias("target_sql"),
-        (F.col("__review") | rules.view_review(F.col("__code"), F.col("__list"))).alias(
-            "needs_review"
-        ),
-    )
-    return _result(rows, "view", compat)
-
-
-def trigger_headers(work: DataFrame) -> DataFrame:
-    """Header fields and body of each trigger."""
-    rows = _statements(work, bare_names)
-    parts = rules.trigger_parts(F.col("__text"))
-    return once(rows, **parts).select(*KEY, *parts)
+    return _from_worklist(work, "view", compat)
 
 
 def translate_trigger(work: DataFrame, compat: bool = False) -> DataFrame:
-    """Trigger: a procedure with the body as it stands, then a task that calls it.
-
-    Always for review: the body is not translated, and a task runs on a schedule.
-    """
-    rows = trigger_headers(work)
-    plan = rules.trigger_plan(
-        F.col("trigger_name"), F.col("target_table"), F.col("events"), F.col("trigger_body")
+    """Trigger: a procedure with the body as it stands, then a task that calls it."""
+    return _from_worklist(
+        work, "trigger", compat, "trigger_name", "target_table", "timing", "events"
     )
-    rows = rows.withColumn("target_sql", plan).withColumn("needs_review", F.lit(True))
-    return _result(rows, "trigger", compat, "trigger_name", "target_table", "timing", "events")
 
 
 TRANSLATORS: dict[str, Callable[..., DataFrame]] = {
@@ -127,3 +144,53 @@ TRANSLATORS: dict[str, Callable[..., DataFrame]] = {
     "trigger": translate_trigger,
     "constraint": translate_constraint,
 }
+
+
+def trigger_headers(work: DataFrame) -> DataFrame:
+    """Header fields and body of each trigger."""
+    kind = F.lit("trigger")
+    return _with_trigger_parts(_statements(work, kind), kind).select(*KEY, *_TRIGGER_FIELDS)
+
+
+def copy_statements(tables: DataFrame) -> DataFrame:
+    """Load statement for each translated table; null where no table name is found."""
+    named = once(tables, __name=rules.table_name(F.col("target_sql")))
+    return named.select(*KEY, rules.copy_statement(F.col("__name")).alias("copy_sql"))
+
+
+def translate_registry(
+    registry: DataFrame,
+    kinds: list[str] | None = None,
+    compat: bool = False,
+    batch_ts: datetime | None = None,
+) -> DataFrame:
+    """The registry with every script of the given kinds translated where it is.
+
+    A rule translation depends on nothing but its own row, so unlike
+    `apply_translation` this needs no join and no shuffle.
+    """
+    kind = F.lit(None).cast("string")
+    for name in kinds or list(WORKLIST_KINDS):
+        object_type, operation_type = WORKLIST_KINDS[name]
+        is_kind = (
+            (F.col("stmt_type") == "DDL")
+            & (F.col("object_type") == object_type)
+            & (F.col("operation_type") == operation_type)
+        )
+        kind = F.when(is_kind, name).otherwise(kind)
+    rows = _translated(once(registry, __kind=kind), F.col("__kind"), compat)
+    stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
+    changed = {
+        "target_sql": F.col("new_sql"),
+        "target_object_type": F.col("new_type"),
+        "updated_ts": stamp,
+    }
+    is_changed = F.col("__kind").isNotNull()
+    return rows.select(
+        *[
+            F.when(is_changed, changed[c]).otherwise(F.col(c)).alias(c)
+            if c in changed
+            else F.col(c)
+            for c in REGISTRY_COLUMNS
+        ]
+    )
