@@ -86,6 +86,13 @@ def _registry(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataF
     return registry_rows(first_per_key(usable(parsed).drop("k")))
 
 
+def _stored_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, for queries that read it more than once."""
+    root = work_dir(spark, "registry")
+    write_snapshot(_registry(spark, sf_dir), root)
+    return read_registry(spark, root)
+
+
 def _translated(spark: SparkSession, sf_dir: str, kind: str, variant: str) -> DataFrame:
     return TRANSLATORS[kind](worklist(_registry(spark, sf_dir, variant), kind))
 
@@ -188,7 +195,7 @@ def inserted_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All translations of all work lists written back to the registry."""
-    registry = _registry(spark, sf_dir)
+    registry = _stored_registry(spark, sf_dir)
     updates = None
     for kind, translate in TRANSLATORS.items():
         part = translate(worklist(registry, kind)).select(*KEY, "target_sql", "target_object_type")

@@ -32,13 +32,13 @@ def message_piece(role: Column, text: Column) -> Column:
 def chat_lengths(
     history: DataFrame, count_units: Callable[[Column], Column] = word_count
 ) -> DataFrame:
-    """Messages and prompt length of each conversation.
+    """Messages and prompt length of each conversation; rows without an id belong to none.
 
     The prompt is its pieces on separate lines, so the lengths of the pieces add up;
     `count_units` must have that property. The closing assistant tag adds its own.
     """
     units = count_units(message_piece(F.col("role"), F.col("text")))
-    return history.groupBy("conv_id").agg(
+    return history.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
         (F.sum(units) + count_units(F.lit(START + "assistant\n"))).alias("n_units"),
     )
@@ -71,7 +71,9 @@ def chat_prompt(
         lengths.where("refused").orderBy(F.col("n_turns").desc()).limit(_OVERLONG).select("conv_id")
     )
     kept = history.join(F.broadcast(overlong), "conv_id", "left_anti")
-    accepted = lengths.where(~F.col("refused")).select("conv_id")
+    # Naming the turn count keeps all three uses of the lengths the same aggregate, whose
+    # shuffle output Spark then computes once and reuses.
+    accepted = lengths.where(~F.col("refused") & (F.col("n_turns") > 0)).select("conv_id")
     piece = message_piece(F.col("role"), F.col("text")).alias("piece")
     pieces = F.array_sort(F.collect_list(F.struct("turn", piece)))
     prompts = (

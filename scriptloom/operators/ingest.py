@@ -18,18 +18,26 @@ from scriptloom.schema import (
 )
 
 
+# Columns as long as a script: aggregated apart, so that a query which does not use
+# them does not carry them through the shuffle either.
+_LONG = ["sql_body", "response"]
+
+
 def first_per_key(scripts: DataFrame) -> DataFrame:
     """One script per file name and content hash: the first by path.
 
     An aggregate rather than a ranking window: copies collapse in the map tasks, so a
     key that a third of all rows share sends one row per task through the shuffle.
     """
-    rest = [c for c in scripts.columns if c not in ("sql_file_name", "md5", "path")]
-    first = F.min(F.struct("path", *rest)).alias("first")
+    long = [c for c in scripts.columns if c in _LONG]
+    short = [c for c in scripts.columns if c not in ("sql_file_name", "md5", "path", *long)]
     return (
         scripts.groupBy("sql_file_name", "md5")
-        .agg(first)
-        .select("sql_file_name", "md5", "first.*")
+        .agg(
+            F.min(F.struct("path", *short)).alias("first"),
+            *[F.min_by(c, "path").alias(c) for c in long],
+        )
+        .select("sql_file_name", "md5", "first.*", *long)
         .select(*scripts.columns)
     )
 

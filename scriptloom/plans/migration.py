@@ -23,9 +23,12 @@ def migrate_all(
     compat: bool = False,
     batch_ts: datetime | None = None,
 ) -> int:
-    """Translate every script of the kinds by rules and write the next version."""
+    """Translate every script of the kinds by rules and write the next version.
+
+    One pass from files to files without a shuffle.
+    """
     rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts)
-    return write_snapshot(rows, registry)
+    return write_snapshot(rows, registry, rebalance=False)
 
 
 def migrate_worklist(

@@ -88,34 +88,34 @@ def read_registry(
     return rows.select(*REGISTRY_COLUMNS)
 
 
-def _write(rows: DataFrame, path: str, mode: str) -> None:
+def _write(rows: DataFrame, path: str, mode: str, rebalance: bool) -> None:
     laid_out = rows.select(
         *REGISTRY_COLUMNS,
         _folder(F.col("stmt_type"), _STMT_FOLDERS).alias("part_stmt"),
         _folder(F.col("object_type"), _OBJECT_FOLDERS).alias("part_object"),
     )
-    # Rebalancing sizes the files per folder and splits a folder that holds most rows.
-    laid_out.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    if rebalance:
+        # Sizes the files per folder and splits a folder that holds most rows (by AQE).
+        laid_out = laid_out.hint("rebalance", *PARTITIONS)
+    laid_out.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def registry_insert(rows: DataFrame, root: str) -> int:
     """Append rows to the latest version (the first insert creates it)."""
     version = latest_version(rows.sparkSession, root)
     version = 0 if version is None else version
-    _write(rows, f"{root}/v={version}", "append")
+    _write(rows, f"{root}/v={version}", "append", rebalance=True)
     return version
 
 
-def write_snapshot(rows: DataFrame, root: str) -> int:
-    """Write a full registry as the next version."""
+def write_snapshot(rows: DataFrame, root: str, rebalance: bool = True) -> int:
+    """Write a full registry as the next version.
+
+    Rows that were read from a version and not shuffled since come folder by folder;
+    they need no rebalancing.
+    """
     version = latest_version(rows.sparkSession, root)
     version = 0 if version is None else version + 1
     # Overwrites only what a failed attempt at this same version left behind.
-    _write(rows, f"{root}/v={version}", "overwrite")
+    _write(rows, f"{root}/v={version}", "overwrite", rebalance)
     return version
-
-
-def known_keys(registry: DataFrame) -> DataFrame:
-    return registry.select("sql_file_name", "_stg_sql_file_md5")
-
-

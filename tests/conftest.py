@@ -42,3 +42,15 @@ def values():
         return [tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in rows]
 
     return collect
+
+
+@pytest.fixture
+def plan():
+    """Formatted physical plan of a frame."""
+
+    def explain(frame):
+        jvm = frame.sparkSession._jvm
+        mode = jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        return frame._jdf.queryExecution().explainString(mode)
+
+    return explain
