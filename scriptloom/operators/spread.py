@@ -1,0 +1,16 @@
+"""Parallelism for compact inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all slots of the session when its files make fewer partitions.
+
+    Text work costs far more than the bytes of a compact file suggest. A scan with
+    enough partitions is left as it is, so large inputs are not shuffled. `scan` must
+    come straight from files: counting its partitions then runs nothing.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan

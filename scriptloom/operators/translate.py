@@ -1,9 +1,8 @@
 """Rule translation of scripts.
 
 Every translation adds `target_sql`, `target_object_type` and `needs_review`, true when
-the script uses something the rules leave alone. One chain of expressions serves all
-kinds: with a constant kind the optimizer drops the branches of the others, with a kind
-per row the whole registry is translated in one pass.
+the script uses something the rules leave alone. One chain of expressions serves a work
+list of one kind as well as the whole registry, whose kinds are translated in one pass.
 """
 
 from __future__ import annotations
@@ -38,18 +37,25 @@ _TRIGGER_FIELDS = ["trigger_name", "target_table", "timing", "events", "trigger_
 
 
 def _case(kind: Column, branches: dict[str, Column]) -> Column:
+    if len(branches) == 1:
+        return next(iter(branches.values()))
     chosen = F.lit(None)
     for name, value in branches.items():
         chosen = F.when(kind == name, value).otherwise(chosen)
     return chosen
 
 
-def _statements(rows: DataFrame, kind: Column) -> DataFrame:
+def _statements(rows: DataFrame, kinds: list[str], kind: Column) -> DataFrame:
     """Add `__text`, the script's statements, `__code`, the same without literals, upper
     case, and `__irregular`. All three are null for rows without a kind."""
     rows = once(rows, __tokens=F.when(kind.isNotNull(), tokens(F.col("sql_body"))))
     toks = F.col("__tokens")
-    text = F.when(kind.isin(_KEEP_CASE), bare_names(toks)).otherwise(normalized(toks))
+    if set(kinds) <= set(_KEEP_CASE):
+        text = bare_names(toks)
+    elif not set(kinds) & set(_KEEP_CASE):
+        text = normalized(toks)
+    else:
+        text = F.when(kind.isin(_KEEP_CASE), bare_names(toks)).otherwise(normalized(toks))
     rows = once(
         rows, __text=rules.statements_only(text), __irregular=has_irregular_name(toks)
     ).drop("__tokens")
@@ -63,50 +69,61 @@ def _with_trigger_parts(rows: DataFrame, kind: Column) -> DataFrame:
     )
 
 
-def _translated(rows: DataFrame, kind: Column, compat: bool) -> DataFrame:
-    """Add the translation columns to rows that have `sql_body`; `kind` may be null."""
-    rows = _with_trigger_parts(_statements(rows, kind), kind)
+def _with_view_parts(rows: DataFrame, kind: Column) -> DataFrame:
+    rows = once(rows, __ddl=F.when(kind == "view", rules.view_header(F.col("__text"))))
+    return once(rows, __list=rules.view_select_list(F.col("__ddl")))
+
+
+def _target(kind: str) -> tuple[Column, Column]:
+    """Target SQL of a kind and what in it asks for review."""
     text, code = F.col("__text"), F.col("__code")
-    rows = once(rows, __ddl=F.when(kind == "view", rules.view_header(text)))
-    rows = once(rows, __list=rules.view_select_list(F.col("__ddl")))
-    targets = {
-        "table": rules.table_ddl(text),
-        "constraint": rules.constraint_ddl(text),
-        "function": rules.function_ddl(text),
-        "view": rules.view_ddl(F.col("__ddl"), F.col("__list")),
-        "trigger": rules.trigger_plan(
-            F.col("trigger_name"), F.col("target_table"), F.col("events"), F.col("trigger_body")
-        ),
-    }
-    # A trigger always needs review: its body stays as it is, and a task runs on a schedule.
-    reviews = {
-        "table": rules.table_review(code),
-        "constraint": rules.constraint_review(code),
-        "function": rules.function_review(code),
-        "view": rules.view_review(code, F.col("__list")),
-        "trigger": F.lit(True),
-    }
-    target_kinds = COMPAT_TARGET_KINDS if compat else TARGET_KINDS
-    review = F.col("__irregular") | rules.several_statements(code) | _case(kind, reviews)
-    return rows.select(
-        *[c for c in rows.columns if not c.startswith("__") or c == "__kind"],
-        _case(kind, targets).cast("string").alias("new_sql"),
-        _case(kind, {k: F.lit(v) for k, v in target_kinds.items()})
-        .cast("string")
-        .alias("new_type"),
-        review.alias("needs_review"),
-        rules.has_declare(code).alias("has_declare"),
-        rules.has_branch(code).alias("has_branch"),
+    if kind == "table":
+        return rules.table_ddl(text), rules.table_review(code)
+    if kind == "constraint":
+        return rules.constraint_ddl(text), rules.constraint_review(code)
+    if kind == "function":
+        return rules.function_ddl(text), rules.function_review(code)
+    if kind == "view":
+        select_list = F.col("__list")
+        return rules.view_ddl(F.col("__ddl"), select_list), rules.view_review(code, select_list)
+    # A trigger's body stays as it is, and its task runs on a schedule.
+    fields = [F.col(c) for c in ("trigger_name", "target_table", "events", "trigger_body")]
+    return rules.trigger_plan(*fields), F.lit(True)
+
+
+def _translated(rows: DataFrame, kinds: list[str], kind: Column, compat: bool) -> DataFrame:
+    """Add the translation columns to rows that have `sql_body`.
+
+    `kind` is each row's kind out of `kinds`, or null for a row to be left alone.
+    """
+    rows = _statements(rows, kinds, kind)
+    if "trigger" in kinds:
+        rows = _with_trigger_parts(rows, kind)
+    if "view" in kinds:
+        rows = _with_view_parts(rows, kind)
+    found = {name: _target(name) for name in kinds}
+    names = COMPAT_TARGET_KINDS if compat else TARGET_KINDS
+    review = (
+        F.col("__irregular")
+        | rules.several_statements(F.col("__code"))
+        | _case(kind, {name: review for name, (_, review) in found.items()})
+    )
+    return rows.withColumns(
+        {
+            "new_sql": _case(kind, {name: sql for name, (sql, _) in found.items()}).cast("string"),
+            "new_type": _case(kind, {name: F.lit(names[name]) for name in kinds}).cast("string"),
+            "needs_review": F.coalesce(review, F.lit(True)),
+        }
     )
 
 
-def _from_worklist(work: DataFrame, kind: str, compat: bool, *extra: str) -> DataFrame:
-    return _translated(work, F.lit(kind), compat).select(
+def _from_worklist(work: DataFrame, kind: str, compat: bool, **extra: Column) -> DataFrame:
+    return _translated(work, [kind], F.lit(kind), compat).select(
         *KEY,
         F.col("new_sql").alias("target_sql"),
         F.col("new_type").alias("target_object_type"),
-        F.coalesce("needs_review", F.lit(True)).alias("needs_review"),
-        *extra,
+        "needs_review",
+        *[column.alias(name) for name, column in extra.items()],
     )
 
 
@@ -122,7 +139,14 @@ def translate_constraint(work: DataFrame, compat: bool = False) -> DataFrame:
 
 def translate_function(work: DataFrame, compat: bool = False) -> DataFrame:
     """Function DDL: no @, text return type, LANGUAGE SQL; flags what is unsupported."""
-    return _from_worklist(work, "function", compat, "has_declare", "has_branch")
+    code = F.col("__code")
+    return _from_worklist(
+        work,
+        "function",
+        compat,
+        has_declare=rules.has_declare(code),
+        has_branch=rules.has_branch(code),
+    )
 
 
 def translate_view(work: DataFrame, compat: bool = False) -> DataFrame:
@@ -132,9 +156,8 @@ def translate_view(work: DataFrame, compat: bool = False) -> DataFrame:
 
 def translate_trigger(work: DataFrame, compat: bool = False) -> DataFrame:
     """Trigger: a procedure with the body as it stands, then a task that calls it."""
-    return _from_worklist(
-        work, "trigger", compat, "trigger_name", "target_table", "timing", "events"
-    )
+    fields = {c: F.col(c) for c in ("trigger_name", "target_table", "timing", "events")}
+    return _from_worklist(work, "trigger", compat, **fields)
 
 
 TRANSLATORS: dict[str, Callable[..., DataFrame]] = {
@@ -149,7 +172,7 @@ TRANSLATORS: dict[str, Callable[..., DataFrame]] = {
 def trigger_headers(work: DataFrame) -> DataFrame:
     """Header fields and body of each trigger."""
     kind = F.lit("trigger")
-    return _with_trigger_parts(_statements(work, kind), kind).select(*KEY, *_TRIGGER_FIELDS)
+    return _with_trigger_parts(_statements(work, ["trigger"], kind), kind).select(*KEY, *_TRIGGER_FIELDS)
 
 
 def copy_statements(tables: DataFrame) -> DataFrame:
@@ -169,8 +192,9 @@ def translate_registry(
     A rule translation depends on nothing but its own row, so unlike
     `apply_translation` this needs no join and no shuffle.
     """
+    kinds = kinds or list(WORKLIST_KINDS)
     kind = F.lit(None).cast("string")
-    for name in kinds or list(WORKLIST_KINDS):
+    for name in kinds:
         object_type, operation_type = WORKLIST_KINDS[name]
         is_kind = (
             (F.col("stmt_type") == "DDL")
@@ -178,7 +202,7 @@ def translate_registry(
             & (F.col("operation_type") == operation_type)
         )
         kind = F.when(is_kind, name).otherwise(kind)
-    rows = _translated(once(registry, __kind=kind), F.col("__kind"), compat)
+    rows = _translated(once(registry, __kind=kind), kinds, F.col("__kind"), compat)
     stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
     changed = {
         "target_sql": F.col("new_sql"),

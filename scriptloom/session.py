@@ -27,6 +27,8 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Do not look up the call site of each of the many column expressions.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         # Script bodies are wide: keep Arrow batches small in rows.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         # Scripts are small files: pack thousands of them into one scan task.
