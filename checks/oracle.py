@@ -482,6 +482,22 @@ def all_sql() -> dict[str, str]:
         "null::varchar as target_sql, null::varchar as target_object_type from good "
         "qualify row_number() over (partition by sql_file_name, md5 "
         "order by case when k % 5 = 0 then 0 else 1 end, path) = 1",
+        "registry_scan": _ctes(*_registered("plain"))
+        + "select sql_file_name, _stg_sql_file_md5, _stg_sql_file_name, sql_body, "
+        "completion_response, stmt_type, object_type, operation_type, schema_name, object_name "
+        "from registry",
+        "complete_translation": _ctes(*_registered("plain"))
+        + "select sql_file_name, _stg_sql_file_md5, digest as target_sql, "
+        "'View' as target_object_type from (select sql_file_name, _stg_sql_file_md5, "
+        f"md5({_prompt('view', 'sql_body')}) as digest from registry where {_work('view')}) "
+        "where digest[1] <> 'f'",
+        "complete_by_rules": _ctes(*_registered("plain"))
+        + "select sql_file_name, _stg_sql_file_md5, null::varchar as error, "
+        "array_to_string(list_transform(list_filter(names, lambda n, i: "
+        "list_position(names, n) = i), lambda n, i: i || '. ' || n), chr(10)) as response "
+        f"from (select *, regexp_extract_all({_sub(CODE, _DBO)}, "
+        r"'\b(?:FROM|JOIN)\s+([\w.]+)', 1) as names "
+        f"from registry where {_work('view')})",
         "apply_translation": _all_targets_sql(),
         "translate_registry": _all_targets_sql(),
         "apply_translation_snapshot": _table_snapshot_sql(),
@@ -512,6 +528,11 @@ def all_sql() -> dict[str, str]:
         + "select conv_id, turn, role, text from conversations union all "
         "select conv_id, last_turn + 1 as turn, 'assistant' as role, "
         "'reply to turn ' || last_turn as text from pending",
+        "chat_answer": _ctes(_PENDING, _PIECES, _WHOLE)
+        + "select conv_id, turn, role, text from conversations union all "
+        "select conv_id, last_turn + 1 as turn, 'assistant' as role, md5(prompt) as text "
+        f"from pending join whole using (conv_id) where n_units < {BUDGET} "
+        "and md5(prompt)[1] <> 'f'",
         "chat_seed": "select distinct c_custkey as conv_id, 0::bigint as turn, "
         f"'assistant' as role, {_text(GREETING)} as text from customer "
         "where c_custkey not in (select conv_id from conversations)",

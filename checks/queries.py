@@ -27,6 +27,7 @@ from scriptloom.operators.ingest import (
 )
 from scriptloom.operators.sqlapi import SqlMemo
 from scriptloom.operators.stats import object_type_stats, stmt_type_stats
+from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import (
     TRANSLATORS,
     copy_statements,
@@ -34,7 +35,16 @@ from scriptloom.operators.translate import (
     trigger_headers,
 )
 from scriptloom.operators.worklist import stored_worklist, worklist
-from scriptloom.schema import BATCH_LIMIT, KEY, PREVIEW_LIMIT, WORKLIST_KINDS, WORKLIST_LIMITS
+from scriptloom.plans.assistant import answer_pending
+from scriptloom.plans.migration import completed_translation
+from scriptloom.schema import (
+    BATCH_LIMIT,
+    CLASS_KEYS,
+    KEY,
+    PREVIEW_LIMIT,
+    WORKLIST_KINDS,
+    WORKLIST_LIMITS,
+)
 from scriptloom.session import work_dir
 from scriptloom.sources.registry import read_registry, registry_insert, write_snapshot
 from scriptloom.sources.stage import first_scripts, matches_pattern, tabulate, with_file_name
@@ -230,6 +240,13 @@ def translated_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole registry as it is read back from storage."""
+    return _stored_registry(spark, sf_dir).select(
+        *KEY, "_stg_sql_file_name", "sql_body", "completion_response", *CLASS_KEYS
+    )
+
+
 def object_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return object_type_stats(_registry(spark, sf_dir))
 
@@ -361,6 +378,17 @@ def completed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete(rows, digest_backend, ledger).select("path", "response", "error")
 
 
+def ruled_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency lists of all views, answered by rules in the form of a service reply."""
+    return answer_task(worklist(_registry(spark, sf_dir), "view"), "view_dependency")
+
+
+def completed_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View translations asked from a service; failed ones are left out."""
+    work = worklist(_registry(spark, sf_dir), "view")
+    return completed_translation(work, "view", digest_backend)
+
+
 # --- conversations ------------------------------------------------------------------
 
 SMALL_BUDGET = 300
@@ -398,6 +426,11 @@ def appended_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_append(history, replies)
 
 
+def answered_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history after one round of answers to all pending conversations."""
+    return answer_pending(_history(spark, sf_dir), digest_backend).history
+
+
 def seeded_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as conversations to be: those without history get a greeting."""
     ids = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("conv_id"))
@@ -438,6 +471,7 @@ def all_queries() -> dict[str, Query]:
         "new_scripts": new_script_keys,
         "new_scripts_documents": document_copies,
         "registry_insert": inserted_registry,
+        "registry_scan": stored_rows,
         "apply_translation": translated_registry,
         "apply_translation_snapshot": translated_snapshot,
         "translate_registry": translated_in_place,
@@ -456,12 +490,15 @@ def all_queries() -> dict[str, Query]:
         "build_prompt": prompts,
         "complete": completed_scripts,
         "complete_documents": completed_documents,
+        "complete_translation": completed_views,
+        "complete_by_rules": ruled_replies,
         "chat_prompt": prompt_per_chat(),
         "chat_prompt_small_budget": prompt_per_chat(SMALL_BUDGET),
         "chat_budget": budget_per_chat(chat.BUDGET),
         "chat_budget_small": budget_per_chat(SMALL_BUDGET),
         "chat_pending": pending_chats,
         "chat_append": appended_chats,
+        "chat_answer": answered_chats,
         "chat_seed": seeded_chats,
         "sql_query": sql_text,
         "single_column": column_text,

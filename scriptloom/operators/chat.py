@@ -59,9 +59,12 @@ def chat_prompt(
     history: DataFrame,
     budget: int = BUDGET,
     count_units: Callable[[Column], Column] = word_count,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Prompt of each conversation; null for one that is refused as too long.
 
+    `only` restricts the result to the conversations whose ids it holds.
+
     Refused conversations are not gathered. The longest of them are filtered out
     before the shuffle through a list of fixed size, so that no conversation holding a
     large share of the history reaches a single task; the rest drop out in the join.
@@ -73,7 +76,10 @@ def chat_prompt(
     kept = history.join(F.broadcast(overlong), "conv_id", "left_anti")
     # Naming the turn count keeps all three uses of the lengths the same aggregate, whose
     # shuffle output Spark then computes once and reuses.
-    accepted = lengths.where(~F.col("refused") & (F.col("n_turns") > 0)).select("conv_id")
+    wanted = lengths.where(F.col("n_turns") > 0)
+    if only is not None:
+        wanted = wanted.join(only.select("conv_id").distinct(), "conv_id", "left_semi")
+    accepted = wanted.where(~F.col("refused")).select("conv_id")
     piece = message_piece(F.col("role"), F.col("text")).alias("piece")
     pieces = F.array_sort(F.collect_list(F.struct("turn", piece)))
     prompts = (
@@ -87,14 +93,14 @@ def chat_prompt(
             ).alias("prompt"),
         )
     )
-    return lengths.join(prompts, "conv_id", "left")
+    return wanted.join(prompts, "conv_id", "left")
 
 
 def chat_pending(history: DataFrame) -> DataFrame:
     """Conversations whose last message is not the assistant's."""
     last = history.groupBy("conv_id").agg(
         F.max("turn").alias("last_turn"),
-        F.max_by(F.col("role") != "assistant", "turn").alias("open"),
+        F.max_by(~F.col("role").eqNullSafe("assistant"), "turn").alias("open"),
     )
     return last.where("open").select("conv_id", "last_turn")
 

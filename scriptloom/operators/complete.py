@@ -119,14 +119,3 @@ def _hot_prompts(prompts: DataFrame, hot_rows: int) -> list[int]:
         .select(key_hash(["prompt_hash"]).alias("h"))
     )
     return [r.h for r in top.collect()]
-
-
-def complete_by_rules(
-    rows: DataFrame, rule: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Add `response` and an always-null `error` by a column rule instead of a service.
-
-    A rule is cheaper than the shuffle that would find repeated prompts, so it runs on
-    every row where the row is.
-    """
-    return rule(rows).withColumn("error", F.lit(None).cast("string"))

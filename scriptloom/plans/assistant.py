@@ -29,8 +29,7 @@ def answer_pending(
     Conversations over the length budget are refused, failed calls are reported; both
     stay pending.
     """
-    pending = chat_pending(history).select("conv_id")
-    prompts = chat_prompt(history, budget).join(pending, "conv_id", "left_semi")
+    prompts = chat_prompt(history, budget, only=chat_pending(history))
     asked = prompts.where(~F.col("refused")).select("conv_id", "prompt")
     replies = complete(asked, backend, ledger, spread_by=["conv_id"])
     messages = replies.where(F.col("error").isNull()).select(

@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.functions.prompts import build_prompt
-from scriptloom.operators.complete import BackendFactory, complete
+from scriptloom.operators.complete import BackendFactory
 from scriptloom.operators.ingest import apply_translation
+from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import TRANSLATORS, translate_registry
 from scriptloom.operators.worklist import stored_worklist
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS, WORKLIST_KINDS
@@ -65,10 +65,9 @@ def completed_translation(
     compat: bool = False,
 ) -> DataFrame:
     """Translations of a work list by a completion backend, failures left out."""
-    asked = work.select(*KEY, build_prompt(kind, F.col("sql_body")).alias("prompt"))
     target_kind = (COMPAT_TARGET_KINDS if compat else TARGET_KINDS)[kind]
     return (
-        complete(asked, backend, ledger, spread_by=KEY)
+        answer_task(work, kind, backend, ledger)
         .where(F.col("error").isNull())
         .select(
             *KEY,

@@ -21,6 +21,10 @@ from scriptloom.schema import REGISTRY_COLUMNS, REGISTRY_SCHEMA
 
 PARTITIONS = ["part_stmt", "part_object"]
 
+# Scripts compress well, and a task reads at least one row group: bound a file by the
+# text work it stands for, not by its bytes alone.
+ROWS_PER_FILE = 50_000
+
 # Kinds that get a folder of their own.
 _STMT_FOLDERS = ["DDL", "DML", "DCL"]
 _OBJECT_FOLDERS = ["table", "view", "function", "trigger"]
@@ -97,7 +101,8 @@ def _write(rows: DataFrame, path: str, mode: str, rebalance: bool) -> None:
     if rebalance:
         # Sizes the files per folder and splits a folder that holds most rows (by AQE).
         laid_out = laid_out.hint("rebalance", *PARTITIONS)
-    laid_out.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    writer = laid_out.write.mode(mode).partitionBy(*PARTITIONS)
+    writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
 
 
 def registry_insert(rows: DataFrame, root: str) -> int:

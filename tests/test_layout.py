@@ -11,7 +11,7 @@ from scriptloom.schema import REGISTRY_SCHEMA
 from scriptloom.sources.registry import read_registry, registry_insert
 
 SF_DIR = "/root/testdata/sf0.001"
-WITH_BACKEND = {"complete", "complete_documents"}
+WITH_BACKEND = {"complete", "complete_documents", "complete_translation", "chat_answer"}
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - WITH_BACKEND))
