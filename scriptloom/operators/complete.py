@@ -20,11 +20,21 @@ BackendFactory = Callable[[], Backend]
 LEDGER_SCHEMA = "prompt_hash string, response string, error string"
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One row per prompt: its answer, or the error when no attempt succeeded."""
+# Calls one task makes: what a lost executor costs at most.
+CALLS_PER_TASK = 10_000
+
+
+def read_ledger(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per prompt: its answer, or the error when no attempt succeeded.
+
+    `wanted` restricts it to the prompts of one run before anything is shuffled for
+    the rest of a ledger that has grown over many.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)
     entries = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    if wanted is not None:
+        entries = entries.join(wanted.select("prompt_hash"), "prompt_hash", "left_semi")
     best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "response", "error"))
     return (
         entries.groupBy("prompt_hash")
@@ -96,8 +106,9 @@ def complete(
 
     answered = read_ledger(spark, ledger).where(F.col("error").isNull()).select("prompt_hash")
     waiting = prompts.select("prompt_hash", "prompt").join(answered, "prompt_hash", "left_anti")
-    # Prompts are small and calls slow: a set number of tasks, not one sized by bytes.
-    tasks = parallelism or spark.sparkContext.defaultParallelism
+    # Prompts are small and calls slow: tasks are sized by calls, not by bytes.
+    slots = spark.sparkContext.defaultParallelism
+    tasks = parallelism or max(slots, prompts.count() // CALLS_PER_TASK)
     (
         waiting.repartition(tasks, "prompt_hash")
         .mapInPandas(_caller(factory, batch_size), LEDGER_SCHEMA)
@@ -107,7 +118,7 @@ def complete(
 
     hot = _hot_prompts(prompts, hot_rows)
     spread_by = spread_by or [c for c in rows.columns if c != prompt]
-    answers = read_ledger(spark, ledger)
+    answers = read_ledger(spark, ledger, prompts)
     return salted_left_join(keyed, answers, ["prompt_hash"], hot, spread_by).drop("prompt_hash")
 
 
