@@ -10,6 +10,7 @@ from scriptloom.functions.text import BLANKS, strip, word_count
 from scriptloom.schema import CLASS_KEYS
 
 _STRICT = {"allowSingleQuotes": "false"}
+_JSON_STRING = r'(?s)"(?:[^"\\]|\\.)*+"'
 
 
 def json_object(reply: Column) -> Column:
@@ -24,7 +25,11 @@ def json_object(reply: Column) -> Column:
     as_member = F.from_json(
         F.concat(F.lit('{"w":'), reply, F.lit("}")), "map<string,map<string,string>>", _STRICT
     )
-    strict = (F.size(as_array) == 1) & as_member.isNotNull()
+    # The parser takes a signed infinity, which JSON readers elsewhere do not.
+    signed = F.when(
+        reply.contains("+I"), F.rlike(F.regexp_replace(reply, _JSON_STRING, ""), F.lit(r"\+I"))
+    ).otherwise(F.lit(False))
+    strict = (F.size(as_array) == 1) & as_member.isNotNull() & ~signed
     return F.when(F.coalesce(strict, F.lit(False)), F.get(as_array, F.lit(0)))
 
 

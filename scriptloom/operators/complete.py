@@ -27,8 +27,8 @@ CALLS_PER_TASK = 10_000
 def read_ledger(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """One row per prompt: its answer, or the error when no attempt succeeded.
 
-    `wanted` restricts it to the prompts of one run before anything is shuffled for
-    the rest of a ledger that has grown over many.
+    `wanted` restricts it to the prompts of one run; a small run then joins a ledger
+    grown over many by broadcast and aggregates its own entries only.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA)

@@ -64,6 +64,9 @@ CASES = [
     GOOD.replace("{", '{"more": [1, {"b": null}], ', 1),
     GOOD.replace("{", '{"stmt_type": "first", ', 1),
     GOOD.replace('"x"', r'"q\"é\n"', 1),
+    GOOD.replace('"x"', "-Infinity", 1),
+    GOOD.replace('"x"', "+Infinity", 1),
+    GOOD.replace('"x"', r'"\"+I"', 1),
     GOOD + " tail",
     GOOD + "] tail",
     GOOD + "} tail",
