@@ -26,6 +26,7 @@ from scriptloom.operators.ingest import (
     registry_rows,
 )
 from scriptloom.operators.sqlapi import SqlMemo
+from scriptloom.operators.spread import spread
 from scriptloom.operators.stats import object_type_stats, stmt_type_stats
 from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import (
@@ -179,7 +180,7 @@ def new_script_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-if-absent over whole documents: one per source and content."""
-    documents = _table(spark, sf_dir, "documents")
+    documents = spread(_table(spark, sf_dir, "documents"))
     scripts = documents.select(
         F.col("source").alias("sql_file_name"),
         F.md5("text").alias("md5"),
@@ -363,7 +364,7 @@ def digest_backend():
 
 def completed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per distinct text over whole documents, answers on every row."""
-    documents = _table(spark, sf_dir, "documents")
+    documents = spread(_table(spark, sf_dir, "documents"))
     rows = documents.select("doc_id", build_prompt("view_summary", F.col("text")).alias("prompt"))
     return complete(rows, digest_backend).select("doc_id", "response", "error")
 

@@ -17,8 +17,9 @@ from scriptloom.functions.text import word_count
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 3072
 
-# Conversations over budget that are filtered out before the shuffle, longest first.
-_OVERLONG = 1000
+# Conversations over budget that are filtered out before the shuffle, longest first. Any
+# other one over budget holds less than this fraction of the history.
+_OVERLONG = 100_000
 
 GREETING = "Hello, I can help with moving your database scripts. What would you like to know?"
 
@@ -71,7 +72,10 @@ def chat_prompt(
     """
     lengths = chat_budget(history, budget, count_units)
     overlong = (
-        lengths.where("refused").orderBy(F.col("n_turns").desc()).limit(_OVERLONG).select("conv_id")
+        lengths.where(F.col("refused") & (F.col("n_turns") > 0))
+        .orderBy(F.col("n_units").desc())
+        .limit(_OVERLONG)
+        .select("conv_id")
     )
     kept = history.join(F.broadcast(overlong), "conv_id", "left_anti")
     # Naming the turn count keeps all three uses of the lengths the same aggregate, whose

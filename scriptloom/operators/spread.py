@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Row groups of common writers are no smaller than this, and a row group is one task's.
+_BYTES_PER_SLOT = 16 * 1024 * 1024
+
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan over all slots of the session when its files make fewer partitions.
+    """A scan over all slots of the session when its files are too small to fill them.
 
-    Text work costs far more than the bytes of a compact file suggest. A scan with
-    enough partitions is left as it is, so large inputs are not shuffled. `scan` must
-    come straight from files: counting its partitions then runs nothing.
+    Text work costs far more than the bytes of a compact file suggest, and splits of a
+    file beyond its row groups stay empty. Inputs that give each slot a row group of its
+    own are left as they are: nothing large is shuffled.
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(slots) if size < slots * _BYTES_PER_SLOT else scan
