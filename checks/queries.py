@@ -35,9 +35,9 @@ from scriptloom.operators.translate import (
     translate_registry,
     trigger_headers,
 )
-from scriptloom.operators.worklist import stored_worklist, worklist
+from scriptloom.operators.worklist import worklist
 from scriptloom.plans.assistant import answer_pending
-from scriptloom.plans.migration import completed_translation
+from scriptloom.plans.migration import completed_translation, migrate_worklist
 from scriptloom.schema import (
     BATCH_LIMIT,
     CLASS_KEYS,
@@ -231,11 +231,11 @@ def _translation_report(registry: DataFrame) -> DataFrame:
 
 
 def translated_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One kind translated into the next stored version, read back by kind."""
+    """One work list translated and recorded, taken into the next stored version."""
     root = work_dir(spark, "registry")
     write_snapshot(_registry(spark, sf_dir), root)
-    updates = TRANSLATORS["table"](stored_worklist(spark, root, "table"))
-    write_snapshot(apply_translation(read_registry(spark, root), updates, BATCH_TS), root)
+    migrate_worklist(spark, root, "table", batch_ts=BATCH_TS)
+    write_snapshot(read_registry(spark, root), root)
     return read_registry(spark, root, "DDL", "table").select(
         *KEY, "operation_type", "target_sql", "target_object_type"
     )

@@ -78,28 +78,40 @@ def apply_translation(
     updates: DataFrame,
     batch_ts: datetime | None = None,
     order_by: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """The registry with target SQL, target kind and time set where both keys match.
 
-    All registry rows of a key change. `updates` has the key columns, `target_sql`
-    and `target_object_type`; with `order_by` the last update of a key wins,
-    otherwise the greatest text does.
+    All registry rows of a key change. `updates` has the key columns, `target_sql`,
+    `target_object_type` and perhaps `updated_ts`; the last one of a key by that time
+    and by `order_by` wins, then the greatest text. No `hot_rows` tells that keys are
+    known to be unique.
     """
-    new = [F.col("target_sql").alias("new_sql"), F.col("target_object_type").alias("new_type")]
-    order = [F.col(order_by)] if order_by else []
-    last = F.max(F.struct(*order, *new)).alias("last")
-    latest = updates.groupBy(*KEY).agg(last).select(*KEY, "last.new_sql", "last.new_type")
-    latest = latest.withColumn("__matched", F.lit(True))
-    hot = hot_key_hashes(registry, KEY, hot_rows)
-    joined = salted_left_join(registry, latest, KEY, hot, ["_stg_sql_file_name"])
     stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
-    matched = F.col("__matched").isNotNull()
-    changed = {
-        "target_sql": F.when(matched, F.col("new_sql")).otherwise(F.col("target_sql")),
-        "target_object_type": F.when(matched, F.col("new_type")).otherwise(
-            F.col("target_object_type")
-        ),
-        "updated_ts": F.when(matched, stamp).otherwise(F.col("updated_ts")),
-    }
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in REGISTRY_COLUMNS])
+    if "updated_ts" in updates.columns:
+        stamp = F.col("updated_ts")
+    last = F.max(
+        F.struct(
+            stamp.alias("new_ts"),
+            *([order_by] if order_by else []),
+            F.col("target_sql").alias("new_sql"),
+            F.col("target_object_type").alias("new_type"),
+        )
+    )
+    latest = (
+        updates.groupBy(*KEY)
+        .agg(last.alias("last"))
+        .select(*KEY, "last.new_sql", "last.new_type", "last.new_ts")
+    )
+    hot = [] if hot_rows is None else hot_key_hashes(registry, KEY, hot_rows)
+    joined = salted_left_join(registry, latest, KEY, hot, ["_stg_sql_file_name"])
+    matched = F.col("new_ts").isNotNull()
+    changed = {"target_sql": "new_sql", "target_object_type": "new_type", "updated_ts": "new_ts"}
+    return joined.select(
+        *[
+            F.when(matched, F.col(changed[c])).otherwise(F.col(c)).alias(c)
+            if c in changed
+            else F.col(c)
+            for c in REGISTRY_COLUMNS
+        ]
+    )

@@ -31,4 +31,5 @@ def stored_worklist(
 ) -> DataFrame:
     """Work list read from a stored registry; only the kind's folder is scanned."""
     object_type, _ = WORKLIST_KINDS[kind]
-    return worklist(read_registry(spark, root, "DDL", object_type), kind, limit)
+    rows = read_registry(spark, root, "DDL", object_type, translations=False)
+    return worklist(rows, kind, limit)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.operators.complete import BackendFactory
-from scriptloom.operators.ingest import apply_translation
 from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import TRANSLATORS, translate_registry
 from scriptloom.operators.worklist import stored_worklist
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS, WORKLIST_KINDS
-from scriptloom.sources.registry import read_registry, write_snapshot
+from scriptloom.sources.registry import add_translations, read_registry, write_snapshot
 
 
 def migrate_all(
@@ -25,7 +24,8 @@ def migrate_all(
 ) -> int:
     """Translate every script of the kinds by rules and write the next version.
 
-    One pass from files to files without a shuffle.
+    One pass from files to files, with a shuffle only to take in translations that were
+    recorded since the last version.
     """
     rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts)
     return write_snapshot(rows, registry, rebalance=False)
@@ -41,9 +41,9 @@ def migrate_worklist(
     backend: BackendFactory | None = None,
     ledger: str | None = None,
 ) -> int:
-    """Translate one work list, by rules or by a backend, and write the next version.
+    """Translate one work list, by rules or by a backend, and record the result.
 
-    A script the backend failed on keeps what it had.
+    A script the backend failed on keeps what it had. Returns the version added to.
     """
     if kind not in WORKLIST_KINDS:
         raise ValueError(f"unknown kind: {kind}")
@@ -52,9 +52,7 @@ def migrate_worklist(
         updates = TRANSLATORS[kind](work, compat)
     else:
         updates = completed_translation(work, kind, backend, ledger, compat)
-    return write_snapshot(
-        apply_translation(read_registry(spark, registry), updates, batch_ts), registry
-    )
+    return add_translations(updates, registry, batch_ts)
 
 
 def completed_translation(

@@ -45,7 +45,7 @@ def onboard(
     usable copy behind an unusable one. Without a backend the rules classify.
     """
     scripts = with_file_name(batch_scripts(spark, roots, limit, pattern=pattern))
-    fresh = new_scripts(scripts, read_registry(spark, registry))
+    fresh = new_scripts(scripts, read_registry(spark, registry, translations=False))
     if backend is None:
         replied = classify_scripts(fresh)
     else:

@@ -5,22 +5,31 @@ values are a bounded set derived from the stored columns, which keep exactly wha
 the classification said: a service that answers with free text cannot multiply
 folders, and an empty or oddly cased kind survives the round trip.
 
-An insert appends to the latest version. An update writes the next version, because
-a path cannot be overwritten while it is read; readers move to it only once its
-success marker exists, so a failed update leaves the old version in force.
+An insert appends to the latest version. Translations of a few scripts are appended to
+`<root>/translations/v=<n>` and joined to the rows when they are read: updating 25 scripts
+does not rewrite the rest. A snapshot takes them in and becomes the next version; readers
+move to it only once its success marker exists, so a failed one leaves the old version in
+force. One writer at a time.
 """
 
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.schema import REGISTRY_COLUMNS, REGISTRY_SCHEMA
+from scriptloom.operators.ingest import apply_translation
+from scriptloom.schema import KEY, REGISTRY_COLUMNS, REGISTRY_SCHEMA
 
 PARTITIONS = ["part_stmt", "part_object"]
 
+_TRANSLATION_SCHEMA = (
+    "sql_file_name string, _stg_sql_file_md5 string, target_sql string, "
+    "target_object_type string, updated_ts timestamp"
+)
+
 # Scripts compress well, and a task reads at least one row group: bound a file by the
 # text work it stands for, not by its bytes alone.
 ROWS_PER_FILE = 50_000
@@ -68,8 +77,12 @@ def read_registry(
     stmt_type: str | None = None,
     object_type: str | None = None,
     version: int | None = None,
+    translations: bool = True,
 ) -> DataFrame:
-    """Registry rows in column order; the kinds given prune whole folders."""
+    """Registry rows in column order; the kinds given prune whole folders.
+
+    Readers that use no target columns save the join by leaving the translations out.
+    """
     version = latest_version(spark, root) if version is None else version
     if version is None:
         return empty_registry(spark)
@@ -89,7 +102,31 @@ def read_registry(
             (F.col("part_object") == _folder(F.lit(object_type), _OBJECT_FOLDERS))
             & (F.col("object_type") == object_type)
         )
-    return rows.select(*REGISTRY_COLUMNS)
+    rows = rows.select(*REGISTRY_COLUMNS)
+    added = _translations_path(root, version)
+    if not translations or not path_exists(spark, added):
+        return rows
+    # Inserts keep the keys unique, so no key is hot here.
+    recorded = spark.read.schema(_TRANSLATION_SCHEMA).parquet(added)
+    return apply_translation(rows, recorded, hot_rows=None)
+
+
+def _translations_path(root: str, version: int) -> str:
+    return f"{root}/translations/v={version}"
+
+
+def add_translations(updates: DataFrame, root: str, batch_ts: datetime | None = None) -> int:
+    """Record translations (key, `target_sql`, `target_object_type`) of registered scripts."""
+    version = latest_version(updates.sparkSession, root)
+    if version is None:
+        raise ValueError(f"no registry in {root}")
+    stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
+    (
+        updates.select(*KEY, "target_sql", "target_object_type", stamp.alias("updated_ts"))
+        .write.mode("append")
+        .parquet(_translations_path(root, version))
+    )
+    return version
 
 
 def _write(rows: DataFrame, path: str, mode: str, rebalance: bool) -> None:

@@ -41,8 +41,10 @@ def test_onboard_then_migrate(spark, stage, tmp_path):
     onboard(spark, root, registry)
     assert read_registry(spark, registry).count() == 7
 
-    assert migrate_worklist(spark, registry, "table", limit=1) == 1
+    assert migrate_worklist(spark, registry, "table", limit=1) == 0
     assert read_registry(spark, registry).where("target_sql is not null").count() == 1
+    assert migrate_all(spark, registry, ["view"]) == 1
+    assert read_registry(spark, registry).where("target_sql is not null").count() == 2
     assert migrate_all(spark, registry) == 2
     rows = {r.sql_file_name[:2]: r for r in read_registry(spark, registry).collect()}
     assert rows["02"].target_sql == "CREATE OR REPLACE VIEW V AS SELECT\n    A,\n    B\nFROM T"

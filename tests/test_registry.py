@@ -10,6 +10,7 @@ from scriptloom.operators.translate import translate_registry, translate_table
 from scriptloom.operators.worklist import stored_worklist, worklist
 from scriptloom.schema import REGISTRY_COLUMNS, REGISTRY_SCHEMA
 from scriptloom.sources.registry import (
+    add_translations,
     empty_registry,
     latest_version,
     read_registry,
@@ -227,5 +228,31 @@ def test_snapshots(spark, tmp_path):
     assert read_registry(spark, root).count() == len(ODD_KINDS)
 
 
+def test_recorded_translations(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    schema = "sql_file_name string, _stg_sql_file_md5 string, target_sql string, target_object_type string"
+    one = spark.createDataFrame([("f0", "m", "first", "Table")], schema)
+    with pytest.raises(ValueError):
+        add_translations(one, root)
+    registry_insert(registry_of(spark, ODD_KINDS), root)
+    add_translations(one, root, TS)
+    later = datetime(2025, 1, 1)
+    two = spark.createDataFrame([("f0", "m", "again", None), ("f1", "x", "no", "Table")], schema)
+    add_translations(two, root, later)
+
+    def translated(**options):
+        rows = read_registry(spark, root, **options).where("updated_ts is not null")
+        return [(r.sql_file_name, r.target_sql, r.target_object_type, r.updated_ts) for r in rows.collect()]
+
+    expected = [("f0", "again", None, later)]
+    assert translated() == expected
+    assert translated(stmt_type="DDL", object_type="table") == expected
+    assert translated(translations=False) == []
+    assert write_snapshot(read_registry(spark, root), root) == 1
+    assert translated() == expected
+    assert translated(translations=False) == expected
+    assert read_registry(spark, root).count() == len(ODD_KINDS)
+
+
 def test_empty_registry(spark):
     assert empty_registry(spark).count() == 0

@@ -1,0 +1,43 @@
+from pyspark.sql import functions as F
+
+from scriptloom.operators import spread as module
+from scriptloom.operators.once import once
+from scriptloom.operators.skew import hot_key_hashes, salted_left_join
+
+
+def test_small_inputs_are_spread(spark, plan, monkeypatch):
+    scan = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    spread = module.spread(scan)
+    assert "RoundRobinPartitioning" in plan(spread)
+    assert sorted(spread.collect()) == sorted(scan.collect())
+    monkeypatch.setattr(module, "_BYTES_PER_SLOT", 0)
+    assert module.spread(scan) is scan
+
+
+def test_once_keeps_rows_and_blocks_repetition(spark):
+    rows = once(spark.range(10), v=F.sha2(F.col("id").cast("string"), 256))
+    picked = rows.where(F.col("v") > "8").select("id", "v", F.length("v").alias("n"))
+    assert picked._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
+    assert rows.count() == 10
+
+
+def test_hot_keys_are_found_and_bounded(spark):
+    keys = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
+    )
+    hot = hot_key_hashes(keys, ["k"], min_rows=1000)
+    assert hot == [spark.range(1).select(F.xxhash64(F.lit(-1).cast("bigint"))).first()[0]]
+    assert len(hot_key_hashes(keys, ["k"], min_rows=1, most=5)) <= 5
+    assert hot_key_hashes(keys.limit(0), ["k"]) == []
+
+
+def test_salting_spreads_a_hot_key(spark):
+    left = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
+    )
+    right = left.groupBy("k").agg(F.max("id").alias("top"))
+    hot = hot_key_hashes(left, ["k"], min_rows=1000)
+    joined = salted_left_join(left, right, ["k"], hot, ["id"], salts=16)
+    plain = left.join(right, "k", "left")
+    assert sorted(joined.select("k", "id", "top").collect()) == sorted(plain.collect())
+    assert joined.columns == ["k", "id", "top"]
