@@ -24,7 +24,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _sorted(rows, names: list[str]) -> list[tuple]:
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(
-        (tuple(row[i] for i in order) for row in rows), key=lambda r: [(v is None, str(v)) for v in r]
+        (tuple(row[i] for i in order) for row in rows),
+        key=lambda row: [(value is None, str(value)) for value in row],
     )
 
 
@@ -65,7 +66,8 @@ def main(argv: list[str]) -> int:
         except Exception as error:
             found = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += found is not None
-        print(f"{'ok ' if found is None else 'BAD'} {name} {time.time() - start:.1f}s {found or ''}")
+        mark = "ok " if found is None else "BAD"
+        print(f"{mark} {name} {time.time() - start:.1f}s {found or ''}")
     spark.stop()
     return bad
 

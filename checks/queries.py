@@ -342,7 +342,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = _scanned(spark, sf_dir)
     texts = F.array(
         *[
-            F.struct(F.lit(task).alias("task"), build_prompt(task, F.col("sql_body")).alias("prompt"))
+            F.struct(
+                F.lit(task).alias("task"), build_prompt(task, F.col("sql_body")).alias("prompt")
+            )
             for task in TEMPLATES
         ]
     )

@@ -92,7 +92,10 @@ def _render(toks: Column, literal: Callable[[Column], Column], upper: bool) -> C
         return (
             F.when(tok.startswith("'"), literal(tok))
             .when(_is_comment(tok), F.lit(" "))
-            .when(_is_delimited(tok), F.concat(F.lit(_OPEN), fold(_regular(_undelimit(tok))), F.lit(_CLOSE)))
+            .when(
+                _is_delimited(tok),
+                F.concat(F.lit(_OPEN), fold(_regular(_undelimit(tok))), F.lit(_CLOSE)),
+            )
             .otherwise(fold(tok))
         )
 

@@ -93,7 +93,10 @@ def complete(
     """
     spark = rows.sparkSession
     ledger = ledger or work_dir(spark, "ledger")
-    keyed = rows.withColumn("prompt_hash", F.sha2(prompt, 256))
+    spread_by = spread_by or [c for c in rows.columns if c != prompt]
+    # Rows without a prompt match no answer; a hash of their own keeps them apart.
+    own = F.concat(F.lit("none "), F.xxhash64(*spread_by).cast("string"))
+    keyed = rows.withColumn("prompt_hash", F.coalesce(F.sha2(prompt, 256), own))
 
     asked = work_dir(spark, "prompts")
     (
@@ -117,7 +120,6 @@ def complete(
     )
 
     hot = _hot_prompts(prompts, hot_rows)
-    spread_by = spread_by or [c for c in rows.columns if c != prompt]
     answers = read_ledger(spark, ledger, prompts)
     return salted_left_join(keyed, answers, ["prompt_hash"], hot, spread_by).drop("prompt_hash")
 

@@ -172,7 +172,8 @@ TRANSLATORS: dict[str, Callable[..., DataFrame]] = {
 def trigger_headers(work: DataFrame) -> DataFrame:
     """Header fields and body of each trigger."""
     kind = F.lit("trigger")
-    return _with_trigger_parts(_statements(work, ["trigger"], kind), kind).select(*KEY, *_TRIGGER_FIELDS)
+    rows = _with_trigger_parts(_statements(work, ["trigger"], kind), kind)
+    return rows.select(*KEY, *_TRIGGER_FIELDS)
 
 
 def copy_statements(tables: DataFrame) -> DataFrame:
