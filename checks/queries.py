@@ -94,7 +94,7 @@ def _already_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _registry(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
     """Every script of the corpus, classified by rules and inserted into an empty registry."""
     parsed = parse_classification(_classified(spark, sf_dir, variant))
-    return registry_rows(first_per_key(usable(parsed).drop("k")))
+    return registry_rows(first_per_key(usable(parsed).drop("k"), determined=CLASS_KEYS))
 
 
 def _stored_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -23,21 +24,25 @@ from scriptloom.schema import (
 _LONG = ["sql_body", "response"]
 
 
-def first_per_key(scripts: DataFrame) -> DataFrame:
+def first_per_key(scripts: DataFrame, determined: Sequence[str] = ()) -> DataFrame:
     """One script per file name and content hash: the first by path.
 
     An aggregate rather than a ranking window: copies collapse in the map tasks, so a
     key that a third of all rows share sends one row per task through the shuffle.
+    `determined` names columns that follow from the content, such as a classification
+    by rules. Grouping by them too changes no group and lets a later filter on them run
+    before the shuffle.
     """
+    keys = ["sql_file_name", "md5", *determined]
     long = [c for c in scripts.columns if c in _LONG]
-    short = [c for c in scripts.columns if c not in ("sql_file_name", "md5", "path", *long)]
+    short = [c for c in scripts.columns if c not in (*keys, "path", *long)]
     return (
-        scripts.groupBy("sql_file_name", "md5")
+        scripts.groupBy(*keys)
         .agg(
             F.min(F.struct("path", *short)).alias("first"),
             *[F.min_by(c, "path").alias(c) for c in long],
         )
-        .select("sql_file_name", "md5", "first.*", *long)
+        .select(*keys, "first.*", *long)
         .select(*scripts.columns)
     )
 

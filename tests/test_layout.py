@@ -67,8 +67,13 @@ def test_whole_registry_is_translated_without_shuffle(spark, plan, tmp_path):
 
 def test_stats_over_unregistered_scripts_leave_the_bodies(spark, plan):
     text = plan(all_queries()["object_type_stats"](spark, SF_DIR))
-    aggregates = [b for b in text.split("\n\n") if "SortAggregate" in b.split("\n")[0]]
-    assert aggregates and all("min_by" not in b for b in aggregates)
+    assert "SortAggregate" not in text and "min_by" not in text
+
+
+def test_kinds_are_filtered_before_the_shuffle(spark, plan):
+    tree = plan(all_queries()["worklist_view"](spark, SF_DIR)).split("\n\n")[0]
+    assert "Filter" not in tree[: tree.index("Exchange")]
+    assert "Filter" in tree[tree.index("Exchange") :]
 
 
 def test_pending_is_a_hash_aggregate(spark, plan):
