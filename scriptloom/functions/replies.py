@@ -13,8 +13,8 @@ _STRICT = {"allowSingleQuotes": "false"}
 _JSON_STRING = r'(?s)"(?:[^"\\]|\\.)*+"'
 
 
-def json_object(reply: Column) -> Column:
-    """The reply as a string map when it is exactly one JSON object, else null.
+def json_readings(reply: Column) -> dict[str, Column]:
+    """Two readings of a reply that together tell whether it is exactly one JSON object.
 
     A lone `from_json` accepts text after the object. Wrapping the reply once as the
     only array element and once as the only member value rules that out.
@@ -29,8 +29,12 @@ def json_object(reply: Column) -> Column:
     signed = F.when(
         reply.contains("+I"), F.rlike(F.regexp_replace(reply, _JSON_STRING, ""), F.lit(r"\+I"))
     ).otherwise(F.lit(False))
-    strict = (F.size(as_array) == 1) & as_member.isNotNull() & ~signed
-    return F.when(F.coalesce(strict, F.lit(False)), F.get(as_array, F.lit(0)))
+    return {"__elements": as_array, "__whole": as_member.isNotNull() & ~signed}
+
+
+def json_object(elements: Column, whole: Column) -> Column:
+    """The reply as a string map when its readings agree on one object, else null."""
+    return F.when((F.size(elements) == 1) & whole, F.get(elements, F.lit(0)))
 
 
 def json_value(fields: Column, key: str) -> Column:

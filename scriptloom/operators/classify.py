@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.functions.replies import classification_fault, json_object, json_value
+from scriptloom.functions.replies import (
+    classification_fault,
+    json_object,
+    json_readings,
+    json_value,
+)
 from scriptloom.functions.rules import classify_header, statement_header
 from scriptloom.operators.once import once
 from scriptloom.schema import CLASS_KEYS
@@ -31,7 +36,8 @@ def parse_classification(replies: DataFrame) -> DataFrame:
     pass and further keys are ignored. A frame with an `error` column (from a
     completion service) reports that error as the fault.
     """
-    parsed = once(replies, __fields=json_object(F.col("response")))
+    read = once(replies, **json_readings(F.col("response")))
+    parsed = once(read, __fields=json_object(F.col("__elements"), F.col("__whole")))
     fault = classification_fault(F.col("response"), F.col("__fields"))
     if "error" in replies.columns:
         fault = F.coalesce(F.concat(F.lit("service: "), F.col("error")), fault)
@@ -40,7 +46,7 @@ def parse_classification(replies: DataFrame) -> DataFrame:
         key: F.when(F.col("fault").isNull(), json_value(F.col("__fields"), key))
         for key in CLASS_KEYS
     }
-    return once(parsed, **values).drop("__fields")
+    return once(parsed, **values).drop("__elements", "__whole", "__fields")
 
 
 def usable(parsed: DataFrame) -> DataFrame:
