@@ -150,17 +150,44 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     # Of a few offsets of the rounding, each source uses the one that meets its target best.
     misses = placed.groupBy("_s").agg(
         *[
-            F.abs(F.sum(_copies(F.lit(k / OFFSETS)) * F.col("size")) - F.first("target")).alias(f"m{k}")
+            (F.first("target") - F.sum(_copies(F.lit(k / OFFSETS)) * F.col("size"))).alias(f"m{k}")
             for k in range(OFFSETS)
         ]
     )
-    best = F.array_min(F.array(*[F.struct(F.col(f"m{k}").alias("miss"), F.lit(k).alias("k")) for k in range(OFFSETS)]))
-    offsets, _ = stored(misses.select(F.col("_s").alias("s"), (best["k"] / OFFSETS).alias("offset")), "mix-offsets")
+    tried = [
+        F.struct(F.abs(f"m{k}").alias("size"), F.lit(k / OFFSETS).alias("offset"), F.col(f"m{k}").alias("miss"))
+        for k in range(OFFSETS)
+    ]
+    offsets, _ = stored(
+        misses.select(F.col("_s").alias("s"), F.array_min(F.array(*tried)).alias("best")).select(
+            "s", "best.offset", "best.miss"
+        ),
+        "mix-offsets",
+    )
     starts = starts.join(offsets, F.col("_s").eqNullSafe(F.col("s"))).drop("s")
-    return (
+    placed = (
         rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
         .withColumn("rank", F.col("base") + F.col("place"))
         .withColumn("copies", _copies(F.col("offset")))
+    )
+    # Then the one document whose rounding the other way mends most of what is missed.
+    down = F.col("copies") > F.floor("rate")
+    change = F.when(down, -1).when(F.col("copies") + 1 <= MOST_COPIES, 1).otherwise(0)
+    left = F.abs(F.col("miss") - change * F.col("size"))
+    mends = placed.groupBy("_s").agg(
+        F.min(F.struct(left.alias("left"), F.col("rank"), change.alias("change"))).alias("mend"),
+        F.first("miss").alias("m"),
+    )
+    mends, _ = stored(
+        mends.where("mend.left < abs(m)").select(F.col("_s").alias("s"), "mend.rank", "mend.change"), "mix-mends"
+    )
+    mends = mends.withColumnsRenamed({"rank": "mend_rank"})
+    starts = starts.join(mends, F.col("_s").eqNullSafe(F.col("s")), "left").drop("s")
+    mended = F.when(F.col("rank") == F.col("mend_rank"), F.col("change")).otherwise(0)
+    return (
+        rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+        .withColumn("rank", F.col("base") + F.col("place"))
+        .withColumn("copies", _copies(F.col("offset")) + mended)
         .select(
             "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
             "source", "rate", "copies",
