@@ -65,8 +65,12 @@ def hot_hashes(counts: DataFrame, keys: list[str], n: str = "n") -> list[int]:
 def spread_left_join(
     rows: DataFrame, counts: DataFrame, keys: list[str], spread_by: list[str], n: str = "n"
 ) -> DataFrame:
-    """Left join of many rows with one row per key; rows of hot keys go to several tasks."""
+    """Left join of many rows with one row per key; rows of hot keys go to several tasks.
+
+    Always a shuffled join, so that its cost grows evenly with the rows.
+    """
     hot = hot_hashes(counts, keys, n)
+    counts = counts.hint("merge")
     return salted_left_join(rows, counts, keys, hot, spread_by, SALTS)
 
 
