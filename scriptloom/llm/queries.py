@@ -12,6 +12,7 @@ from scriptloom.llm.mixing import mix, with_sizes
 from scriptloom.llm.packing import pack_documents
 from scriptloom.llm.radix_dedup import radix_dedup
 from scriptloom.llm.sharding import shard_documents
+from scriptloom.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs).select("doc_id", "n_words", "n_tokens")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
