@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptloom.llm.classifier import rate_quality
 from scriptloom.llm.common import table
 from scriptloom.llm.mixing import mix, with_sizes
+from scriptloom.llm.ngram_join import jaccard_classes
 from scriptloom.llm.packing import pack_documents
 from scriptloom.llm.radix_dedup import radix_dedup
 from scriptloom.llm.sharding import shard_documents
@@ -45,6 +46,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(with_sizes(table(spark, sf_dir, "documents")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
