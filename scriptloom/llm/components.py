@@ -10,27 +10,6 @@ from scriptloom.llm.common import remove, stored
 MOST_ROUNDS = 100
 
 
-class UnionFind:
-    """Components of the few links of one task."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (above := up.get(root, root)) != root:
-            root = above
-        while (above := up.get(x, x)) != root:
-            up[x], x = root, above
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), long; root is its component's least node.
 

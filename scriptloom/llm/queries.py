@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptloom.llm.classifier import rate_quality
 from scriptloom.llm.common import table
 from scriptloom.llm.mixing import mix, with_sizes
+from scriptloom.llm.embedding_dedup import near_vectors
 from scriptloom.llm.ngram_join import jaccard_classes
 from scriptloom.llm.packing import pack_documents
 from scriptloom.llm.radix_dedup import radix_dedup
@@ -18,6 +19,10 @@ from scriptloom.llm.token_counts import count_tokens
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rate_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
