@@ -12,6 +12,7 @@ from scriptloom.llm.mixing import mix, with_sizes
 from scriptloom.llm.embedding_dedup import near_vectors
 from scriptloom.llm.ngram_join import jaccard_classes
 from scriptloom.llm.packing import pack_documents
+from scriptloom.llm.pii import report
 from scriptloom.llm.radix_dedup import radix_dedup
 from scriptloom.llm.sharding import shard_documents
 from scriptloom.llm.token_counts import count_tokens
@@ -41,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).select("doc_id", "n_words", "n_tokens")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
