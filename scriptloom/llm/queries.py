@@ -16,6 +16,7 @@ from scriptloom.llm.pii import report
 from scriptloom.llm.radix_dedup import radix_dedup
 from scriptloom.llm.sharding import shard_documents
 from scriptloom.llm.token_counts import count_tokens
+from scriptloom.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,18 @@ def llm_queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_OP3 = """
+with p as (
+  select page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d from pages
+), g as (
+  select d, n, min(page_id) first from p where n >= 100 group by d, n
+)
+select page_id, p.n payload_bytes, p.d payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end record_type,
+       case when first <> page_id then first end refers_to
+from p left join g on p.d = g.d and p.n = g.n
+"""
+
 _OP8 = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) n_chars,
@@ -78,4 +95,4 @@ from d join g using (norm)
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8}
+    return {"op3_warc": _OP3, "op8_exact_dedup": _OP8}
