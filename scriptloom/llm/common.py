@@ -43,6 +43,14 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more.
+
+    It does so after a collection of the driver's heap, which may be long in coming.
+    """
+    spark._jvm.System.gc()
+
+
 def stored(frame: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The frame as a written table: short lineage, and lost executors cost no recomputation."""
     spark = frame.sparkSession

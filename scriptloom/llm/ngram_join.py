@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import remove, stored
+from scriptloom.llm.common import remove, stored, sweep
 from scriptloom.llm.components import components
 from scriptloom.llm.words import chunks, mixed, shingle_sets
 
@@ -320,6 +320,7 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     needed = sets.join(ends, "row", "left_semi").select("row", "doc_id", "one", "two")
     parts, parts_path = stored(_fragments(docs, needed, levels, words), "ngram-fragments")
+    sweep(docs.sparkSession)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,6 +354,7 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
     )
     links, path = stored(checked, "ngram-links")
     remove(docs.sparkSession, parts_path)
+    sweep(docs.sparkSession)
     return links, path
 
 
@@ -402,6 +404,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     for spent in (made_path, met_path):
         remove(spark, spent)
+    sweep(spark)
     links, _ = _links(docs, first, sets, levels, words, percent)
     classes, classes_path = stored(components(links), "ngram-classes")
 
