@@ -438,3 +438,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     own, _ = stored(own, "ngram-own")
     least, _ = stored(own.groupBy("class").agg(F.min("doc_id").alias("component_id")), "ngram-least")
     return own.join(least, "class").select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicates_left(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents with all their columns, without those that link to a smaller doc_id.
+
+    Of each class the document with the least id stays. Rows that share an id stay or go
+    together; those without an id stay.
+    """
+    classes = jaccard_classes(docs, words, percent)
+    firsts = classes.where("doc_id = component_id").select("doc_id").distinct()
+    others = classes.where("doc_id <> component_id").select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
+    gone, _ = stored(others, "ngram-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
