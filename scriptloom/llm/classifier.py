@@ -48,11 +48,12 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
     found.append(np.full(len(again), REPEAT, np.uint64))
     owner.append(row[again])
-    # Code points, with a blank between texts, so that no n-gram of inner blanks spans two.
-    joined = np.insert(raw, at[1:-1], 0x20) if len(at) > 2 else raw
+    # Code points, with a blank before every text and after the last, as edges of words. One
+    # before a text counts as its own, so that n-grams do not depend on the neighbours.
+    joined = np.insert(raw, at, 0x20)
     points = np.frombuffer(joined.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    limits = lead[at] + np.arange(len(at))  # a text starts after those before it and their blanks
+    limits = lead[at[:-1]] + np.arange(len(at) - 1)
     blank = (points == 0x20) | ((points >= 9) & (points <= 13))
     code = mixed(np.where(blank, 0x20, points).astype(np.uint64))
     inner = np.concatenate([[0], np.cumsum(blank)])
@@ -65,7 +66,7 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
             grams = grams * np.uint64(0x100000001B3) + code[k : k + m]
         place = np.flatnonzero(inner[n - 1 : n - 1 + m] == inner[1 : 1 + m])
         found.append(mixed(grams[place]))
-        owner.append(np.minimum(np.searchsorted(limits, place, "right") - 1, len(at) - 2))
+        owner.append(np.searchsorted(limits, place, "right") - 1)
     index = (np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int32)
     return index, np.concatenate(owner)
 
