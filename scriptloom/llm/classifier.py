@@ -24,6 +24,8 @@ from scriptloom.llm.words import chunks, mixed, span_hashes, text_bytes, word_sp
 BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 4, 5)
+#: Bytes of text whose features a task holds at a time.
+FEATURE_BYTES = 1 << 20
 #: Hash of the feature that stands for any word said twice running.
 REPEAT = np.uint64(0x5DEECE66D1B5A3F7)
 #: At most so many labelled rows of each class are trained on, taken by a hash of their id.
@@ -75,7 +77,7 @@ def feature_rows(docs: DataFrame, buckets: int) -> DataFrame:
     """(label, index, times): the distinct features of each (label, text) row."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", FEATURE_BYTES):
             index, owner = features(batch.column("text"), buckets)
             key, times = np.unique(owner.astype(np.int64) * buckets + index, return_counts=True)
             cut = np.searchsorted(key, np.arange(batch.num_rows + 1, dtype=np.int64) * buckets)
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: bytes | None, buckets: int = BUCKETS) -> DataF
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.load(io.BytesIO(sent.value)) if sent.value else np.zeros(buckets + 1, np.float32)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", FEATURE_BYTES):
             index, owner = features(batch.column("text"), buckets)
             sums = np.bincount(owner, weights[index], batch.num_rows)
             counts = np.bincount(owner, minlength=batch.num_rows)
