@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.operators.spread import spread
-
 _BODY = """
 case id % 7
  when 0 then 'CREATE TABLE [dbo].[part_' || id || '] (' || chr(10) || '  [id] int,' || chr(10) || '  [nm] NVARCHAR(' || (id % 50 + 1) || '),' || chr(10) || '  [doc] xml default ''{literal}' || (id % 9) || ''')'
@@ -54,5 +52,5 @@ from (select k, id, {noted} as sql_body
 
 
 def corpus(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
-    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     return spark.sql(corpus_sql(variant, "{part}"), part=part)

@@ -235,6 +235,12 @@ def _work(kind: str) -> str:
     )
 
 
+def _review(kind: str) -> str:
+    """In the corpus only a DECLARE or a name that needs its delimiters."""
+    review = r"regexp_matches(sql_body, '\[[^\]]*-[^\]]*\]')"
+    return review + (r" or regexp_matches(code, '\bDECLARE\b')" if kind == "function" else "")
+
+
 def _translated(kind: str, variant: str) -> tuple[str, str]:
     if kind == "trigger":
         return (
@@ -245,11 +251,9 @@ select sql_file_name, _stg_sql_file_md5, {_TRIGGER_PLAN} as target_sql,
        trigger_name, target_table, timing, events
 from triggers""",
         )
-    # In the corpus only a DECLARE or a name that needs its delimiters.
-    review = r"regexp_matches(sql_body, '\[[^\]]*-[^\]]*\]')"
+    review = _review(kind)
     extra = ""
     if kind == "function":
-        review += r" or regexp_matches(code, '\bDECLARE\b')"
         extra = r", regexp_matches(code, '\bDECLARE\b') as has_declare, false as has_branch"
     return (
         "translated",
@@ -271,28 +275,29 @@ def _translate_sql(kind: str, variant: str) -> str:
 def _all_targets_sql() -> str:
     targets = [
         f"select sql_file_name, _stg_sql_file_md5, trim({target}, {_BLANKS}) as new_sql, "
-        f"{_KINDS[kind]} as new_type from registry where {_work(kind)}"
+        f"{_KINDS[kind]} as new_type, {_review(kind)} as needs_review "
+        f"from (select *, {CODE} as code from registry where {_work(kind)})"
         for kind, target in _TARGETS.items()
     ]
     targets.append(
         f"select sql_file_name, _stg_sql_file_md5, {_TRIGGER_PLAN} as new_sql, "
-        "'Task' as new_type from triggers"
+        "'Task' as new_type, true as needs_review from triggers"
     )
     updates = ("updates", " union all ".join(targets))
     return _ctes(*_registered("plain"), _TRIGGERS, updates) + (
         "select sql_file_name, _stg_sql_file_md5, stmt_type, object_type, "
         "new_sql as target_sql, new_type as target_object_type, "
-        "case when new_sql is not null then '2024-05-02 12:00:00' end as updated_ts "
+        "case when new_sql is not null then '2024-05-02 12:00:00' end as updated_ts, needs_review "
         "from registry left join updates using (sql_file_name, _stg_sql_file_md5)"
     )
 
 
 def _table_snapshot_sql() -> str:
     return _ctes(*_registered("plain")) + (
-        "select sql_file_name, _stg_sql_file_md5, operation_type, "
-        f"case when operation_type = 'create' then trim({_TABLE}, {_BLANKS}) end as target_sql, "
-        "case when operation_type = 'create' then 'Table' end as target_object_type "
-        "from registry where stmt_type = 'DDL' and object_type = 'table'"
+        "select sql_file_name, _stg_sql_file_md5, object_type, operation_type, "
+        f"case when {_work('table')} then trim({_TABLE}, {_BLANKS}) end as target_sql, "
+        f"case when {_work('table')} then 'Table' end as target_object_type, "
+        f"case when {_work('table')} then {_review('table')} end as needs_review from registry"
     )
 
 
@@ -310,8 +315,9 @@ def _copy_sql() -> str:
 _EDGES = (
     "edges",
     rf"""
-select distinct sql_file_name, upper(object_name) as object_name, depends_on
-from (select sql_file_name, object_name,
+select distinct sql_file_name, _stg_sql_file_md5, upper(schema_name) as schema_name,
+       upper(object_name) as object_name, depends_on
+from (select sql_file_name, _stg_sql_file_md5, schema_name, object_name,
              unnest(regexp_extract_all({_sub(CODE, _DBO)},
                     '\b(?:FROM|JOIN)\s+([\w.]+)', 1)) as depends_on
       from registry where object_type = 'view' and operation_type = 'create')""",
@@ -479,7 +485,8 @@ def all_sql() -> dict[str, str]:
         "'Yes' as completion_worked, 'Completed' as completion_status, "
         "'None' as completion_err_msg, response as completion_response, "
         "stmt_type, object_type, operation_type, schema_name, object_name, "
-        "null::varchar as target_sql, null::varchar as target_object_type from good "
+        "null::varchar as target_sql, null::varchar as target_object_type, "
+        "null::boolean as needs_review from good "
         "qualify row_number() over (partition by sql_file_name, md5 "
         "order by case when k % 5 = 0 then 0 else 1 end, path) = 1",
         "registry_scan": _ctes(*_registered("plain"))
@@ -509,10 +516,11 @@ def all_sql() -> dict[str, str]:
         "group by 1",
         "copy_statement": _copy_sql(),
         "view_dependency_counts": _ctes(*_registered("plain"), _EDGES)
-        + "select v.object_name, count(distinct e.depends_on) as n_dependencies "
-        "from (select distinct upper(object_name) as object_name from registry "
+        + "select v.sql_file_name, v._stg_sql_file_md5, v.schema_name, v.object_name, "
+        "count(e.depends_on) as n_dependencies from (select sql_file_name, _stg_sql_file_md5, "
+        "upper(schema_name) as schema_name, upper(object_name) as object_name from registry "
         "where object_type = 'view' and operation_type = 'create') v "
-        "left join edges e using (object_name) group by 1",
+        "left join edges e using (sql_file_name, _stg_sql_file_md5) group by 1, 2, 3, 4",
         "parse_dependency_reply": _ctes(*_classified("plain")) + _DEPENDENCY_REPLIES,
         "parse_summary_reply": _ctes(*_classified("plain")) + _SUMMARY_REPLIES,
         "build_prompt": _ctes(*_classified("plain")) + _PROMPTS,

@@ -26,7 +26,6 @@ from scriptloom.operators.ingest import (
     registry_rows,
 )
 from scriptloom.operators.sqlapi import SqlMemo
-from scriptloom.operators.spread import spread
 from scriptloom.operators.stats import object_type_stats, stmt_type_stats
 from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import (
@@ -180,7 +179,7 @@ def new_script_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-if-absent over whole documents: one per source and content."""
-    documents = spread(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
     scripts = documents.select(
         F.col("source").alias("sql_file_name"),
         F.md5("text").alias("md5"),
@@ -209,7 +208,9 @@ def translated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = _stored_registry(spark, sf_dir)
     updates = None
     for kind, translate in TRANSLATORS.items():
-        part = translate(worklist(registry, kind)).select(*KEY, "target_sql", "target_object_type")
+        part = translate(worklist(registry, kind)).select(
+            *KEY, "target_sql", "target_object_type", "needs_review"
+        )
         updates = part if updates is None else updates.unionByName(part)
     return _translation_report(apply_translation(registry, updates, BATCH_TS))
 
@@ -227,6 +228,7 @@ def _translation_report(registry: DataFrame) -> DataFrame:
         "target_sql",
         "target_object_type",
         F.col("updated_ts").cast("string").alias("updated_ts"),
+        "needs_review",
     )
 
 
@@ -236,8 +238,8 @@ def translated_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_snapshot(_registry(spark, sf_dir), root)
     migrate_worklist(spark, root, "table", batch_ts=BATCH_TS)
     write_snapshot(read_registry(spark, root), root)
-    return read_registry(spark, root, "DDL", "table").select(
-        *KEY, "operation_type", "target_sql", "target_object_type"
+    return read_registry(spark, root).select(
+        *KEY, "object_type", "operation_type", "target_sql", "target_object_type", "needs_review"
     )
 
 
@@ -366,7 +368,7 @@ def digest_backend():
 
 def completed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per distinct text over whole documents, answers on every row."""
-    documents = spread(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
     rows = documents.select("doc_id", build_prompt("view_summary", F.col("text")).alias("prompt"))
     return complete(rows, digest_backend).select("doc_id", "response", "error")
 

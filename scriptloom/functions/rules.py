@@ -96,8 +96,41 @@ _TEXT_TYPE = (
     r"(?:NATIONAL\s+)?(?:N?VARCHAR|N?CHAR|CHARACTER)(?:\s+VARYING)?"
     rf"\b{_ARGS}?|(?:N?TEXT|STRING|SYSNAME)\b{_ARGS}?"
 )
-# A type is what follows a name; a name after "(" or "," may look like a type.
-_AFTER_NAME = r"([\w$#]\s+)(?<!\bDEFAULT\s{1,8})"
+# A type is what follows a name; a name after "(" or "," may look like a type. What follows
+# DEFAULT is a value: it is kept apart by a private-use mark while types are replaced.
+_AFTER_NAME = r"([\w$#]\s+)"
+_VALUE = "\ue002"
+
+# A call of anything but these, or a name of three parts, is nothing the rules know.
+_SAFE_CALLS = (
+    "VARCHAR|NVARCHAR|CHAR|NCHAR|CHARACTER|VARYING|TEXT|DECIMAL|NUMERIC|FLOAT|TIME|KEY|CHECK|UNIQUE|"
+    "DEFAULT|IN|AND|OR|NOT|ON|WHERE|HAVING|AS|FROM|JOIN|SELECT|BY|VALUES|RETURN|WHEN|THEN|ELSE|"
+    "COUNT|SUM|AVG|MIN|MAX|COALESCE|NULLIF|UPPER|LOWER|LTRIM|RTRIM|TRIM|ABS|ROUND|FLOOR|CEILING|"
+    "CAST|REPLACE|XML|JSON"
+)
+_OBJECT = r"\b(?:TABLE|VIEW|FUNCTION|REFERENCES|INTO)\s+[\w$#]+(?:\s*\.\s*[\w$#]*)*"
+_BEFORE_OBJECT = "CONTENT|DOCUMENT|TABLE|VIEW|FUNCTION|TRIGGER|REFERENCES|ON|FROM|JOIN|INTO|UPDATE|EXISTS|ADD|AS|RETURN|SELECT"
+
+
+def unknown_construct(code: Column) -> Column:
+    """True for a call that is not known to mean the same, a name of three parts, or N'...'.
+
+    The code is upper case and its literals are empty.
+    """
+    bare = drop_dbo(F.regexp_replace(code, _OBJECT, " KEY "))
+    return (
+        F.rlike(bare, F.lit(rf"(?<![\w$#.@])(?!(?:{_SAFE_CALLS})\b)[A-Z_#][\w$#]*+\s*+\("))
+        | F.rlike(bare, F.lit(r"[\w$#]\s*+\.\s*+[A-Z_][\w$#]*+\s*+\("))
+        | F.rlike(drop_dbo(code), F.lit(r"(?<![\w$#.])[A-Z_#][\w$#]*+\s*+\.\s*+[\w$#]*+\s*+\."))
+        | F.rlike(code, F.lit(r"\bN'"))
+    )
+
+
+def schema_type(code: Column) -> Column:
+    """True when a type is named with its schema: a name follows another name."""
+    return F.rlike(
+        code, F.lit(rf"(?<![\w$#.@])(?!(?:{_BEFORE_OBJECT})\b)[A-Z_#@][\w$#]*+\s++(?:DBO|SYS)\s*+\.")
+    )
 
 
 _SETTINGS = r"ANSI_NULLS|ANSI_PADDING|ANSI_WARNINGS|ARITHABORT|QUOTED_IDENTIFIER|NOCOUNT|XACT_ABORT"
@@ -124,13 +157,15 @@ def several_statements(code: Column) -> Column:
 
 
 def drop_dbo(code: Column) -> Column:
-    return F.regexp_replace(code, r"(?i)\bDBO\s*\.\s*", "")
+    """Without the default schema, where it is the first part of a name."""
+    return F.regexp_replace(code, r"(?i)(?<![\w$#.])(?<!\.\s)DBO\s*\.\s*", "")
 
 
 def _table_rules(code: Column) -> Column:
-    code = drop_dbo(code)
+    code = F.regexp_replace(drop_dbo(code), r"\bDEFAULT(\s+)", f"DEFAULT$1{_VALUE}")
     code = F.regexp_replace(code, rf"{_AFTER_NAME}(?:{_TEXT_TYPE})", "$1TEXT")
     code = F.regexp_replace(code, rf"{_AFTER_NAME}(?:XML|JSON)\b{_ARGS}?", "$1VARIANT")
+    code = F.translate(code, _VALUE, "")
     return F.regexp_replace(code, r"\bCREATE\s+TABLE\b", "CREATE OR REPLACE TABLE")
 
 
@@ -140,13 +175,13 @@ def table_ddl(text: Column) -> Column:
 
 def table_review(text: Column) -> Column:
     """True when the table uses a feature that the header rules leave as it is."""
-    return F.rlike(
+    return unknown_construct(text) | schema_type(text) | F.rlike(
         text,
         F.lit(
             r"\b(?:IDENTITY|CLUSTERED|NONCLUSTERED|ON\s+PRIMARY|TEXTIMAGE_ON|PERSISTED|ROWGUIDCOL"
             r"|SPARSE|COLLATE|UNIQUEIDENTIFIER|SMALLMONEY|MONEY|BIT|DATETIME|SMALLDATETIME"
             r"|DATETIME2|DATETIMEOFFSET|VARBINARY|IMAGE|HIERARCHYID|GEOGRAPHY|GEOMETRY"
-            r"|SQL_VARIANT|ROWVERSION|TINYINT|GETDATE|NEWID)\b|\bWITH\s*\("
+            r"|SQL_VARIANT|ROWVERSION|TINYINT|GETDATE|NEWID)\b|\bWITH\s*\(|\bAS\s*\(|\)\s*ON\s+[\w$#]+"
         ),
     )
 
@@ -181,10 +216,11 @@ def constraint_review(text: Column) -> Column:
 
 def _function_rules(code: Column) -> Column:
     code = F.regexp_replace(code, r"@+([A-Za-z_#])", "$1")
+    code = F.regexp_replace(code, r"(?i)\bCREATE\s+OR\s+ALTER\s+FUNCTION\b", "CREATE OR REPLACE FUNCTION")
     code = F.regexp_replace(code, rf"(?i)\bRETURNS(\s+)(?:{_TEXT_TYPE})", "RETURNS$1TEXT")
     return F.regexp_replace(
         code,
-        rf"(?i)\b(RETURNS\s+(?:TABLE|[A-Z]\w*{_ARGS}?))(\s+(?:WITH\b|AS\b|BEGIN\b|RETURN\b))",
+        rf"(?i)\b(RETURNS\s+(?:TABLE|[A-Z]\w*(?:\s*\.\s*\w+)?{_ARGS}?))(\s+(?:WITH\b|AS\b|BEGIN\b|RETURN\b))",
         "$1 LANGUAGE SQL$2",
     )
 
@@ -207,6 +243,9 @@ def function_review(code: Column) -> Column:
     return (
         has_declare(code)
         | has_branch(code)
+        | unknown_construct(code)
+        | schema_type(code)
+        | F.rlike(code, F.lit(r"^\s*ALTER\b|\bRETURNS\s+\w+\s*\."))
         | F.rlike(
             code, F.lit(r"\bRETURNS\s+(?:@\w+\s+)?TABLE\b|@@|\b(?:WHILE|EXEC|WITH)\b|#\w")
         )
@@ -256,6 +295,7 @@ def view_ddl(ddl: Column, select_list: Column) -> Column:
 def view_review(ddl: Column, select_list: Column) -> Column:
     return (
         ~view_list_is_flat(select_list)
+        | unknown_construct(ddl)
         | (count_matches(ddl, r"\bSELECT\b") > 1)
         | F.rlike(ddl, F.lit(r"\b(?:TOP|APPLY|PIVOT|SCHEMABINDING|NOLOCK|ISNULL|GETDATE)\b"))
     )
@@ -263,9 +303,9 @@ def view_review(ddl: Column, select_list: Column) -> Column:
 
 _TRIGGER = (
     rf"(?is)\bCREATE\s+(?:OR\s+ALTER\s+)?TRIGGER\s+({_NAME})\s+ON\s+({_NAME})\s+"
-    r"(?:WITH(?:\s+[\w,]+){1,8}?\s+)?(AFTER|FOR|INSTEAD\s+OF)\s+"
+    r"(?:WITH(?:\s++(?!(?:AFTER|FOR|INSTEAD)\b)[\w,']++)++\s++)?(AFTER|FOR|INSTEAD\s+OF)\s+"
     r"((?:INSERT|UPDATE|DELETE)(?:\s*,\s*(?:INSERT|UPDATE|DELETE))*)"
-    r"(?:\s+NOT\s+FOR\s+REPLICATION)?\s+AS\b\s*(.*)$"
+    r"(?:\s+WITH\s+APPEND)?(?:\s+NOT\s+FOR\s+REPLICATION)?\s+AS\b\s*(.*)$"
 )
 
 
@@ -306,19 +346,31 @@ def trigger_plan(name: Column, table: Column, events: Column, body: Column) -> C
 # --- lineage --------------------------------------------------------------------
 
 _CODE_NAME = r"[\w$#]+(?:\s*\.\s*[\w$#]*){0,3}"
-_SOURCES = (
-    rf"\b(?:FROM|JOIN)\s+({_CODE_NAME}(?:(?:\s+(?:AS\s+)?[\w$#]+)?\s*,\s*{_CODE_NAME})*+)"
-)
+# What may stand between a name and a comma that goes on with the list: an alias, hints.
+_ALIAS = r"(?:\s+(?:AS\s+)?(?!(?:WITH|ON|WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|OUTER|GROUP|ORDER|HAVING|UNION)\b)[\w$#]+)?"
+_HINT = r"(?:\s*(?:WITH\s*)?\((?:\s*,?\s*(?:NOLOCK|READPAST|READUNCOMMITTED|READCOMMITTED|HOLDLOCK|UPDLOCK|ROWLOCK|TABLOCK|FORCESEEK|SNAPSHOT|INDEX\s*\([^()]*\)))+\s*\))?"
+_LIST = rf"{_CODE_NAME}{_ALIAS}{_HINT}(?:\s*,\s*{_CODE_NAME}{_ALIAS}{_HINT})*+"
+_SOURCES = rf"\b(?:FROM|JOIN)[\s(]+(?!SELECT\b)({_LIST})"
+# After a join condition a comma goes on with the FROM list; in a select list it cannot.
+_AFTER_ON = rf"\bON\b(?:(?!\b(?:WHERE|GROUP|ORDER|HAVING|UNION|SELECT|WHEN|JOIN)\b)[^,()]|\([^()]*\))*+,\s*({_LIST})"
 _CTE = r"(?:\bWITH|,)\s*+([\w$#]+)\s*+(?:\([^()]*\)\s*+)?AS\s*+\("
+# FROM that opens no list of sources.
+_NO_SOURCE = r"\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b|\b(?:TRIM|SUBSTRING|EXTRACT)\s*\([^()]*\)"
 
 
 def source_names(code: Column) -> Column:
     """Distinct names a query reads, without the ones it declares itself.
 
-    Follows FROM and JOIN, comma lists of names included. `code` is `code_only`.
+    Follows FROM and JOIN, also in brackets, and lists that go on after a comma, past hints
+    and join conditions. `code` is `code_only`.
     """
-    lists = F.regexp_extract_all(code, F.lit(_SOURCES), F.lit(1))
-    names = F.flatten(F.transform(lists, lambda s: F.split(s, ",")))
+    code = F.regexp_replace(code, _NO_SOURCE, " ")
+    lists = F.concat(
+        F.regexp_extract_all(code, F.lit(_SOURCES), F.lit(1)),
+        F.regexp_extract_all(code, F.lit(_AFTER_ON), F.lit(1)),
+    )
+    bare = F.transform(lists, lambda s: F.regexp_replace(s, r"\([^()]*(?:\([^()]*\)[^()]*)*\)", " "))
+    names = F.flatten(F.transform(bare, lambda s: F.split(s, ",")))
     names = F.transform(
         names,
         lambda n: drop_dbo(

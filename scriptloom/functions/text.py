@@ -25,6 +25,17 @@ TOKEN = (
 
 BLANKS = " \t\r\n"
 
+# Words that the target reserves; as names they keep needing delimiters.
+RESERVED = (
+    "ACCOUNT ALL ALTER AND ANY AS BETWEEN BY CASE CAST CHECK COLUMN CONNECT CONNECTION CONSTRAINT "
+    "CREATE CROSS CURRENT CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER DATABASE DELETE "
+    "DISTINCT DROP ELSE EXISTS FALSE FOLLOWING FOR FROM FULL GRANT GROUP HAVING ILIKE IN INCREMENT "
+    "INNER INSERT INTERSECT INTO IS ISSUE JOIN LATERAL LEFT LIKE LOCALTIME LOCALTIMESTAMP MINUS "
+    "NATURAL NOT NULL OF ON OR ORDER ORGANIZATION QUALIFY REGEXP REVOKE RIGHT RLIKE ROW ROWS SAMPLE "
+    "SCHEMA SELECT SET SOME START TABLE TABLESAMPLE THEN TO TRIGGER TRUE TRY_CAST UNION UNIQUE "
+    "UPDATE USER USING VALUES VIEW WHEN WHENEVER WHERE WITH"
+).split()
+
 # Marks around a bare name while tokens are glued; private-use characters.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
@@ -126,9 +137,14 @@ def code_only(toks: Column) -> Column:
 
 
 def has_irregular_name(toks: Column) -> Column:
-    """True when a delimited name would not be valid without its delimiters."""
+    """True when a delimited name would not be valid, or a reserved word, without its delimiters."""
     return F.exists(
-        toks, lambda t: _is_delimited(t) & ~F.rlike(_undelimit(t), F.lit(r"^[A-Za-z_@#][\w$@#]*$"))
+        toks,
+        lambda t: _is_delimited(t)
+        & (
+            ~F.rlike(_undelimit(t), F.lit(r"^[A-Za-z_@#][\w$@#]*$"))
+            | F.upper(_undelimit(t)).isin(RESERVED)
+        ),
     )
 
 

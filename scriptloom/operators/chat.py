@@ -12,22 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions.text import word_count
+from scriptloom.operators.skew import hot_key_hashes, key_hash
 
 # The message tags of the prompt format and its length budget.
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 3072
 
-# Conversations over budget that are filtered out before the shuffle, longest first. Any
-# other one over budget holds less than this fraction of the history.
-_OVERLONG = 100_000
+# Conversations over budget of so many messages are filtered out before the shuffle, at
+# most HOT_KEYS of them, found with a frequent-items sketch.
+_MANY_TURNS = 10_000
 
 GREETING = "Hello, I can help with moving your database scripts. What would you like to know?"
 
 
 def message_piece(role: Column, text: Column) -> Column:
-    """One message between its tags; any role but user speaks as the assistant."""
+    """One message between its tags; any role but user speaks as the assistant, a null text
+    says nothing."""
     speaker = F.when(role == "user", "user").otherwise("assistant")
-    return F.concat(F.lit(START), speaker, F.lit("\n"), text, F.lit(END))
+    return F.concat(F.lit(START), speaker, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(END))
 
 
 def chat_lengths(
@@ -66,18 +68,18 @@ def chat_prompt(
 
     `only` restricts the result to the conversations whose ids it holds.
 
-    Refused conversations are not gathered. The longest of them are filtered out
+    Refused conversations are not gathered. Those of very many messages are filtered out
     before the shuffle through a list of fixed size, so that no conversation holding a
     large share of the history reaches a single task; the rest drop out in the join.
+    A message adds to the length, so one of more messages than the budget is refused.
     """
     lengths = chat_budget(history, budget, count_units)
-    overlong = (
-        lengths.where(F.col("refused") & (F.col("n_turns") > 0))
-        .orderBy(F.col("n_units").desc())
-        .limit(_OVERLONG)
-        .select("conv_id")
-    )
-    kept = history.join(F.broadcast(overlong), "conv_id", "left_anti")
+    kept = history
+    hot = hot_key_hashes(history, ["conv_id"], max(_MANY_TURNS, budget + 1)) if count_units is word_count else []
+    if hot:
+        # A hash shared by two conversations must not lose the one that is not refused.
+        long = lengths.where(F.col("refused") & key_hash(["conv_id"]).isin(hot)).select("conv_id")
+        kept = history.join(long, "conv_id", "left_anti")
     # Naming the turn count keeps all three uses of the lengths the same aggregate, whose
     # shuffle output Spark then computes once and reuses.
     wanted = lengths.where(F.col("n_turns") > 0)
@@ -102,7 +104,7 @@ def chat_prompt(
 
 def chat_pending(history: DataFrame) -> DataFrame:
     """Conversations whose last message is not the assistant's."""
-    last = history.groupBy("conv_id").agg(
+    last = history.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(
         F.max("turn").alias("last_turn"),
         F.max_by(~F.col("role").eqNullSafe("assistant"), "turn").alias("open"),
     )

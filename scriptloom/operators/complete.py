@@ -17,22 +17,25 @@ from scriptloom.sources.registry import path_exists
 Backend = Callable[[Sequence[str]], Sequence[str]]
 BackendFactory = Callable[[], Backend]
 
-LEDGER_SCHEMA = "prompt_hash string, response string, error string"
+LEDGER_SCHEMA = "model string, prompt_hash string, response string, error string"
 
 
 # Calls one task makes: what a lost executor costs at most.
 CALLS_PER_TASK = 10_000
 
 
-def read_ledger(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+def read_ledger(
+    spark: SparkSession, path: str, wanted: DataFrame | None = None, model: str | None = None
+) -> DataFrame:
     """One row per prompt: its answer, or the error when no attempt succeeded.
 
-    `wanted` restricts it to the prompts of one run; a small run then joins a ledger
-    grown over many by broadcast and aggregates its own entries only.
+    Answers belong to the model that gave them; without one they are those of backends that
+    were not named. `wanted` restricts the rows to the prompts of one run; a small run then
+    joins a ledger grown over many by broadcast and aggregates its own entries only.
     """
     if not path_exists(spark, path):
-        return spark.createDataFrame([], LEDGER_SCHEMA)
-    entries = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+        return spark.createDataFrame([], "prompt_hash string, response string, error string")
+    entries = _entries(spark, path, model)
     if wanted is not None:
         entries = entries.join(wanted.select("prompt_hash"), "prompt_hash", "left_semi")
     best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "response", "error"))
@@ -43,7 +46,12 @@ def read_ledger(spark: SparkSession, path: str, wanted: DataFrame | None = None)
     )
 
 
-def _caller(factory: BackendFactory, batch_size: int):
+def _entries(spark: SparkSession, path: str, model: str | None) -> DataFrame:
+    entries = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    return entries.where(F.col("model").eqNullSafe(F.lit(model).cast("string")))
+
+
+def _caller(factory: BackendFactory, batch_size: int, model: str | None = None):
     def answer(backend: Backend, prompts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
             replies = list(backend(prompts))
@@ -65,6 +73,7 @@ def _caller(factory: BackendFactory, batch_size: int):
                 answers += answer(backend, prompts[start : start + batch_size])
             yield pd.DataFrame(
                 {
+                    "model": pd.Series([model] * len(frame), dtype="object"),
                     "prompt_hash": frame["prompt_hash"],
                     "response": pd.Series([a[0] for a in answers], dtype="object"),
                     "error": pd.Series([a[1] for a in answers], dtype="object"),
@@ -83,9 +92,12 @@ def complete(
     batch_size: int = 32,
     spread_by: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    model: str | None = None,
 ) -> DataFrame:
     """Add `response` and `error` for the prompt of each row.
 
+    `model` names what answers: the ledger keeps the answers of each model apart.
+
     Distinct prompts are written out first, so neither the scan nor the rules behind
     them run again while the service is slow or a task is retried. Prompts with an
     answer in the ledger are not asked again; failed ones are. New answers are in
@@ -95,7 +107,7 @@ def complete(
     ledger = ledger or work_dir(spark, "ledger")
     spread_by = spread_by or [c for c in rows.columns if c != prompt]
     # Rows without a prompt match no answer; a hash of their own keeps them apart.
-    own = F.concat(F.lit("none "), F.xxhash64(*spread_by).cast("string"))
+    own = F.concat(F.lit("none "), F.xxhash64(*(spread_by or [prompt])).cast("string"))
     keyed = rows.withColumn("prompt_hash", F.coalesce(F.sha2(prompt, 256), own))
 
     asked = work_dir(spark, "prompts")
@@ -107,20 +119,24 @@ def complete(
     )
     prompts = spark.read.parquet(asked)
 
-    answered = read_ledger(spark, ledger).where(F.col("error").isNull()).select("prompt_hash")
-    waiting = prompts.select("prompt_hash", "prompt").join(answered, "prompt_hash", "left_anti")
+    waiting = prompts.select("prompt_hash", "prompt")
+    if path_exists(spark, ledger):
+        # An anti-join needs no distinct keys: the ledger's replies are neither read nor moved.
+        answered = _entries(spark, ledger, model).where("error is null").select("prompt_hash")
+        waiting = waiting.join(answered, "prompt_hash", "left_anti")
     # Prompts are small and calls slow: tasks are sized by calls, not by bytes.
     slots = spark.sparkContext.defaultParallelism
-    tasks = parallelism or max(slots, prompts.count() // CALLS_PER_TASK)
+    tasks = parallelism or max(slots, waiting.count() // CALLS_PER_TASK)
     (
         waiting.repartition(tasks, "prompt_hash")
-        .mapInPandas(_caller(factory, batch_size), LEDGER_SCHEMA)
+        .mapInPandas(_caller(factory, batch_size, model), LEDGER_SCHEMA)
         .write.mode("append")
         .parquet(ledger)
     )
 
     hot = _hot_prompts(prompts, hot_rows)
-    answers = read_ledger(spark, ledger, prompts)
+    answers = read_ledger(spark, ledger, prompts, model)
+    spread_by = spread_by or ["prompt_hash"]
     return salted_left_join(keyed, answers, ["prompt_hash"], hot, spread_by).drop("prompt_hash")
 
 

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.operators.skew import HOT_ROWS, hot_key_hashes, salted_left_join
+from scriptloom.operators.skew import hot_key_hashes, salted_left_join
 from scriptloom.schema import (
     AUDIT_ERR_MSG,
     AUDIT_STATUS,
@@ -50,13 +50,23 @@ def first_per_key(scripts: DataFrame, determined: Sequence[str] = ()) -> DataFra
 def new_scripts(scripts: DataFrame, registry: DataFrame) -> DataFrame:
     """Scripts whose key is not registered yet, one per key.
 
-    The aggregate leaves the rows partitioned by the key, so the anti-join moves only
-    the registry's two key columns.
+    What is new is found from keys and paths alone. Bodies move only for the scripts that
+    are, so a run that finds little new shuffles little, whatever the stage holds.
     """
     known = registry.select(
         F.col("sql_file_name"), F.col("_stg_sql_file_md5").alias("md5")
     ).distinct()
-    return first_per_key(scripts).join(known, ["sql_file_name", "md5"], "left_anti")
+    keys = ["sql_file_name", "md5"]
+    first = (
+        scripts.groupBy(*keys)
+        .agg(F.min("path").alias("path"))
+        .join(known, keys, "left_anti")
+        .select(*[F.col(c).alias(f"__{c}") for c in (*keys, "path")])
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "path")]
+    winners = scripts.join(first, same, "left_semi")
+    # A path that was listed twice is one script.
+    return winners.dropDuplicates([*keys, "path"])
 
 
 def registry_rows(classified: DataFrame) -> DataFrame:
@@ -75,6 +85,7 @@ def registry_rows(classified: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("target_sql"),
         F.lit(None).cast("string").alias("target_object_type"),
         F.lit(None).cast("timestamp").alias("updated_ts"),
+        F.lit(None).cast("boolean").alias("needs_review"),
     )
 
 
@@ -83,15 +94,17 @@ def apply_translation(
     updates: DataFrame,
     batch_ts: datetime | None = None,
     order_by: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """The registry with target SQL, target kind and time set where both keys match.
+    """The registry with target SQL, kind, time and review mark set where both keys match.
 
     All registry rows of a key change. `updates` has the key columns, `target_sql`,
-    `target_object_type` and perhaps `updated_ts`; the last one of a key by that time
-    and by `order_by` wins, then the greatest text. No `hot_rows` tells that keys are
-    known to be unique.
+    `target_object_type` and perhaps `updated_ts` and `needs_review`; the last one of a key
+    by that time and by `order_by` wins, then the greatest text. An update without a text
+    changes nothing. Inserts keep keys unique; for a registry where a key may repeat very
+    often `hot_rows` spreads such keys, at the price of a pass over its key columns.
     """
+    updates = updates.where(F.col("target_sql").isNotNull())
     stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
     if "updated_ts" in updates.columns:
         stamp = F.col("updated_ts")
@@ -101,17 +114,23 @@ def apply_translation(
             *([order_by] if order_by else []),
             F.col("target_sql").alias("new_sql"),
             F.col("target_object_type").alias("new_type"),
+            (F.col("needs_review") if "needs_review" in updates.columns else F.lit(None).cast("boolean")).alias("new_review"),
         )
     )
     latest = (
         updates.groupBy(*KEY)
         .agg(last.alias("last"))
-        .select(*KEY, "last.new_sql", "last.new_type", "last.new_ts")
+        .select(*KEY, "last.new_sql", "last.new_type", "last.new_ts", "last.new_review")
     )
     hot = [] if hot_rows is None else hot_key_hashes(registry, KEY, hot_rows)
     joined = salted_left_join(registry, latest, KEY, hot, ["_stg_sql_file_name"])
     matched = F.col("new_ts").isNotNull()
-    changed = {"target_sql": "new_sql", "target_object_type": "new_type", "updated_ts": "new_ts"}
+    changed = {
+        "target_sql": "new_sql",
+        "target_object_type": "new_type",
+        "updated_ts": "new_ts",
+        "needs_review": "new_review",
+    }
     return joined.select(
         *[
             F.when(matched, F.col(changed[c])).otherwise(F.col(c)).alias(c)

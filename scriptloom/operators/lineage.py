@@ -9,30 +9,31 @@ from scriptloom.functions import rules
 from scriptloom.functions.replies import dependency_lines, summary_checks, summary_parts
 from scriptloom.functions.text import code_only, tokens
 from scriptloom.operators.once import once
+from scriptloom.schema import KEY
+
+
+_NAMED = [*KEY, "schema_name", "object_name"]
 
 
 def _with_sources(views: DataFrame) -> DataFrame:
     code = once(views, __code=code_only(tokens(F.col("sql_body"))))
-    name = F.upper("object_name").alias("object_name")
-    return code.select("sql_file_name", name, rules.source_names(F.col("__code")).alias("sources"))
+    upper = [F.upper(c).alias(c) for c in ("schema_name", "object_name")]
+    return once(code.select(*KEY, *upper, "__code"), sources=rules.source_names(F.col("__code")))
 
 
 def view_dependencies(views: DataFrame) -> DataFrame:
-    """Distinct edges from a view to each table or view it reads."""
-    return (
-        _with_sources(views)
-        .select("sql_file_name", "object_name", F.explode("sources").alias("depends_on"))
-        .distinct()
-    )
+    """Edges from a view to each table or view it reads, once per script.
+
+    A view is its script: two of one name in different schemas, or two versions of a file,
+    keep their own edges. Sources are distinct in their row, so nothing is shuffled.
+    """
+    return _with_sources(views).select(*_NAMED, F.explode("sources").alias("depends_on"))
 
 
 def view_dependency_counts(views: DataFrame) -> DataFrame:
-    """Number of tables and views each view reads; views that read none count 0."""
-    return (
-        _with_sources(views)
-        .select("object_name", F.explode_outer("sources").alias("depends_on"))
-        .groupBy("object_name")
-        .agg(F.count_distinct("depends_on").alias("n_dependencies"))
+    """Number of tables and views each view script reads; one that reads none counts 0."""
+    return _with_sources(views).select(
+        *_NAMED, F.size("sources").cast("bigint").alias("n_dependencies")
     )
 
 

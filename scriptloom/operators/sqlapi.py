@@ -14,8 +14,9 @@ class SqlMemo:
     """SQL text to frame; the same text gives the same frame.
 
     Anything that fails, be it a text that is no string, bad SQL or an error while
-    the query runs, gives an empty frame without columns. Results are cached on the
-    executors, never on the driver; the least recently used one is released.
+    the query is planned, gives an empty frame without columns. A result is kept on the
+    executors, as far as it was read, never on the driver; the least recently used one is
+    released.
     """
 
     def __init__(self, spark: SparkSession, size: int = 32):
@@ -33,9 +34,10 @@ class SqlMemo:
             self._memo.move_to_end(text)
             return self._memo[text]
         try:
-            result = self._spark.sql(text).cache()
-            # Run it once, so that an error shows here and the cache is filled.
-            result.write.format("noop").mode("overwrite").save()
+            result = self._spark.sql(text)
+            # Plan it and read one row, so that most errors show here; then keep what is read.
+            result.limit(1).write.format("noop").mode("overwrite").save()
+            result = result.cache()
         except PySparkException as error:
             print(f"query failed: {error}")
             result = self._empty()

@@ -155,7 +155,7 @@ def translate_view(work: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def translate_trigger(work: DataFrame, compat: bool = False) -> DataFrame:
-    """Trigger: a procedure with the body as it stands, then a task that calls it."""
+    """Trigger: a procedure with its body, freed of comments, delimiters and dbo, then a task that calls it."""
     fields = {c: F.col(c) for c in ("trigger_name", "target_table", "timing", "events")}
     return _from_worklist(work, "trigger", compat, **fields)
 
@@ -187,11 +187,14 @@ def translate_registry(
     kinds: list[str] | None = None,
     compat: bool = False,
     batch_ts: datetime | None = None,
+    overwrite: bool = False,
 ) -> DataFrame:
     """The registry with every script of the given kinds translated where it is.
 
     A rule translation depends on nothing but its own row, so unlike
-    `apply_translation` this needs no join and no shuffle.
+    `apply_translation` this needs no join and no shuffle. Rows that have a translation
+    keep it unless `overwrite` is set. A script the rules cannot read keeps what it has and
+    is marked for review; it gets no time, as nothing was translated.
     """
     kinds = kinds or list(WORKLIST_KINDS)
     kind = F.lit(None).cast("string")
@@ -203,15 +206,20 @@ def translate_registry(
             & (F.col("operation_type") == operation_type)
         )
         kind = F.when(is_kind, name).otherwise(kind)
-    rows = _translated(once(registry, __kind=kind), kinds, F.col("__kind"), compat)
+    if not overwrite:
+        kind = F.when(F.col("target_sql").isNull(), kind)
+    marked = registry.withColumnRenamed("needs_review", "__review")
+    rows = _translated(once(marked, __kind=kind), kinds, F.col("__kind"), compat)
     stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
     changed = {
         "target_sql": F.col("new_sql"),
         "target_object_type": F.col("new_type"),
         "updated_ts": stamp,
     }
-    is_changed = F.col("__kind").isNotNull()
-    return rows.select(
+    is_read = F.col("__kind").isNotNull()
+    is_changed = is_read & F.col("new_sql").isNotNull()
+    review = F.when(is_read, F.col("needs_review")).otherwise(F.col("__review"))
+    return rows.withColumn("needs_review", review).select(
         *[
             F.when(is_changed, changed[c]).otherwise(F.col(c)).alias(c)
             if c in changed

@@ -27,9 +27,14 @@ def worklist(registry: DataFrame, kind: str, limit: int | None = 0) -> DataFrame
 
 
 def stored_worklist(
-    spark: SparkSession, root: str, kind: str, limit: int | None = 0
+    spark: SparkSession, root: str, kind: str, limit: int | None = 0, only_open: bool = False
 ) -> DataFrame:
-    """Work list read from a stored registry; only the kind's folder is scanned."""
+    """Work list read from a stored registry; only the kind's folder is scanned.
+
+    `only_open` leaves out scripts that have a translation, before the limit applies.
+    """
     object_type, _ = WORKLIST_KINDS[kind]
-    rows = read_registry(spark, root, "DDL", object_type, translations=False)
+    rows = read_registry(spark, root, "DDL", object_type, translations=only_open)
+    if only_open:
+        rows = rows.where(F.col("target_sql").isNull())
     return worklist(rows, kind, limit)

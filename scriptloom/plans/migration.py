@@ -12,7 +12,13 @@ from scriptloom.operators.tasks import answer_task
 from scriptloom.operators.translate import TRANSLATORS, translate_registry
 from scriptloom.operators.worklist import stored_worklist
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS, WORKLIST_KINDS
-from scriptloom.sources.registry import add_translations, read_registry, write_snapshot
+from scriptloom.sources.registry import (
+    add_translations,
+    drop_versions,
+    has_translations,
+    read_registry,
+    write_snapshot,
+)
 
 
 def migrate_all(
@@ -21,14 +27,21 @@ def migrate_all(
     kinds: list[str] | None = None,
     compat: bool = False,
     batch_ts: datetime | None = None,
+    overwrite: bool = False,
+    keep_versions: int | None = None,
 ) -> int:
     """Translate every script of the kinds by rules and write the next version.
 
-    One pass from files to files, with a shuffle only to take in translations that were
-    recorded since the last version.
+    Scripts that are translated, by whatever means, stay as they are unless `overwrite` is
+    set. One pass from files to files, with a shuffle only to take in translations that were
+    recorded since the last version. `keep_versions` deletes all but the newest.
     """
-    rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts)
-    return write_snapshot(rows, registry, rebalance=False)
+    joined = has_translations(spark, registry)
+    rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts, overwrite)
+    version = write_snapshot(rows, registry, rebalance=joined)
+    if keep_versions:
+        drop_versions(spark, registry, keep_versions)
+    return version
 
 
 def migrate_worklist(
@@ -40,14 +53,17 @@ def migrate_worklist(
     batch_ts: datetime | None = None,
     backend: BackendFactory | None = None,
     ledger: str | None = None,
+    again: bool = False,
 ) -> int:
     """Translate one work list, by rules or by a backend, and record the result.
 
-    A script the backend failed on keeps what it had. Returns the version added to.
+    The list holds scripts without a translation, so repeated runs with a limit go on where
+    the last one ended; `again` takes the first ones whether translated or not. A script
+    the backend failed on keeps what it had. Returns the version added to.
     """
     if kind not in WORKLIST_KINDS:
         raise ValueError(f"unknown kind: {kind}")
-    work = stored_worklist(spark, registry, kind, limit)
+    work = stored_worklist(spark, registry, kind, limit, only_open=not again)
     if backend is None:
         updates = TRANSLATORS[kind](work, compat)
     else:

@@ -18,7 +18,7 @@ from scriptloom.operators.classify import (
 from scriptloom.operators.complete import BackendFactory, complete
 from scriptloom.operators.ingest import new_scripts, registry_rows
 from scriptloom.schema import SCRIPT_PATTERN
-from scriptloom.session import work_dir
+from scriptloom.session import remove_dir, work_dir
 from scriptloom.sources.registry import read_registry, registry_insert
 from scriptloom.sources.stage import batch_scripts, with_file_name
 
@@ -44,8 +44,15 @@ def onboard(
     with equal keys have equal bodies, hence equal replies, so this cannot hide a
     usable copy behind an unusable one. Without a backend the rules classify.
     """
-    scripts = with_file_name(batch_scripts(spark, roots, limit, pattern=pattern))
+    scripts = with_file_name(batch_scripts(spark, roots, None, pattern=pattern))
     fresh = new_scripts(scripts, read_registry(spark, registry, translations=False))
+    if limit is not None:
+        # Cut what is new, not what is there: repeated runs come to every file.
+        fresh = fresh.orderBy("path").limit(limit)
+    # The scan runs once, also when a service is asked and answers are joined back.
+    fresh_path = work_dir(spark, "fresh")
+    fresh.write.parquet(fresh_path)
+    fresh = spark.read.parquet(fresh_path)
     if backend is None:
         replied = classify_scripts(fresh)
     else:
@@ -56,4 +63,5 @@ def onboard(
     parse_classification(replied).write.parquet(staged)
     parsed = spark.read.parquet(staged)
     version = registry_insert(registry_rows(usable(parsed)), registry)
+    remove_dir(spark, fresh_path)
     return Onboarded(version, classification_rejects(parsed))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The business key of a script, and the columns of a registry row in order.
+# The business key of a script, and the columns of a registry row in order;
+# `needs_review` is this library's own.
 KEY = ["sql_file_name", "_stg_sql_file_md5"]
 
 CLASS_KEYS = ["stmt_type", "object_type", "operation_type", "schema_name", "object_name"]
@@ -23,6 +24,7 @@ REGISTRY_COLUMNS = [
     "target_sql",
     "target_object_type",
     "updated_ts",
+    "needs_review",
 ]
 
 # Audit constants of a successful insert ("None" is text, not null).
@@ -67,7 +69,7 @@ REGISTRY_SCHEMA = T.StructType(
     [
         T.StructField(
             name,
-            T.TimestampType() if name == "updated_ts" else T.StringType(),
+            {"updated_ts": T.TimestampType(), "needs_review": T.BooleanType()}.get(name, T.StringType()),
             name not in KEY,
         )
         for name in REGISTRY_COLUMNS

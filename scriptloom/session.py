@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -45,7 +47,15 @@ def build_session(
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="scriptloom-")
+    path = tempfile.mkdtemp(prefix="scriptloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

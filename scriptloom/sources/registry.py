@@ -27,7 +27,7 @@ PARTITIONS = ["part_stmt", "part_object"]
 
 _TRANSLATION_SCHEMA = (
     "sql_file_name string, _stg_sql_file_md5 string, target_sql string, "
-    "target_object_type string, updated_ts timestamp"
+    "target_object_type string, updated_ts timestamp, needs_review boolean"
 )
 
 # Scripts compress well, and a task reads at least one row group: bound a file by the
@@ -108,7 +108,7 @@ def read_registry(
         return rows
     # Inserts keep the keys unique, so no key is hot here.
     recorded = spark.read.schema(_TRANSLATION_SCHEMA).parquet(added)
-    return apply_translation(rows, recorded, hot_rows=None)
+    return apply_translation(rows, recorded)
 
 
 def _translations_path(root: str, version: int) -> str:
@@ -116,13 +116,16 @@ def _translations_path(root: str, version: int) -> str:
 
 
 def add_translations(updates: DataFrame, root: str, batch_ts: datetime | None = None) -> int:
-    """Record translations (key, `target_sql`, `target_object_type`) of registered scripts."""
+    """Record translations of registered scripts: key, `target_sql`, `target_object_type` and
+    perhaps `needs_review`. Rows without a text are no translation and are left out."""
     version = latest_version(updates.sparkSession, root)
     if version is None:
         raise ValueError(f"no registry in {root}")
     stamp = F.current_timestamp() if batch_ts is None else F.lit(batch_ts)
+    review = F.col("needs_review") if "needs_review" in updates.columns else F.lit(None).cast("boolean")
     (
-        updates.select(*KEY, "target_sql", "target_object_type", stamp.alias("updated_ts"))
+        updates.where(F.col("target_sql").isNotNull())
+        .select(*KEY, "target_sql", "target_object_type", stamp.alias("updated_ts"), review.alias("needs_review"))
         .write.mode("append")
         .parquet(_translations_path(root, version))
     )
@@ -150,6 +153,27 @@ def registry_insert(rows: DataFrame, root: str) -> int:
     return version
 
 
+def has_translations(spark: SparkSession, root: str) -> bool:
+    """Whether translations were recorded since the latest version was written."""
+    version = latest_version(spark, root)
+    return version is not None and path_exists(spark, _translations_path(root, version))
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete all but the newest versions and the translations recorded for them."""
+    path, fs = _file_system(spark, root)
+    if not fs.exists(path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    versions = sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n))
+    newest = latest_version(spark, root)
+    old = [v for v in versions if newest is not None and v <= newest][: -max(keep, 1)]
+    for version in old:
+        for folder in (f"{root}/v={version}", _translations_path(root, version)):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+    return old
+
+
 def write_snapshot(rows: DataFrame, root: str, rebalance: bool = True) -> int:
     """Write a full registry as the next version.
 

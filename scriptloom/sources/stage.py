@@ -26,6 +26,23 @@ def _plain_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def _utc_text(time: Column) -> Column:
+    """The time as text in UTC, whatever the zone of the session."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), time.cast("timestamp_ntz"))
+    return utc.cast("string")
+
+
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes: UTF-16 with a byte-order mark, or else UTF-8; no mark is kept."""
+    mark = F.hex(F.substring(content, 1, 2))
+    text = (
+        F.when(mark == "FFFE", F.decode(content, "UTF-16LE"))
+        .when(mark == "FEFF", F.decode(content, "UTF-16BE"))
+        .otherwise(F.decode(content, "UTF-8"))
+    )
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def scan_scripts(
     spark: SparkSession,
     roots: str | Sequence[str],
@@ -33,7 +50,7 @@ def scan_scripts(
     glob: str = "*.sql",
     limit: int | None = None,
 ) -> DataFrame:
-    """Every script under the roots whose path matches the pattern.
+    """Every script under the roots whose path matches the pattern; the hash is of its bytes.
 
     The glob prunes while listing, the pattern decides on the whole path. With a
     limit the first paths in order are found from the listing alone, and only
@@ -44,7 +61,7 @@ def scan_scripts(
         roots = _first_paths(spark, roots, pattern, glob, limit)
         if not roots:
             return spark.createDataFrame([], ", ".join(f"{c} string" for c in SCAN_COLUMNS))
-    reader = spark.read.format("text").option("wholetext", True)
+    reader = spark.read.format("binaryFile")
     if limit is None:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return (
@@ -52,9 +69,9 @@ def scan_scripts(
         .where(matches_pattern(_plain_path(), pattern))
         .select(
             _plain_path().alias("path"),
-            F.col("_metadata.file_modification_time").cast("string").alias("load_ts"),
-            F.md5("value").alias("md5"),
-            F.col("value").alias("sql_body"),
+            _utc_text(F.col("modificationTime")).alias("load_ts"),
+            F.md5("content").alias("md5"),
+            decoded(F.col("content")).alias("sql_body"),
         )
     )
 

@@ -115,3 +115,22 @@ def test_answer_pending(spark, history, tmp_path):
     assert result.refused.count() == 0
     short = answer_pending(history, backend, str(tmp_path / "ledger"), budget=8)
     assert [r.conv_id for r in short.refused.collect()] == [1]
+
+
+def test_null_texts_and_ids(spark):
+    history = spark.createDataFrame(
+        [(1, 0, "user", None), (2, 0, "user", "a"), (2, 1, "user", None), (None, 0, "user", "x")],
+        "conv_id long, turn long, role string, text string",
+    )
+    assert {r.conv_id: (r.n_turns, r.refused) for r in chat.chat_budget(history).collect()} == {1: (1, False), 2: (2, False)}
+    prompts = {r.conv_id: r.prompt for r in chat.chat_prompt(history).collect()}
+    assert prompts[1].count(chat.START) == 2 and prompts[2].count(chat.START) == 3
+    assert sorted(r.conv_id for r in chat.chat_pending(history).collect()) == [1, 2]
+
+
+def test_conversations_of_very_many_messages(spark, monkeypatch):
+    monkeypatch.setattr(chat, "_MANY_TURNS", 20)
+    history = spark.range(300).selectExpr("if(id < 200, 7, id) conv_id", "id turn", "'user' role", "'a b' text")
+    found = {r.conv_id: r.prompt for r in chat.chat_prompt(history, budget=50).collect()}
+    assert found[7] is None and len(found) == 101
+    assert sum(p is not None for p in found.values()) == 100

@@ -79,6 +79,25 @@ def test_hot_prompt_reaches_every_row(spark, tmp_path):
     assert len(asked(tmp_path)) == 51
 
 
+def test_models_do_not_share_answers(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+
+    def says(word):
+        return lambda: lambda prompts: [f"{word} {p}" for p in prompts]
+
+    frame = rows(spark, "a", "b")
+    assert answers(complete(frame, says("one"), ledger, model="m1")) == [("one a", None), ("one b", None)]
+    assert answers(complete(frame, says("two"), ledger, model="m2")) == [("two a", None), ("two b", None)]
+    assert answers(complete(frame, says("three"), ledger, model="m1")) == [("one a", None), ("one b", None)]
+    assert answers(complete(frame, says("four"), ledger)) == [("four a", None), ("four b", None)]
+
+
+def test_a_frame_of_prompts_alone(spark, tmp_path):
+    frame = rows(spark, "a", None, "a").select("prompt")
+    found = complete(frame, counting_backend(tmp_path), str(tmp_path / "l")).collect()
+    assert sorted(str(r.response) for r in found) == ["A", "A", "None"]
+
+
 @pytest.mark.parametrize("task", sorted(TEMPLATES))
 def test_prompts_hold_the_script_between_tags(spark, task):
     body = "SELECT 1 -- <b>\n"

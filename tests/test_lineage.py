@@ -11,7 +11,7 @@ from scriptloom.operators.lineage import (
 
 VIEWS = [
     ("create view v as select a from dbo.t", {"T"}),
-    ("create view v as select a from [dbo].[t] x join db.dbo.u y on 1=1 left join s.[a b] on 1=1", {"T", "DB.U", "S.A_B"}),
+    ("create view v as select a from [dbo].[t] x join db.dbo.u y on 1=1 left join s.[a b] on 1=1", {"T", "DB.DBO.U", "S.A_B"}),
     ("create view v as with c as (select 1 a from q), d (x) as (select 2) select * from c, d, e z, dbo.f", {"Q", "E", "F"}),
     ("create view v as select 'from lit' /* from c1 */ from t -- join c2\n", {"T"}),
     ("create view v as select * from (select * from inner_t) i where x in (select y from z)", {"INNER_T", "Z"}),
@@ -19,11 +19,18 @@ VIEWS = [
     ("create view v as select 1 as a", set()),
     ("create view v as select a from t order by b, c", {"T"}),
     ("create view v as select a from #tmp, t as x, u", {"#TMP", "T", "U"}),
+    ("create view v as select 1 a from a with (nolock), b (nolock) join c on 1=1", {"A", "B", "C"}),
+    ("create view v as select 1 a from a x join b y on x.i = y.i, c z", {"A", "B", "C"}),
+    ("create view v as select 1 a from (a join b on a.i = b.i)", {"A", "B"}),
+    ("create view v as select trim('x' from col) c from t where a is not distinct from b", {"T"}),
+    ("create view v as select case when a = 1 then 2 end x, y from t join u on f(a, b) = c where d in (1, 2)", {"T", "U"}),
 ]
 
 
 def test_dependencies(scripts):
-    views = scripts(*[v[0] for v in VIEWS]).withColumn("object_name", F.col("sql_file_name"))
+    views = scripts(*[v[0] for v in VIEWS]).withColumns(
+        {"object_name": F.col("sql_file_name"), "schema_name": F.lit("s")}
+    )
     found = {}
     for row in view_dependencies(views).collect():
         found.setdefault(row.sql_file_name, set()).add(row.depends_on)
@@ -33,6 +40,20 @@ def test_dependencies(scripts):
     assert counts == {f"F{i:03d}.SQL": len(e) for i, (_, e) in enumerate(VIEWS)}
 
 
+def test_views_of_one_name_stay_apart(spark):
+    views = spark.createDataFrame(
+        [("a", "1", "sales", "v", "create view sales.v as select x from t"),
+         ("b", "2", "hr", "v", "create view hr.v as select x from t, u"),
+         ("b", "3", "hr", "v", "create view hr.v as select x from w"),
+         ("c", "4", None, None, "select 1")],
+        "sql_file_name string, _stg_sql_file_md5 string, schema_name string, object_name string, sql_body string",
+    )
+    counts = view_dependency_counts(views)
+    assert sorted((r[0], r[1], r[4]) for r in counts.collect()) == [("a", "1", 1), ("b", "2", 2), ("b", "3", 1), ("c", "4", 0)]
+    assert view_dependencies(views).count() == 4
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("sql", "label"),
     [

@@ -53,6 +53,9 @@ def test_onboard_then_migrate(spark, stage, tmp_path):
     assert rows["05"].target_object_type == "Task"
     assert rows["06"].target_sql is None and rows["06"].updated_ts is None
     assert migrate_all(spark, registry, ["constraint"], compat=True) == 3
+    assert read_registry(spark, registry).where("target_object_type = 'None'").count() == 0
+    assert migrate_all(spark, registry, ["constraint"], True, overwrite=True, keep_versions=2) == 4
+    assert sorted(p.name for p in (tmp_path / "registry").glob("v=*")) == ["v=3", "v=4"]
     assert read_registry(spark, registry).where("target_object_type = 'None'").count() == 1
     with pytest.raises(ValueError):
         migrate_worklist(spark, registry, "index")
@@ -90,6 +93,39 @@ def test_limit_of_one_run(spark, stage, tmp_path):
     onboard(spark, stage(FILES), registry, limit=2)
     names = sorted(r.sql_file_name[:2] for r in read_registry(spark, registry).collect())
     assert names == ["01", "02"]
+    # Each run with a limit goes on where the last one ended.
+    onboard(spark, str(tmp_path / "stage"), registry, limit=2)
+    names = sorted(r.sql_file_name[:2] for r in read_registry(spark, registry).collect())
+    assert names == ["01", "02", "03", "04"]
+
+
+def test_worklists_with_a_limit_make_progress(spark, stage, tmp_path):
+    registry = str(tmp_path / "registry")
+    files = {f"a/0{i}-MS-SQL-Server-Script-t.sql": f"create table t{i} (a int)" for i in range(4)}
+    onboard(spark, stage(files), registry)
+    for done in (2, 4, 4):
+        migrate_worklist(spark, registry, "table", limit=2)
+        assert read_registry(spark, registry).where("target_sql is not null").count() == done
+
+
+def test_rules_leave_recorded_translations_and_marks(spark, stage, tmp_path):
+    registry = str(tmp_path / "registry")
+    files = {
+        "a/1-MS-SQL-Server-Script.sql": "create view v as select a from t",
+        "a/2-MS-SQL-Server-Script.sql": "create trigger g on t after insert, bogus as select 1",
+        "a/3-MS-SQL-Server-Script.sql": "create table t (a int default newid())",
+    }
+    onboard(spark, stage(files), registry)
+    answer = lambda: lambda prompts: ["BY SERVICE" for _ in prompts]
+    migrate_worklist(spark, registry, "view", backend=answer)
+    migrate_all(spark, registry)
+    rows = {r.sql_file_name[0]: r for r in read_registry(spark, registry).collect()}
+    assert rows["1"].target_sql == "BY SERVICE" and rows["1"].needs_review is None
+    assert rows["2"].target_sql is None and rows["2"].updated_ts is None and rows["2"].needs_review
+    assert rows["3"].target_sql and rows["3"].needs_review
+    migrate_all(spark, registry, overwrite=True)
+    rows = {r.sql_file_name[0]: r for r in read_registry(spark, registry).collect()}
+    assert rows["1"].target_sql.startswith("CREATE OR REPLACE VIEW V") and rows["1"].needs_review is False
 
 
 def test_work_folder_is_the_shared_one(spark):

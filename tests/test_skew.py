@@ -1,19 +1,9 @@
 from pyspark.sql import functions as F
 
-from scriptloom.operators import spread as module
 from scriptloom.operators.once import once
 from scriptloom.operators.skew import hot_key_hashes, salted_left_join
 
 
-def test_small_inputs_are_spread(spark, plan, monkeypatch):
-    scan = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
-    spread = module.spread(scan)
-    assert "RoundRobinPartitioning" in plan(spread)
-    assert sorted(spread.collect()) == sorted(scan.collect())
-    monkeypatch.setattr(module, "_BYTES_PER_SLOT", 0)
-    assert module.spread(scan) is scan
-
-
 def test_once_keeps_rows_and_blocks_repetition(spark):
     rows = once(spark.range(10), v=F.sha2(F.col("id").cast("string"), 256))
     picked = rows.where(F.col("v") > "8").select("id", "v", F.length("v").alias("n"))

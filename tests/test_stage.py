@@ -78,3 +78,23 @@ def test_several_roots_and_own_pattern(spark, stage):
     assert scan_scripts(spark, roots).count() == 2
     assert scan_scripts(spark, roots, pattern=".*/other[.]sql").count() == 1
     assert SCRIPT_PATTERN.endswith("[.]sql")
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "utf-16-be-bom"])
+def test_encodings(spark, tmp_path, encoding):
+    text = "CREATE TABLE dbo.tä (a int)"
+    data = ("\ufeff" + text).encode("utf-16-be") if encoding.endswith("bom") else text.encode(encoding)
+    (tmp_path / "x-MS-SQL-Server-Script.sql").write_bytes(data)
+    row = scan_scripts(spark, str(tmp_path)).first()
+    assert row.sql_body == text and row.md5 == hashlib.md5(data).hexdigest()
+
+
+def test_load_time_is_in_utc_in_any_zone(spark, tmp_path):
+    (tmp_path / "x-MS-SQL-Server-Script.sql").write_text("select 1")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    first = scan_scripts(spark, str(tmp_path)).first().load_ts
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert scan_scripts(spark, str(tmp_path)).first().load_ts == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
