@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import remove, stored
 
 MOST_ROUNDS = 100
+#: Links that one task may finish: 16 MB, whatever the corpus. With more there are rounds.
+FINISH_LINKS = 1 << 20
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of a task."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    node, place = np.unique(
+        np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True
+    )
+    a, b = place[: table.num_rows], place[table.num_rows :]
+    root = np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +43,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of a node on the least of them. The minimum of a node's
     neighbours is pre-aggregated and joined back, so a node with very many links meets in no
-    single task. Rounds end when nothing changes; they grow with the logarithm of the longest
-    path. Links of a node with itself and repeated ones do nothing; nulls are left out.
+    single task. Rounds end when nothing changes, or when so few links are left that one task
+    finishes them; they grow with the logarithm of the longest path. Links of a node with itself and repeated ones do nothing; nulls are left out.
     """
     spark = links.sparkSession
     edges, path = stored(
@@ -25,6 +53,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = None
     for _ in range(MOST_ROUNDS):
+        if edges.count() <= FINISH_LINKS:
+            return edges.coalesce(1).mapInArrow(_finish, "node long, root long")
         # Large star: neighbours above a node hang on the least around it.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least, least_path = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components-least")

@@ -1,6 +1,9 @@
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as P
+from scriptloom.llm import components as C
 from scriptloom.llm.components import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,7 +46,9 @@ def test_run_on_an_empty_table(spark, tmp_path, prose):
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
-def test_components_of_paths_stars_and_rings(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_components_of_paths_stars_and_rings(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "FINISH_LINKS", limit)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     frame = spark.createDataFrame(links, "a long, b long")
     got = {r["node"]: r["root"] for r in components(frame).collect()}
