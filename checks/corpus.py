@@ -2,13 +2,15 @@
 
 `plain` has one bare statement per script. `annotated` wraps the same statements in
 what exported scripts carry: comments with quotes in them, USE/GO/SET preambles, and
-literals that look like code.
+literals that look like code. `exported` holds what tools write, with results by hand.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from checks.exported import body_sql
+
 _BODY = """
 case id % 7
  when 0 then 'CREATE TABLE [dbo].[part_' || id || '] (' || chr(10) || '  [id] int,' || chr(10) || '  [nm] NVARCHAR(' || (id % 50 + 1) || '),' || chr(10) || '  [doc] xml default ''{literal}' || (id % 9) || ''')'
@@ -31,10 +33,12 @@ case id % 4
 LOAD_TS = "2024-05-01 00:00:00"
 
 
-def corpus_sql(variant: str, part: str = "part") -> str:
-    """Query with columns k, path, load_ts, md5, sql_body."""
+def corpus_sql(variant: str, part: str = "part", with_id: bool = False) -> str:
+    """Query with columns k, path, load_ts, md5, sql_body, and the script's number if asked for."""
+    number = "id, " if with_id else ""
     literal = "Brand#" if variant == "plain" else "dbo.x -- xml VARCHAR(3) /*"
-    noted = "body" if variant == "plain" else _NOTES
+    noted = _NOTES if variant == "annotated" else "body"
+    made = body_sql() if variant == "exported" else _BODY.replace("{literal}", literal)
     return f"""
 select k,
        'stage/' || case when k % 2 = 0 then 'a' else 'b' end || '/'
@@ -42,9 +46,9 @@ select k,
          || id || '.sql' as path,
        '{LOAD_TS}' as load_ts,
        md5(sql_body) as md5,
-       sql_body
+       {number}sql_body
 from (select k, id, {noted} as sql_body
-      from (select k, id, {_BODY.replace("{literal}", literal)} as body
+      from (select k, id, {made} as body
             from (select p_partkey as k,
                          case when p_partkey % 10 = 9 then p_partkey - 1 else p_partkey end as id
                   from {part})))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.corpus import corpus_sql
+from checks.exported import exported_sql
 from checks.queries import (
     COLUMN_TEXT,
     DEPENDENCY_REPLY,
@@ -150,6 +151,14 @@ select path, load_ts, md5, sql_body from ({corpus_sql("plain")})
 where regexp_full_match(path, '.*MS-SQL-Server-Script.*[.]sql')"""
 
 
+_FILES = f"""
+select distinct path, sql_body, true as has_load_ts,
+       md5(case when length(sql_body) % 3 = 0 then '\\xEF\\xBB\\xBF'::blob || encode(sql_body)
+                else encode(sql_body) end) as md5
+from ({corpus_sql("plain")})
+where regexp_full_match(path, '.*MS-SQL-Server-Script.*[.]sql')"""
+
+
 # --- translation --------------------------------------------------------------------
 
 _ARGS = r"(?:\s*\(\s*[\w\s,.]*\))?"
@@ -445,6 +454,9 @@ def all_sql() -> dict[str, str]:
     plain = _ctes(*_registered("plain"))
     found = {
         "scan_scripts": _SCAN,
+        "scan_files": _FILES,
+        "preview_files": f"{_FILES} order by path limit 5",
+        "batch_files": f"{_FILES} order by path limit 50",
         "preview_scripts": f"{_SCAN} order by path limit 5",
         "batch_scripts": f"{_SCAN} order by path limit 50",
         "tabulate_scripts": "select path as \"SQL_File_Name\", load_ts as \"Load_Time\", "
@@ -572,4 +584,4 @@ def all_sql() -> dict[str, str]:
             found[f"worklist_{kind}_limit"] = (
                 f"{sql} order by sql_file_name, _stg_sql_file_md5 limit {limit}"
             )
-    return found
+    return found | exported_sql(corpus_sql("exported", with_id=True))

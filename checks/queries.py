@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ from scriptloom.schema import (
     WORKLIST_LIMITS,
 )
 from scriptloom.session import work_dir
+from scriptloom.sources import stage
 from scriptloom.sources.registry import read_registry, registry_insert, write_snapshot
 from scriptloom.sources.stage import first_scripts, matches_pattern, tabulate, with_file_name
 
@@ -122,6 +124,46 @@ def batch_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_scripts(scan_scripts(spark, sf_dir), BATCH_LIMIT)
 
 
+_MARK = b"\xef\xbb\xbf"
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as one file per script below a new folder, every third with a byte-order mark."""
+    root = work_dir(spark, "stage")
+
+    def write(batches):
+        for batch in batches:
+            for k, path, body in zip(*[c.to_pylist() for c in batch.columns]):
+                fs, name = pafs.FileSystem.from_uri(f"{root}/{path}")
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(name) as out:
+                    out.write((_MARK if k % 3 == 0 else b"") + body.encode())
+            yield batch.select([0]).slice(0, 0)
+
+    # A number that ends in 9 is written under the name of the one before it.
+    scripts = corpus(spark, sf_dir).dropDuplicates(["path"]).select((F.length("sql_body") % 3).alias("k"), "path", "sql_body")
+    scripts.mapInArrow(write, "k int").count()
+    return root
+
+
+def _tails(files: DataFrame) -> DataFrame:
+    tail = F.regexp_extract("path", "stage/[ab]/[^/]*$", 0).alias("path")
+    return files.select(tail, "md5", "sql_body", F.col("load_ts").isNotNull().alias("has_load_ts"))
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus read back from files through the stage source."""
+    return _tails(stage.scan_scripts(spark, _staged(spark, sf_dir)))
+
+
+def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tails(stage.preview_scripts(spark, _staged(spark, sf_dir)))
+
+
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tails(stage.batch_scripts(spark, _staged(spark, sf_dir)))
+
+
 def tabulate_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabulate(scan_scripts(spark, sf_dir))
 
@@ -298,8 +340,12 @@ def dependencies(variant: str) -> Query:
     return run
 
 
-def dependency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.view_dependency_counts(_views(spark, sf_dir, "plain"))
+def dependency_counts(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
+    return lineage.view_dependency_counts(_views(spark, sf_dir, variant))
+
+
+def exported_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependency_counts(spark, sf_dir, "exported")
 
 
 def complexity(variant: str) -> Query:
@@ -465,6 +511,9 @@ def all_queries() -> dict[str, Query]:
         "scan_scripts": scan_scripts,
         "preview_scripts": preview_scripts,
         "batch_scripts": batch_scripts,
+        "scan_files": scan_files,
+        "preview_files": preview_files,
+        "batch_files": batch_files,
         "tabulate_scripts": tabulate_scripts,
         "base_name": base_names,
         "load_time_text": load_time_text,
@@ -485,6 +534,10 @@ def all_queries() -> dict[str, Query]:
         "copy_statement": copies,
         "trigger_headers": triggers("plain"),
         "trigger_headers_annotated": triggers("annotated"),
+        "trigger_headers_exported": triggers("exported"),
+        "view_dependencies_exported": dependencies("exported"),
+        "view_dependency_counts_exported": exported_counts,
+        "script_complexity_exported": complexity("exported"),
         "view_dependencies": dependencies("plain"),
         "view_dependencies_annotated": dependencies("annotated"),
         "view_dependency_counts": dependency_counts,
@@ -514,6 +567,7 @@ def all_queries() -> dict[str, Query]:
             found[f"worklist_{kind}_limit"] = work(kind, WORKLIST_LIMITS[kind])
         found[f"translate_{kind}"] = translate(kind)
         found[f"translate_{kind}_annotated"] = translate(kind, "annotated")
+        found[f"translate_{kind}_exported"] = translate(kind, "exported")
     return found
 
 
