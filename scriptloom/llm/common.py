@@ -15,6 +15,9 @@ HOT_SHARE = 0.001
 HOT_ROWS = 256
 SALTS = 32
 
+#: Narrow rows (a few numbers each) that are sent to every task, at most: about 32 MB.
+BROADCAST_ROWS = 1 << 20
+
 #: Folders that lazily returned results still read; see `release`.
 _OPEN: list[str] = []
 
@@ -51,6 +54,14 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def sized(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored, narrow frame to join with: sent whole to every task if it has few rows.
+
+    With more rows the join shuffles both sides.
+    """
+    return F.broadcast(frame) if frame.count() <= most else frame.hint("merge")
+
+
 def stored(frame: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The frame as a written table: short lineage, and lost executors cost no recomputation."""
     spark = frame.sparkSession

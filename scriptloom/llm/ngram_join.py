@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import remove, stored, sweep
+from scriptloom.llm.common import remove, sized, stored, sweep
 from scriptloom.llm.components import components
 from scriptloom.llm.words import chunks, mixed, shingle_sets
 
@@ -140,11 +140,11 @@ def _pairs(entries: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> n
 
 
 def _split(entries: np.ndarray, keys: np.ndarray):
-    """Runs of equal keys: start of each entry's run, length of it, and a pivot inside."""
+    """Runs of equal keys: the run of each entry, lengths, and a pivot: the least row of each."""
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.append(edge, len(keys)))
     run = np.repeat(np.arange(len(edge)), length)
-    order = np.lexsort((mixed(entries["row"].astype(np.uint64)), run))
+    order = np.lexsort((entries["row"], run))
     return run, length, order[edge]
 
 
@@ -292,7 +292,7 @@ def _fragments(docs: DataFrame, needed: DataFrame, levels: np.ndarray, words: in
     """(row, fragment, tokens): the sets of the needed rows, cut along the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     wanted = needed.withColumnRenamed("doc_id", "_id")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "one", "two", "text")
+    texts = docs.select("doc_id", "text").join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "one", "two", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -318,7 +318,9 @@ def _fragments(docs: DataFrame, needed: DataFrame, levels: np.ndarray, words: in
 def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent: int) -> tuple[DataFrame, str]:
     """The pairs (a, b) whose overlaps, counted by fragment and summed, are large enough."""
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    needed = sets.join(ends, "row", "left_semi").select("row", "doc_id", "one", "two")
+    needed, needed_path = stored(
+        sets.join(ends, "row", "left_semi").select("row", "doc_id", "one", "two"), "ngram-needed"
+    )
     parts, parts_path = stored(_fragments(docs, needed, levels, words), "ngram-fragments")
     sweep(docs.sparkSession)
 
@@ -334,11 +336,14 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
                 ["a", "b", "fragment", "n"],
             )
 
+    # Of a pair the lesser row is the one that many share: few sets stand on that side.
     left = parts.withColumnRenamed("row", "a")
     right = parts.select(F.col("row").alias("b"), "fragment", F.col("tokens").alias("other"))
+    firsts, firsts_path = stored(pairs.select("b").distinct(), "ngram-firsts")
+    right = right.join(sized(firsts), "b", "left_semi")
     partial = (
-        pairs.join(left, "a")
-        .join(right, ["b", "fragment"])
+        left.join(sized(pairs), "a")
+        .join(right.hint("merge"), ["b", "fragment"])
         .select("a", "b", "fragment", "tokens", "other")
         .mapInArrow(overlap, "a long, b long, fragment int, n long")
     )
@@ -353,7 +358,8 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
         .select("a", "b")
     )
     links, path = stored(checked, "ngram-links")
-    remove(docs.sparkSession, parts_path)
+    for spent in (parts_path, needed_path, firsts_path):
+        remove(docs.sparkSession, spent)
     sweep(docs.sparkSession)
     return links, path
 
