@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.operators.skew import hot_key_hashes, salted_left_join
@@ -14,6 +14,8 @@ from scriptloom.schema import (
     AUDIT_STATUS,
     AUDIT_WORKED,
     CLASS_KEYS,
+    FAILED_STATUS,
+    FAILED_WORKED,
     KEY,
     REGISTRY_COLUMNS,
 )
@@ -69,17 +71,25 @@ def new_scripts(scripts: DataFrame, registry: DataFrame) -> DataFrame:
     return winners.dropDuplicates([*keys, "path"])
 
 
-def registry_rows(classified: DataFrame) -> DataFrame:
-    """Classified scripts in registry layout, with the audit constants."""
+def registry_rows(
+    classified: DataFrame,
+    worked: Column | None = None,
+    status: Column | None = None,
+    message: Column | None = None,
+) -> DataFrame:
+    """Classified scripts in registry layout, with the audit constants of a success or others."""
+    worked = F.lit(AUDIT_WORKED) if worked is None else worked
+    status = F.lit(AUDIT_STATUS) if status is None else status
+    message = F.lit(AUDIT_ERR_MSG) if message is None else message
     return classified.select(
         "sql_file_name",
         "sql_body",
         F.col("path").alias("_stg_sql_file_name"),
         F.col("load_ts").alias("_stg_sql_file_load_ts"),
         F.col("md5").alias("_stg_sql_file_md5"),
-        F.lit(AUDIT_WORKED).alias("completion_worked"),
-        F.lit(AUDIT_STATUS).alias("completion_status"),
-        F.lit(AUDIT_ERR_MSG).alias("completion_err_msg"),
+        worked.alias("completion_worked"),
+        status.alias("completion_status"),
+        message.alias("completion_err_msg"),
         F.col("response").alias("completion_response"),
         *CLASS_KEYS,
         F.lit(None).cast("string").alias("target_sql"),
@@ -89,6 +99,16 @@ def registry_rows(classified: DataFrame) -> DataFrame:
     )
 
 
+def failed_rows(parsed: DataFrame) -> DataFrame:
+    """Scripts whose classification failed, in registry layout: the status columns tell why.
+
+    They are for a log of their own. In the registry they would count as known and never
+    be classified again.
+    """
+    failed = parsed.where(F.col("fault").isNotNull())
+    return registry_rows(failed, F.lit(FAILED_WORKED), F.lit(FAILED_STATUS), F.col("fault"))
+
+
 def apply_translation(
     registry: DataFrame,
     updates: DataFrame,

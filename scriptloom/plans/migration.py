@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.operators.complete import BackendFactory
-from scriptloom.operators.tasks import answer_task
+from scriptloom.operators.tasks import SERVICE_ONLY, answer_task
 from scriptloom.operators.translate import TRANSLATORS, translate_registry
 from scriptloom.operators.worklist import stored_worklist
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS, WORKLIST_KINDS
@@ -71,6 +71,41 @@ def migrate_worklist(
     return add_translations(updates, registry, batch_ts)
 
 
+# What a run adds to the translations of a kind.
+FOLLOW_UPS = {"table": ["copy"], "view": ["view_dependency", "view_summary"], "trigger": ["trigger_summary"]}
+
+
+def follow_up(
+    spark: SparkSession,
+    registry: str,
+    kind: str,
+    backend: BackendFactory | None = None,
+    ledger: str | None = None,
+) -> DataFrame:
+    """Key, `task`, `response` and `error` of the further outputs of a kind.
+
+    Load statements come from the translated tables; dependencies and summaries from the
+    views and triggers themselves. Without a backend the tasks only a service can answer
+    are left out.
+    """
+    if kind not in FOLLOW_UPS:
+        raise ValueError(f"nothing follows the translation of: {kind}")
+    object_type, operation_type = WORKLIST_KINDS[kind]
+    rows = read_registry(spark, registry, "DDL", object_type).where(F.col("operation_type") == operation_type)
+    found = None
+    for task in FOLLOW_UPS[kind]:
+        if backend is None and task in SERVICE_ONLY:
+            continue
+        scripts = rows.select(*KEY, "sql_body")
+        if task == "copy":
+            scripts = rows.where(F.col("target_sql").isNotNull()).select(*KEY, F.col("target_sql").alias("sql_body"))
+        part = answer_task(scripts, task, backend, ledger).select(*KEY, F.lit(task).alias("task"), "response", "error")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError(f"{kind} needs a completion backend")
+    return found
+
+
 def completed_translation(
     work: DataFrame,
     kind: str,

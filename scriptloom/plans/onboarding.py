@@ -16,7 +16,7 @@ from scriptloom.operators.classify import (
     usable,
 )
 from scriptloom.operators.complete import BackendFactory, complete
-from scriptloom.operators.ingest import new_scripts, registry_rows
+from scriptloom.operators.ingest import failed_rows, new_scripts, registry_rows
 from scriptloom.schema import SCRIPT_PATTERN
 from scriptloom.session import remove_dir, work_dir
 from scriptloom.sources.registry import read_registry, registry_insert
@@ -27,6 +27,8 @@ from scriptloom.sources.stage import batch_scripts, with_file_name
 class Onboarded:
     version: int
     rejects: DataFrame
+    #: The rejects in registry layout, their status columns telling why they failed.
+    failed: DataFrame
 
 
 def onboard(
@@ -64,4 +66,4 @@ def onboard(
     parsed = spark.read.parquet(staged)
     version = registry_insert(registry_rows(usable(parsed)), registry)
     remove_dir(spark, fresh_path)
-    return Onboarded(version, classification_rejects(parsed))
+    return Onboarded(version, classification_rejects(parsed), failed_rows(parsed))

@@ -32,6 +32,10 @@ AUDIT_WORKED = "Yes"
 AUDIT_STATUS = "Completed"
 AUDIT_ERR_MSG = "None"
 
+# Status of a script that could not be classified; its message is the reason.
+FAILED_WORKED = "No"
+FAILED_STATUS = "Failed"
+
 # Fixed value: which staged paths are scripts. Matched against the whole path.
 SCRIPT_PATTERN = ".*MS-SQL-Server-Script.*[.]sql"
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from scriptloom.plans.migration import migrate_all, migrate_worklist
+from scriptloom.plans.migration import follow_up, migrate_all, migrate_worklist
 from scriptloom.plans.onboarding import onboard
 from scriptloom.session import work_dir
 from scriptloom.sources.registry import read_registry
@@ -131,3 +131,29 @@ def test_rules_leave_recorded_translations_and_marks(spark, stage, tmp_path):
 def test_work_folder_is_the_shared_one(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_follow_ups_and_failures(spark, stage, tmp_path):
+    registry = str(tmp_path / "registry")
+    files = {
+        "a/1-MS-SQL-Server-Script.sql": "create table dbo.t (a int)",
+        "a/2-MS-SQL-Server-Script.sql": "create view v as select a from t, u",
+        "a/3-MS-SQL-Server-Script.sql": "create trigger g on t after insert as select 1",
+    }
+    onboard(spark, stage(files), registry)
+    migrate_all(spark, registry)
+    load = follow_up(spark, registry, "table").collect()
+    assert [(r.task, r.response[:12]) for r in load] == [("copy", "COPY INTO T ")]
+    assert [(r.task, r.response) for r in follow_up(spark, registry, "view").collect()] == [("view_dependency", "1. T\n2. U")]
+    with pytest.raises(ValueError):
+        follow_up(spark, registry, "trigger")
+    backend = lambda: lambda prompts: ["said" for _ in prompts]
+    ledger = str(tmp_path / "ledger")
+    assert {r.task for r in follow_up(spark, registry, "view", backend, ledger).collect()} == {"view_dependency", "view_summary"}
+    assert [r.response for r in follow_up(spark, registry, "trigger", backend, ledger).collect()] == ["said"]
+
+    other = str(tmp_path / "other")
+    run = onboard(spark, str(tmp_path / "stage"), other, backend=lambda: lambda prompts: ["no JSON" for _ in prompts])
+    failed = run.failed.collect()
+    assert len(failed) == 3 and read_registry(spark, other).count() == 0
+    assert {(r.completion_worked, r.completion_status, r.completion_err_msg) for r in failed} == {("No", "Failed", "not a JSON object")}
