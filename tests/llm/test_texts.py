@@ -49,7 +49,7 @@ def test_features_stay_in_their_row():
     texts = ["ab cdé", "", None, "cdé ab", " x", "日本語 テスト"]
     index, owner = C.features(pa.array(texts))
     for k, text in enumerate(texts):
-        alone, _ = C.features(pa.array([text]))
+        alone, _ = C.features(pa.array([text], pa.string()))
         assert sorted(index[owner == k].tolist()) == sorted(alone.tolist())
 
 
