@@ -2,11 +2,13 @@
 
 Generators propose spans: the strict patterns of each kind, and looser or shorter ones that
 overlap them. Each candidate gets format features (does its checksum or range hold, digits,
-separators) and context features (what stands next to it, telling words before it). Boosted
-trees learn from the counts of feature combinations, of which there is a fixed number, which
-combinations are spans of the strict patterns; for each kind the least score that is precise
-enough on the other half of the documents is the threshold. The strict spans always stay;
-candidates over the threshold join them.
+separators, sign) and context features (what stands next to it, telling words before it).
+Loose candidates have weak labels, which come from checksum, range and context and not from
+the strict patterns (`_weak`). For each loose generator boosted trees learn them from the
+counts of feature combinations, of which there is a fixed number; the least score that is
+precise enough on the other half of the documents is its threshold. The strict spans always
+stay; candidates over the threshold of their generator join them. Where a generator has too
+few candidates for a threshold, or none is precise enough, its weak labels decide.
 
 The trees score as one expression, so nothing leaves the JVM but the table of combinations.
 """
@@ -33,7 +35,8 @@ STRICT = {
 }
 # Other shapes: short of what runs on, spelt out, or without the sign of the strict pattern.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_+-]{0,63} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,24})+",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._+-]{0,63} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}"
+    r"(?:(?:(?: ?[\[(]dot[\])] ?| \. | ?\.)[A-Za-z0-9-]{1,63}){0,126}(?: ?[\[(]dot[\])] ?| \. | ?\.)[A-Za-z]{2,24}|(?: ?\. [A-Za-z]{2,24}){1,126})",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[\x20.-]?|(?<![0-9+]))\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
@@ -48,7 +51,7 @@ CONTEXT = 24
 #: Least digits of a candidate, by kind; fewer are nothing of the sort.
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 8}
 
-FEATURES = ("kind", "loose", "holds", "digits", "marks", "left", "right", "told")
+FEATURES = ("kind", "loose", "sign", "holds", "form", "inside", "digits", "marks", "left", "right", "told")
 TREES = 30
 RATE = 0.3
 PENALTY = 1.0
@@ -86,6 +89,35 @@ def _holds(kind: str, match: Column) -> Column:
     return F.length(_digits(match)).between(8, 15)
 
 
+def _form(kind: str, loose: bool, match: Column) -> Column:
+    """Whether a candidate keeps to a narrower form: what dots, issuers and area codes look like."""
+    if kind == "email" and loose:
+        return ~match.rlike(r" \.|\. ")
+    if kind == "card":
+        return _digits(match).rlike("^(?:[3456]|2[2-7])")
+    if kind == "phone":
+        return _digits(match).rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$")
+    return F.lit(True)
+
+
+def _weak(c: Column, inside: Column) -> Column:
+    """The weak label of a loose candidate, by kind, from checksum, range and context.
+
+    Spelt-out addresses: their dots are in brackets or have no blanks beside them, or a
+    telling word is near. Addresses in range. Cards: check digit and issuer. Phone numbers:
+    with a sign; without one and outside strict spans, after a telling word or with area code
+    and exchange in range and with brackets, dots or hyphens. None may run on.
+    """
+    clear = (c["left"] == 0) & (c["right"] == 0)
+    holds, form, told = (c[f] == 1 for f in ("holds", "form", "told"))
+    return (
+        F.when(c["kind"] == KINDS.index("email"), (c["right"] != 1) & (form | told))
+        .when(c["kind"] == KINDS.index("ip"), holds & (c["left"] != 1) & (c["right"] != 1))
+        .when(c["kind"] == KINDS.index("card"), holds & form & clear)
+        .otherwise(holds & clear & ((c["sign"] == 1) | (~inside & (told | (form & (c["marks"] >= 2))))))
+    )
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The matches of a pattern with their places: array of (start, end, match), in code points."""
 
@@ -125,18 +157,24 @@ def _candidates(text: Column, kind: str, loose: bool) -> Column:
         before = F.substr(
             text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))
         )
-        after = F.substr(text, s["end"] + 1, F.lit(1))
+        after = F.substr(text, s["end"] + 1, F.lit(2))
         n = F.length(_digits(s["match"]))
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.lit(number).alias("kind"),
             F.lit(int(loose)).alias("loose"),
+            s["match"].startswith("+").cast("int").alias("sign"),
             _holds(kind, s["match"]).cast("int").alias("holds"),
+            _form(kind, loose, s["match"]).cast("int").alias("form"),
             F.when(n < 8, 0).when(n < 12, 1).when(n < 16, 2).when(n < 20, 3).otherwise(4).alias("digits"),
-            F.when(~s["match"].rlike(r"[\x20().-]"), 0).when(s["match"].rlike("[()]"), 2).otherwise(1).alias("marks"),
-            before.rlike(r"[0-9A-Za-z]$").cast("int").alias("left"),
-            after.rlike(r"^[0-9A-Za-z]").cast("int").alias("right"),
+            F.when(~s["match"].rlike(r"[\x20().-]"), 0)
+            .when(s["match"].rlike("[()]"), 2)
+            .when(s["match"].rlike("[.-]"), 3)
+            .otherwise(1)
+            .alias("marks"),
+            F.when(before.rlike(r"[0-9A-Za-z]$"), 1).when(before.rlike(r"[0-9][.-]$"), 2).otherwise(0).alias("left"),
+            F.when(after.rlike(r"^[0-9A-Za-z]"), 1).when(after.rlike(r"^[.-][0-9]"), 2).otherwise(0).alias("right"),
             before.rlike(f"(?i)(?:{TELLING[kind]})").cast("int").alias("told"),
             n.alias("n"),
         )
@@ -163,20 +201,26 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _labelled(cands: Column) -> Column:
-    """Each candidate with `strict` (it is a strict span that holds) and `label` (it lies as one)."""
+    """Each candidate with `inside` (part of a strict span), `strict` (it is one) and `label`."""
     strict = F.filter(cands, lambda c: (c["loose"] == 0) & (c["holds"] == 1))
-    return let(
-        F.transform(strict, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))),
-        lambda base: F.transform(
-            cands,
-            lambda c: F.struct(
-                *[c[f].alias(f) for f in (*FEATURES, "start", "end")],
+
+    def mark(c: Column, base: Column) -> Column:
+        within = F.exists(
+            base,
+            lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]) & ((b["start"] < c["start"]) | (b["end"] > c["end"])),
+        )
+        return let(
+            (c["loose"] == 1) & within,
+            lambda inside: F.struct(
+                *[(inside.cast("int") if f == "inside" else c[f]).alias(f) for f in (*FEATURES, "start", "end")],
                 ((c["loose"] == 0) & (c["holds"] == 1)).cast("int").alias("strict"),
-                F.exists(
-                    base, lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"]) & (b["end"] == c["end"])
-                ).cast("int").alias("label"),
+                F.when(c["loose"] == 0, c["holds"]).otherwise(_weak(c, inside).cast("int")).alias("label"),
             ),
-        ),
+        )
+
+    return let(
+        F.transform(strict, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))),
+        lambda base: F.transform(cands, lambda c: mark(c, base)),
     )
 
 
@@ -250,22 +294,22 @@ def tree_score(trees: list[tuple], row) -> Column | float:
     return total
 
 
-def thresholds(trees: list[tuple], counts: list[dict]) -> dict[int, float]:
-    """For each kind the least score from which on the spans are precise enough."""
-    out = {}
-    for kind in range(len(KINDS)):
-        rows = sorted(((tree_score(trees, r), r["n"], r["positive"]) for r in counts if r["kind"] == kind), reverse=True)
-        n = hits = 0
-        least = math.inf
-        for k, (s, many, positive) in enumerate(rows):
-            if positive < many / 2:
-                break  # mostly none: not worth it, however few they are
-            n, hits = n + many, hits + positive
-            ties = k + 1 < len(rows) and rows[k + 1][0] == s
-            if not ties and n >= LEAST_SUPPORT and hits >= PRECISION * n:
-                least = s
-        out[kind] = least
-    return out
+def threshold(trees: list[tuple], counts: list[dict]) -> float:
+    """The least score from which on the spans of a generator are precise enough.
+
+    Combinations that are mostly none never set it, however few they are.
+    """
+    by_score: dict[float, list[int]] = {}
+    for r in counts:
+        both = by_score.setdefault(tree_score(trees, r), [0, 0])
+        both[0], both[1] = both[0] + r["n"], both[1] + r["positive"]
+    n = hits = 0
+    least = math.inf
+    for s, (many, positive) in sorted(by_score.items(), reverse=True):
+        n, hits = n + many, hits + positive
+        if positive >= many / 2 and n >= LEAST_SUPPORT and hits >= PRECISION * n:
+            least = s
+    return least
 
 
 def find_spans(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -273,30 +317,31 @@ def find_spans(docs: DataFrame, seed: int = 42) -> DataFrame:
 
     Kinds are numbered as in KINDS; places are code points, ends exclusive. Null texts count
     as empty. Repeated rows are searched each; a null doc_id is carried; other columns are
-    not read. An empty table gives an empty result. Without enough candidates of a kind to
-    judge a threshold by, only its strict spans are found.
+    not read. An empty table gives an empty result. Without enough candidates of a loose
+    generator to judge a threshold by, those with the weak label join the strict spans.
     """
     made, _ = stored(candidates(docs).select("doc_id", _labelled(F.col("cands")).alias("cands")), "pii-candidates")
     half = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)).alias("half")
     counts = (
         made.where(F.size("cands") > 0)
         .select(half, F.explode("cands").alias("c"))
+        .where("c.loose = 1")
         .groupBy("half", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
         .agg(F.count(F.lit(1)).alias("n"), F.sum("c.label").alias("positive"))
     )
     rows = [r.asDict() for r in counts.orderBy("half", *FEATURES).collect()]
-    trees = boost([r for r in rows if r["half"] == 0])
-    least = thresholds(trees, [r for r in rows if r["half"] == 1])
+    learned = {}
+    for kind in range(len(KINDS)):
+        own = [r for r in rows if r["kind"] == kind]
+        trees = boost([r for r in own if r["half"] == 0])
+        learned[kind] = trees, threshold(trees, [r for r in own if r["half"] == 1])
 
     def chosen(c: Column) -> Column:
-        take = c["strict"] == 1
-        usable = {k: t for k, t in least.items() if t < math.inf}
-        if usable:
-            limit = None
-            for k, t in usable.items():
-                limit = F.when(c["kind"] == k, t) if limit is None else limit.when(c["kind"] == k, t)
-            take = take | (tree_score(trees, c) >= limit.otherwise(F.lit(math.inf)) - 1e-9)
-        return take
+        take = F.when(c["loose"] == 0, c["strict"] == 1)
+        for kind, (trees, least) in learned.items():
+            if least < math.inf:
+                take = take.when(c["kind"] == kind, tree_score(trees, c) >= least - 1e-9)
+        return take.otherwise(c["label"] == 1)
 
     spans = F.transform(
         F.filter("cands", chosen),

@@ -145,6 +145,25 @@ def test_boosted_candidates_join_the_strict_ones(docs):
     assert "phone:5:22" in got[900].split(",") and got[901] == "" and got[902] == ""
 
 
+def test_spelt_out_addresses_and_numbers_without_a_sign_join(docs):
+    rows = [(i, f"word {i} call +1 (555) 010-{1000 + i} or mail u{i}@host.org please") for i in range(200)]
+    rows += [(1000 + i, f"to jo.u{i} [at] host [dot] org. Then (see) {i}") for i in range(200)]
+    rows += [(2000 + i, f"so 415-555-{1000 + i} it is") for i in range(200)]
+    rows += [(3000 + i, f"look (at) me. Then {i} rows 415 555 {1000 + i} 1") for i in range(200)]
+    rows += [(4000 + i, f"+1234 555 234 {1000 + i} it is") for i in range(50)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs(rows)).collect()}
+    for i in range(200):
+        address = f"jo.u{i} [at] host [dot] org"
+        assert got[1000 + i] == f"email:3:{3 + len(address)}"
+        assert got[2000 + i] == "phone:3:15"
+        assert got[3000 + i] == ""
+    assert {got[4000 + i] for i in range(50)} == {"phone:0:18"}
+    # Too few of them for a threshold: the weak labels decide.
+    few = [(1, "to jo [at] host [dot] org"), (2, "so 415-555-1000 it is"), (3, "look (at) me. Then 415 555 1000 1")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs(few)).collect()}
+    assert got == {1: "email:3:25", 2: "phone:3:15", 3: ""}
+
+
 def test_redaction(spark, docs):
     from pyspark.sql import functions as F
 
