@@ -348,7 +348,8 @@ def trigger_plan(name: Column, table: Column, events: Column, body: Column) -> C
 _CODE_NAME = r"[\w$#]+(?:\s*\.\s*[\w$#]*){0,3}"
 # What may stand between a name and a comma that goes on with the list: an alias, hints.
 _ALIAS = r"(?:\s+(?:AS\s+)?(?!(?:WITH|ON|WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|OUTER|GROUP|ORDER|HAVING|UNION)\b)[\w$#]+)?"
-_HINT = r"(?:\s*(?:WITH\s*)?\((?:\s*,?\s*(?:NOLOCK|READPAST|READUNCOMMITTED|READCOMMITTED|HOLDLOCK|UPDLOCK|ROWLOCK|TABLOCK|FORCESEEK|SNAPSHOT|INDEX\s*\([^()]*\)))+\s*\))?"
+_HINTS = r"\s*(?:WITH\s*)?\((?:\s*,?\s*(?:NOLOCK|READPAST|READUNCOMMITTED|READCOMMITTED|HOLDLOCK|UPDLOCK|ROWLOCK|TABLOCK|FORCESEEK|SNAPSHOT|INDEX\s*\([^()]*\)))+\s*\)"
+_HINT = rf"(?:{_HINTS})?"
 _LIST = rf"{_CODE_NAME}{_ALIAS}{_HINT}(?:\s*,\s*{_CODE_NAME}{_ALIAS}{_HINT})*+"
 _SOURCES = rf"\b(?:FROM|JOIN)[\s(]+(?!SELECT\b)({_LIST})"
 # After a join condition a comma goes on with the FROM list; in a select list it cannot.
@@ -358,6 +359,34 @@ _CTE = r"(?:\bWITH|,)\s*+([\w$#]+)\s*+(?:\([^()]*\)\s*+)?AS\s*+\("
 _NO_SOURCE = r"\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b|\b(?:TRIM|SUBSTRING|EXTRACT)\s*\([^()]*\)"
 
 
+def _after_conditions(code: Column) -> Column:
+    """Lists that go on after a join condition, whatever brackets it holds.
+
+    Innermost brackets are blanked until none is left; on the way each condition comes to
+    stand without any. A list is looked for at each step, as its own bracket goes later.
+    """
+
+    def found(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(_AFTER_ON), F.lit(1))
+
+    def step(done: Column, _: Column) -> Column:
+        blank = F.regexp_replace(done["text"], r"\([^()]*\)", " ")
+        made = F.transform(
+            F.array(blank),
+            lambda t: F.struct(
+                t.alias("text"), F.concat(done["lists"], found(t)).alias("lists"), (t == done["text"]).alias("over")
+            ),
+        )
+        return F.when(done["over"], done).otherwise(F.element_at(made, 1))
+
+    start = F.struct(
+        F.regexp_replace(code, _HINTS, " ").alias("text"), found(code).alias("lists"), F.lit(False).alias("over")
+    )
+    opened = F.length(F.regexp_replace(code, r"[^(]+", ""))
+    nested = F.aggregate(F.sequence(F.lit(0), opened), start, step, lambda done: F.array_distinct(done["lists"]))
+    return F.when(code.rlike(r"\bON\b") & code.contains("(") & code.contains(","), nested).otherwise(found(code))
+
+
 def source_names(code: Column) -> Column:
     """Distinct names a query reads, without the ones it declares itself.
 
@@ -367,7 +396,7 @@ def source_names(code: Column) -> Column:
     code = F.regexp_replace(code, _NO_SOURCE, " ")
     lists = F.concat(
         F.regexp_extract_all(code, F.lit(_SOURCES), F.lit(1)),
-        F.regexp_extract_all(code, F.lit(_AFTER_ON), F.lit(1)),
+        _after_conditions(code),
     )
     bare = F.transform(lists, lambda s: F.regexp_replace(s, r"\([^()]*(?:\([^()]*\)[^()]*)*\)", " "))
     names = F.flatten(F.transform(bare, lambda s: F.split(s, ",")))

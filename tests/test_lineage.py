@@ -40,6 +40,28 @@ def test_dependencies(scripts):
     assert counts == {f"F{i:03d}.SQL": len(e) for i, (_, e) in enumerate(VIEWS)}
 
 
+NESTED = [
+    ("create view v as select 1 a from a join b on isnull(a.x, cast(b.y as int)) = 1, c", {"A", "B", "C"}),
+    ("create view v as select 1 a from a join b on f(g(h(i(1)), 2)) = (1), c with (nolock, index (i)), d", {"A", "B", "C", "D"}),
+    ("create view v as select f(g(1), 2), z from (select 1 x from a join b on f(g(h(1))) = 1, c) q join d on f(g(1)) = 1, e", {"A", "B", "C", "D", "E"}),
+    ("create view v as select 1 a from a join b on f((select max(y) from t)) = 1, c", {"A", "B", "C", "T"}),
+    ("create view v as select 1 a from a join b on f(g(1)) = 1 order by h(i(1)), z", {"A", "B"}),
+    ("create view v as select 1 a from a join b on f(" + "(" * 20_000 + ", c", {"A", "B"}),
+    ("create view v as select 1 a from a join b on " + "(" * 60 + "1" + ")" * 60 + " = 1, c", {"A", "B", "C"}),
+]
+
+
+def test_lists_go_on_after_nested_conditions(scripts):
+    views = scripts(*[v[0] for v in NESTED]).withColumns(
+        {"object_name": F.col("sql_file_name"), "schema_name": F.lit("s")}
+    )
+    found = {}
+    for row in view_dependencies(views).collect():
+        found.setdefault(row.sql_file_name, set()).add(row.depends_on)
+    for i, (sql, expected) in enumerate(NESTED):
+        assert found.get(f"f{i:03d}.sql", set()) == expected, sql[:200]
+
+
 def test_views_of_one_name_stay_apart(spark):
     views = spark.createDataFrame(
         [("a", "1", "sales", "v", "create view sales.v as select x from t"),
