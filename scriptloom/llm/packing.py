@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import remove, stored
-from scriptloom.llm.words import chunks, span_hashes, text_bytes
+from scriptloom.llm.common import stored
+from scriptloom.llm.stretches import byte_level_ids
+from scriptloom.llm.stretches import byte_level_path as tokenizer_path
+from scriptloom.llm.words import chunks
 
 CAPACITY = 1024
 #: Bins that a task keeps open, and pieces that it looks at together.
@@ -29,97 +30,12 @@ WINDOW = 4096
 #: Tasks whose open bins one task of the next round packs.
 FAN_IN = 16
 END_ID = 2
-#: Bytes of distinct stretches that are tokenised in a row.
-GROUP_BYTES = 1 << 16
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-@cache
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
-
-
-@cache
-def _token_bytes(path: str) -> np.ndarray:
-    """Bytes of each token; a byte-level token has a character for each."""
-    made = _tokenizer(path)
-    return np.array([len(made.id_to_token(i) or "") for i in range(made.get_vocab_size())], np.int64)
-
-
-def _breaks(raw: np.ndarray) -> np.ndarray:
-    """Places of single blanks at which the byte-level pre-tokeniser surely splits.
-
-    That is so where the characters on either side are visible ASCII or Latin letters of
-    the block that starts with 0xC3: the blank then begins the next pre-token.
-    """
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(raw[1:-1] == 0x20) + 1
-    after, before = raw[at + 1], raw[at - 1]
-    plain_after = ((after > 0x20) & (after < 0x7F)) | (after == 0xC3)
-    latin_before = (before >= 0x80) & (before < 0xC0) & (at >= 2) & (raw[at - 2] == 0xC3)
-    plain_before = ((before > 0x20) & (before < 0x7F)) | latin_before
-    return at[plain_after & plain_before]
-
-
-def _spans_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, joinable: np.ndarray, path: str):
-    """Ids of spans end to end, and their number in each.
-
-    Spans between two breaks are tokenised many in a row, as breaks keep them apart, and told
-    apart by the bytes of their tokens; the others one by one.
-    """
-    order = np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])
-    n = int(joinable.sum())
-    data = raw.tobytes()
-    sizes = (ends - starts)[order]
-    ups = np.concatenate([[0], np.cumsum(sizes)])
-    joined = raw[np.repeat(starts[order][:n] - ups[:n], sizes[:n]) + np.arange(ups[n])].tobytes()
-    groups = np.unique(np.append(np.searchsorted(ups[: n + 1], np.arange(0, ups[n], GROUP_BYTES)), n))
-    texts = [joined[ups[a] : ups[b]].decode("utf-8", "replace") for a, b in zip(groups, groups[1:])]
-    texts += [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[order[n:]].tolist(), ends[order[n:]].tolist())]
-    encoded = [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-    flat = np.concatenate(encoded) if encoded else np.zeros(0, np.uint32)
-    bounds = np.concatenate([[0], np.cumsum(_token_bytes(path)[flat])])
-    at = np.searchsorted(bounds, ups)
-    if not np.array_equal(bounds[at], ups):
-        raise ValueError("tokens do not end where their text does")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return flat, at[:-1][back], np.diff(at)[back]
 
 
 def batch_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all rows end to end, and where each row starts and ends.
-
-    Equal stretches of text are tokenised once; the ids are those of the whole texts.
-    """
-    raw, at = text_bytes(column)
-    inner = _breaks(raw)
-    starts = np.unique(np.concatenate([inner, at[:-1][at[1:] > at[:-1]]]))
-    if not len(starts):
-        return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    ends = np.append(starts[1:], len(raw))
-    hashes = span_hashes(raw, starts, ends, False)
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    broken = np.zeros(len(raw) + 1, bool)
-    broken[inner] = True
-    flat, begin, lengths = _spans_ids(raw, starts[first], ends[first], (broken[starts] & broken[ends])[first], path)
-    counts = lengths[inverse]
-    ups = np.concatenate([[0], np.cumsum(counts)])
-    index = np.repeat(begin[inverse] - ups[:-1], counts) + np.arange(ups[-1])
-    return flat[index], ups[np.searchsorted(starts, at, "left")]
+    """Token ids of all rows end to end, and where each row starts and ends."""
+    ids, at, _ = byte_level_ids(column, path)
+    return ids, at
 
 
 def token_pieces(
