@@ -39,9 +39,11 @@ from scriptloom.llm.stretches import (
 )
 from scriptloom.llm.words import chunks
 
-#: Bytes of text, and tokens of stored rows, that a task works on together.
-CHUNK = 2 << 20
-_LISTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+#: Bytes of text, and tokens of a side in stored rows, that a task works on together.
+CHUNK = 1 << 20
+TOKENS = 1 << 18
+#: Stored rows: ids as little-endian numbers, and for each a byte that is 1 at a group's end.
+_STORED = ["a_ids", "b_ids", "a_last", "b_last"]
 
 
 def overlap_groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,89 +81,132 @@ def _kept(ids: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     return gather(ids, at[:-1], counts), counts
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(joined(counts).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of numbers as a binary column."""
+    offsets = (joined(counts) * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(
+        pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]
+    )
 
 
-def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """One row per document (doc_id, text): both sides' ids and how groups share them out.
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse: all numbers end to end, and where each row's start."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    at = at[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data.slice(at[0], at[-1] - at[0]), kind) if at[-1] > at[0] else np.zeros(0, kind)
+    return values, (at - at[0]) // size
 
-    `a_ids` are those of a blank and the text in a byte-level vocabulary, `b_ids` those of
-    the text in a piece vocabulary that puts the blank there itself; `a_sizes` and `b_sizes`
-    tell how many ids of each side every group holds, in order. Strings of special tokens in
-    a text are plain text. A null or empty text, and one that either side's tokens do not
-    spell, has empty lists. Rows that repeat count each; a null doc_id is carried; other
-    columns are not read. An empty table gives an empty result.
-    """
-    a_path, b_path = a_path or byte_level_path(), b_path or piece_path()
+
+def _id_kind(path: str, lengths) -> str:
+    return "<u2" if len(lengths(path)) <= 1 << 16 else "<u4"
+
+
+def _tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """One row per document: doc_id and the columns of `_STORED`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_sizes, b_sizes = byte_level_lengths(a_path), piece_lengths(b_path)
+        a_kind, b_kind = _id_kind(a_path, byte_level_lengths), _id_kind(b_path, piece_lengths)
         for batch in chunks(batches, "text", CHUNK):
             a, a_at, a_spelt = byte_level_ids(batch.column("text"), a_path)
             b, b_at, b_spelt = piece_ids(batch.column("text"), b_path)
             rows = a_spelt & b_spelt
             a, n_a = _kept(a, a_at, rows)
             b, n_b = _kept(b, b_at, rows)
+            # The ends of a row are the same on both sides, so no group spans two rows.
             in_a, in_b = overlap_groups(np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b]))
-            groups = int(in_b[-1]) + 1 if len(in_b) else 0
-            # The first token of a row starts a group, and no group spans two rows.
-            first = np.append(in_b, groups)[joined(n_b)]
+            a_last, b_last = (np.diff(g, append=-1) != 0 for g in (in_a, in_b))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    _lists(a, n_a),
-                    _lists(b, n_b),
-                    _lists(np.bincount(in_a, minlength=groups), np.diff(first)),
-                    _lists(np.bincount(in_b, minlength=groups), np.diff(first)),
+                    _binary(a.astype(a_kind), n_a),
+                    _binary(b.astype(b_kind), n_b),
+                    _binary(a_last.view(np.uint8), n_a),
+                    _binary(b_last.view(np.uint8), n_b),
                 ],
-                ["doc_id", *_LISTS],
+                ["doc_id", *_STORED],
             )
 
     text = F.when(F.col("text") != "", F.concat(F.lit(" "), F.col("text"))).otherwise("")
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in _LISTS)
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} binary" for c in _STORED)
     return docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).mapInArrow(align, schema)
 
 
 class _Aligned:
-    """The lists of some rows as flat arrays, with where each row starts in them."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        def flat(name):
-            column = batch.column(name)
-            offsets = column.offsets.to_numpy().astype(np.int64)
-            values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-            return values, offsets - offsets[0]
+    """The stored columns of some rows as flat arrays, with where each row starts in them."""
 
-        (self.a, self.a_at), (self.b, self.b_at) = flat("a_ids"), flat("b_ids")
-        (self.a_sizes, self.at), (self.b_sizes, _) = flat("a_sizes"), flat("b_sizes")
+    def __init__(self, batch: pa.RecordBatch, a_kind: str, b_kind: str):
+        self.a, self.a_at = _numbers(batch.column("a_ids"), a_kind)
+        self.b, self.b_at = _numbers(batch.column("b_ids"), b_kind)
+        self.a_last, _ = _numbers(batch.column("a_last"), "u1")
+        self.b_last, _ = _numbers(batch.column("b_last"), "u1")
+        self.a_ends, self.b_ends = np.flatnonzero(self.a_last), np.flatnonzero(self.b_last)
+        #: Where each row's groups start.
+        self.at = joined(self.a_last)[self.a_at]
 
     def links(self) -> np.ndarray:
         """The two ids that end each group, as one number."""
-        return self.a[np.cumsum(self.a_sizes) - 1] << 32 | self.b[np.cumsum(self.b_sizes) - 1]
+        return self.a[self.a_ends].astype(np.int64) << 32 | self.b[self.b_ends].astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batches cut into rows of at most so many tokens of the second side, or one row."""
+def _slices(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[tuple[pa.RecordBatch, _Aligned]]:
+    """Rows of at most so many tokens of the second side, or one row."""
+    a_kind, b_kind = _id_kind(a_path, byte_level_lengths), _id_kind(b_path, piece_lengths)
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = batch.column("b_ids").offsets.to_numpy().astype(np.int64)
+        _, at = _numbers(batch.column("b_last"), "u1")
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
-            yield batch.slice(first, last - first)
+            last = max(first + 1, int(np.searchsorted(at, at[first] + TOKENS, "right")) - 1)
+            rows = batch.slice(first, last - first)
+            yield rows, _Aligned(rows, a_kind, b_kind)
             first = last
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """One row per document (doc_id, text): both sides' ids and how groups share them out.
+
+    `a_ids` are those of a blank and the text in a byte-level vocabulary, `b_ids` those of
+    the text in a piece vocabulary that puts the blank there itself; `a_sizes` and `b_sizes`
+    tell how many ids of each side every group holds, in order. Strings of special tokens in
+    a text are plain text. A null or empty text, and one that either side's tokens do not
+    spell, has empty lists. Rows that repeat count each; a null doc_id is carried; other
+    columns are not read. An empty table gives an empty result.
+    """
+    a_path, b_path = a_path or byte_level_path(), b_path or piece_path()
+    tokens = _tokens(docs, a_path, b_path)
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+
+    def lists(values, counts):
+        return pa.ListArray.from_arrays(pa.array(joined(counts).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in _slices(batches, a_path, b_path):
+            n = np.diff(rows.at)
+            columns = [
+                batch.column("doc_id"),
+                lists(rows.a, np.diff(rows.a_at)),
+                lists(rows.b, np.diff(rows.b_at)),
+                lists(np.diff(rows.a_ends, prepend=-1), n),
+                lists(np.diff(rows.b_ends, prepend=-1), n),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
+
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
+    return tokens.mapInArrow(unpack, schema)
+
+
+def _link_counts(tokens: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(a, b, n): how many groups end with id `a` on one side and `b` on the other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in _slices(batches):
-            new, more = np.unique(_Aligned(batch).links(), return_counts=True)
+        for _, rows in _slices(batches, a_path, b_path):
+            new, more = np.unique(rows.links(), return_counts=True)
             keys, into = np.unique(np.concatenate([keys, new]), return_inverse=True)
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, into, np.concatenate([counts, more]))
@@ -169,7 +214,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
         columns = [pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(counts)]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
-    counted = aligned.select(*_LISTS).mapInArrow(count, "a long, b long, n long")
+    counted = tokens.select(*_STORED).mapInArrow(count, "a long, b long, n long")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -210,20 +255,18 @@ def _digits(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), joined(lengths)[:-1], lengths
 
 
-def group_texts(rows: _Aligned, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _group_texts(rows: _Aligned, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of `a1,a2|b1;a3|b2,b3;` for all rows, and where each row's start."""
-    n_groups = len(rows.a_sizes)
-    groups = np.arange(n_groups)
-    in_a, in_b = np.repeat(groups, rows.a_sizes), np.repeat(groups, rows.b_sizes)
-    a_upto, b_upto = np.cumsum(rows.a_sizes), np.cumsum(rows.b_sizes)
+    in_a, in_b = (joined(last)[:-1] for last in (rows.a_last, rows.b_last))
+    a_upto, b_upto = rows.a_ends + 1, rows.b_ends + 1
     ids = np.empty(len(rows.a) + len(rows.b), np.int64)
-    ids[np.arange(len(rows.a)) + (b_upto - rows.b_sizes)[in_a]] = rows.a
+    ids[np.arange(len(rows.a)) + np.append(0, b_upto)[in_a]] = rows.a
     ids[np.arange(len(rows.b)) + a_upto[in_b]] = rows.b
     text, begins, lengths = _digits(most)
     ends = joined(lengths[ids])
     out = gather(text, begins[ids], lengths[ids])
     group_ends = a_upto + b_upto
-    out[ends[group_ends - rows.b_sizes] - 1] = ord("|")
+    out[ends[group_ends - np.diff(b_upto, prepend=0)] - 1] = ord("|")
     out[ends[group_ends] - 1] = ord(";")
     return out, ends[np.append(0, group_ends)[rows.at]]
 
@@ -239,8 +282,8 @@ def alignment_report(docs: DataFrame, a_path: str | None = None, b_path: str | N
     """
     a_path, b_path = a_path or byte_level_path(), b_path or piece_path()
     spark = docs.sparkSession
-    aligned, _ = stored(align_tokens(docs, a_path, b_path), "align-tokens")
-    found = link_counts(aligned).toArrow()
+    tokens, _ = stored(_tokens(docs, a_path, b_path), "align-tokens")
+    found = _link_counts(tokens, a_path, b_path).toArrow()
     bound = most_links(a_path, b_path)
     if found.num_rows > bound:
         raise ValueError(f"{found.num_rows} pairs of ids end together, more than the {bound} that can")
@@ -251,15 +294,14 @@ def alignment_report(docs: DataFrame, a_path: str | None = None, b_path: str | N
     highest = np.zeros(len(seconds), np.int64)
     np.maximum.at(highest, into, counts)
     table = spark.sparkContext.broadcast((keys, counts, counts == highest[into]))
-    kind = aligned.schema["doc_id"].dataType.simpleString()
+    kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = table.value
         most = max(len(byte_level_lengths(a_path)), len(piece_lengths(b_path)))
-        for batch in _slices(batches):
-            rows = _Aligned(batch)
+        for batch, rows in _slices(batches, a_path, b_path):
             at = np.searchsorted(known, rows.links())
-            text, ends = group_texts(rows, most)
+            text, ends = _group_texts(rows, most)
             data = memoryview(text.tobytes())
             digests = [
                 hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else ""
@@ -280,4 +322,4 @@ def alignment_report(docs: DataFrame, a_path: str | None = None, b_path: str | N
             )
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return aligned.mapInArrow(report, schema)
+    return tokens.mapInArrow(report, schema)
