@@ -2,14 +2,15 @@
 
 `plain` has one bare statement per script. `annotated` wraps the same statements in
 what exported scripts carry: comments with quotes in them, USE/GO/SET preambles, and
-literals that look like code. `exported` holds what tools write, with results by hand.
+literals that look like code. `exported` holds what tools write and `nested` views with
+nested select lists, both with results by hand.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.exported import body_sql
+from checks import exported, nested
 
 _BODY = """
 case id % 7
@@ -38,7 +39,8 @@ def corpus_sql(variant: str, part: str = "part", with_id: bool = False) -> str:
     number = "id, " if with_id else ""
     literal = "Brand#" if variant == "plain" else "dbo.x -- xml VARCHAR(3) /*"
     noted = _NOTES if variant == "annotated" else "body"
-    made = body_sql() if variant == "exported" else _BODY.replace("{literal}", literal)
+    by_hand = {"exported": exported.body_sql, "nested": nested.body_sql}
+    made = by_hand[variant]() if variant in by_hand else _BODY.replace("{literal}", literal)
     return f"""
 select k,
        'stage/' || case when k % 2 = 0 then 'a' else 'b' end || '/'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.corpus import corpus_sql
 from checks.exported import exported_sql
+from checks.nested import nested_sql
 from checks.queries import (
     COLUMN_TEXT,
     DEPENDENCY_REPLY,
@@ -584,4 +585,5 @@ def all_sql() -> dict[str, str]:
             found[f"worklist_{kind}_limit"] = (
                 f"{sql} order by sql_file_name, _stg_sql_file_md5 limit {limit}"
             )
-    return found | exported_sql(corpus_sql("exported", with_id=True))
+    found |= exported_sql(corpus_sql("exported", with_id=True))
+    return found | nested_sql(corpus_sql("nested", with_id=True))

@@ -532,6 +532,7 @@ def all_queries() -> dict[str, Query]:
         "object_type_stats": object_stats,
         "stmt_type_stats": stmt_stats,
         "copy_statement": copies,
+        "translate_view_nested": translate("view", "nested"),
         "trigger_headers": triggers("plain"),
         "trigger_headers_annotated": triggers("annotated"),
         "trigger_headers_exported": triggers("exported"),

@@ -106,7 +106,7 @@ _SAFE_CALLS = (
     "VARCHAR|NVARCHAR|CHAR|NCHAR|CHARACTER|VARYING|TEXT|DECIMAL|NUMERIC|FLOAT|TIME|KEY|CHECK|UNIQUE|"
     "DEFAULT|IN|AND|OR|NOT|ON|WHERE|HAVING|AS|FROM|JOIN|SELECT|BY|VALUES|RETURN|WHEN|THEN|ELSE|"
     "COUNT|SUM|AVG|MIN|MAX|COALESCE|NULLIF|UPPER|LOWER|LTRIM|RTRIM|TRIM|ABS|ROUND|FLOOR|CEILING|"
-    "CAST|REPLACE|XML|JSON"
+    "CAST|REPLACE|XML|JSON|OVER|ROW_NUMBER|RANK|DENSE_RANK"
 )
 _OBJECT = r"\b(?:TABLE|VIEW|FUNCTION|REFERENCES|INTO)\s+[\w$#]+(?:\s*\.\s*[\w$#]*)*"
 _BEFORE_OBJECT = "CONTENT|DOCUMENT|TABLE|VIEW|FUNCTION|TRIGGER|REFERENCES|ON|FROM|JOIN|INTO|UPDATE|EXISTS|ADD|AS|RETURN|SELECT"
@@ -252,10 +252,16 @@ def function_review(code: Column) -> Column:
     )
 
 
-# Select list of a view: pieces between top-level commas. A piece may hold literals
-# and calls without nested parentheses.
-_PIECE = r"(?:'[^']*'|\([^()']*\)|[^,'()])++"
-_VIEW_PARTS = r"(?s)^((?>.*?\bSELECT\b)(?:\s+DISTINCT\b)?)(.*?)((?<!\s)\s+FROM\b.*)$"
+# What the select list of a view is read by: literals, brackets, commas, words, the rest. FROM
+# after DISTINCT belongs to a comparison.
+_WORD_END = r"(?![\w$#@])"
+_LIST_TOKEN = rf"'[^']*+'?|[(),]|DISTINCT\s++FROM{_WORD_END}|[\w$#@]++|[^\w$#@'(),]++"
+# Words that end a select list when they stand in no bracket of it.
+_LIST_ENDS = ["FROM", "UNION", "EXCEPT", "INTERSECT", "WHERE", "GROUP", "HAVING", "ORDER", "WITH", "INTO", "OPTION"]
+# Marks between the columns of a list and after it; private-use characters.
+_LIST_NEXT, _LIST_CLOSE = "\ue003", "\ue004"
+# Tokens of a block. A fold copies its state at every step, so none runs over more.
+_BLOCK = 400
 
 
 def _view_rules(code: Column) -> Column:
@@ -269,32 +275,97 @@ def view_header(text: Column) -> Column:
     return strip(map_code(text, _view_rules))
 
 
-def view_select_list(ddl: Column) -> Column:
-    return F.regexp_extract(ddl, _VIEW_PARTS, 2)
+def _tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s){_LIST_TOKEN}"), F.lit(0))
 
 
-def view_list_is_flat(select_list: Column) -> Column:
-    return F.rlike(select_list, F.lit(rf"(?s)^{_PIECE}(?:,{_PIECE})*+$"))
+def view_parts(ddl: Column) -> tuple[Column, Column]:
+    """The text up to the first SELECT, with DISTINCT or ALL, and what comes after it."""
+    toks = _tokens_of(ddl)
+    place = F.array_position(toks, "SELECT").cast("int")
+    rest = F.when(place > 0, F.array_join(F.slice(toks, place + 1, F.greatest(F.size(toks) - place, F.lit(0))), ""))
+    lead = rf"^(\s+(?:DISTINCT|ALL){_WORD_END})"
+    head = F.concat(F.array_join(F.slice(toks, 1, place), ""), F.regexp_extract(rest, lead, 1))
+    return F.when(place > 0, head), F.regexp_replace(rest, lead, "")
 
 
-def view_ddl(ddl: Column, select_list: Column) -> Column:
-    """Put each column of a flat select list on its own line."""
-    pieces = F.transform(
-        F.regexp_extract_all(select_list, F.lit(rf"(?s){_PIECE}"), F.lit(0)), strip
+def list_blocks(rest: Column) -> Column:
+    """The text after SELECT in blocks of whole tokens, with the brackets open before each."""
+    blocks = F.regexp_extract_all(rest, F.lit(rf"(?s)(?:{_LIST_TOKEN}){{1,{_BLOCK}}}"), F.lit(0))
+
+    def opened(block: Column) -> Column:
+        code = F.regexp_replace(block, "'[^']*+'?", "")
+        return F.regexp_count(code, F.lit(r"\(")) - F.regexp_count(code, F.lit(r"\)"))
+
+    before = F.aggregate(
+        blocks,
+        F.array(F.lit(0)),
+        lambda sums, block: F.array_append(sums, F.element_at(sums, -1) + opened(block)),
+        lambda sums: F.slice(sums, 1, F.size(sums) - 1),
     )
+    return F.arrays_zip(blocks.alias("block"), before.alias("open"))
+
+
+def marked_list(blocks: Column) -> Column:
+    """The blocks as one text, with a mark in the place of each comma between columns and one
+    after the list. Commas inside of brackets and literals are left.
+
+    Every block is read by a fold over its tokens that counts open brackets, as though the
+    list went on up to it; the first block in which it ends settles that.
+    """
+
+    def step(done: Column, tok: Column) -> Column:
+        here = (done["open"] == 0) & ~done["over"]
+        ends = here & (tok.isin(_LIST_ENDS) | (tok == ")"))
+        made = F.when(here & (tok == ","), _LIST_NEXT).when(ends, F.concat(F.lit(_LIST_CLOSE), tok)).otherwise(tok)
+        return F.struct(
+            (done["open"] + F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)).alias("open"),
+            (done["over"] | ends).alias("over"),
+            F.concat(done["text"], made).alias("text"),
+        )
+
+    def read(entry: Column) -> Column:
+        start = F.struct(entry["open"].alias("open"), F.lit(False).alias("over"), F.lit("").alias("text"))
+        return F.aggregate(_tokens_of(entry["block"]), start, step)
+
+    done = F.transform(blocks, read)
+
+    def settle(found: Column) -> Column:
+        end = F.array_position(F.transform(found, lambda f: f["over"]), True)
+        texts = F.transform(
+            F.arrays_zip(found.alias("found"), blocks.alias("raw")),
+            lambda e, i: F.when((end == 0) | (i < end), e["found"]["text"]).otherwise(e["raw"]["block"]),
+        )
+        closed = (end > 0) | (F.try_element_at(found, F.lit(-1))["open"] == 0)
+        return F.struct(F.array_join(texts, "").alias("text"), F.coalesce(closed, F.lit(False)).alias("closed"))
+
+    # A one-element array keeps what was read from being read again.
+    return F.get(F.transform(F.array(done), settle), F.lit(0))
+
+
+def list_columns(marked: Column) -> Column:
+    """The columns of a `marked_list`; null when no list was found, a bracket of it stays open
+    or a column is missing."""
+    parts = F.split(marked["text"], _LIST_CLOSE, 2)
+    columns = F.transform(F.split(F.get(parts, F.lit(0)), _LIST_NEXT), strip)
+    return F.when(marked["closed"] & ~F.exists(columns, lambda c: c == ""), columns)
+
+
+def view_ddl(ddl: Column, head: Column, marked: Column, columns: Column) -> Column:
+    """Put each column of the select list on its own line, where the list is clear."""
+    rest = strip(F.coalesce(F.get(F.split(marked["text"], _LIST_CLOSE, 2), F.lit(1)), F.lit("")))
     laid_out = F.concat(
-        F.regexp_extract(ddl, _VIEW_PARTS, 1),
+        head,
         F.lit("\n    "),
-        F.array_join(pieces, ",\n    "),
-        F.lit("\n"),
-        strip(F.regexp_extract(ddl, _VIEW_PARTS, 3)),
+        F.array_join(columns, ",\n    "),
+        F.when(rest != "", F.concat(F.lit("\n"), rest)).otherwise(""),
     )
-    return F.when(view_list_is_flat(select_list), laid_out).otherwise(ddl)
+    return F.when(columns.isNotNull(), laid_out).otherwise(ddl)
 
 
-def view_review(ddl: Column, select_list: Column) -> Column:
+def view_review(ddl: Column, columns: Column) -> Column:
     return (
-        ~view_list_is_flat(select_list)
+        columns.isNull()
         | unknown_construct(ddl)
         | (count_matches(ddl, r"\bSELECT\b") > 1)
         | F.rlike(ddl, F.lit(r"\b(?:TOP|APPLY|PIVOT|SCHEMABINDING|NOLOCK|ISNULL|GETDATE)\b"))

@@ -71,7 +71,11 @@ def _with_trigger_parts(rows: DataFrame, kind: Column) -> DataFrame:
 
 def _with_view_parts(rows: DataFrame, kind: Column) -> DataFrame:
     rows = once(rows, __ddl=F.when(kind == "view", rules.view_header(F.col("__text"))))
-    return once(rows, __list=rules.view_select_list(F.col("__ddl")))
+    head, rest = rules.view_parts(F.col("__ddl"))
+    rows = once(rows, __head=head, __rest=rest)
+    rows = once(rows, __blocks=rules.list_blocks(F.col("__rest")))
+    rows = once(rows, __marked=rules.marked_list(F.col("__blocks")))
+    return once(rows, __columns=rules.list_columns(F.col("__marked")))
 
 
 def _target(kind: str) -> tuple[Column, Column]:
@@ -84,8 +88,9 @@ def _target(kind: str) -> tuple[Column, Column]:
     if kind == "function":
         return rules.function_ddl(text), rules.function_review(code)
     if kind == "view":
-        select_list = F.col("__list")
-        return rules.view_ddl(F.col("__ddl"), select_list), rules.view_review(code, select_list)
+        columns = F.col("__columns")
+        ddl = rules.view_ddl(F.col("__ddl"), F.col("__head"), F.col("__marked"), columns)
+        return ddl, rules.view_review(code, columns)
     # A trigger's body stays as it is, and its task runs on a schedule.
     fields = [F.col(c) for c in ("trigger_name", "target_table", "events", "trigger_body")]
     return rules.trigger_plan(*fields), F.lit(True)

@@ -76,7 +76,7 @@ VIEWS = [
     ),
     (
         "create view v as select (select max(x) from q) m, b from t",
-        "CREATE OR REPLACE VIEW V AS SELECT (SELECT MAX(X) FROM Q) M, B FROM T",
+        "CREATE OR REPLACE VIEW V AS SELECT\n    (SELECT MAX(X) FROM Q) M,\n    B\nFROM T",
         True,
     ),
     (
@@ -84,7 +84,7 @@ VIEWS = [
         "CREATE OR REPLACE VIEW V AS SELECT\n    A\nFROM T UNION SELECT B FROM U",
         True,
     ),
-    ("create view v as select 1 as a", "CREATE OR REPLACE VIEW V AS SELECT 1 AS A", True),
+    ("create view v as select 1 as a", "CREATE OR REPLACE VIEW V AS SELECT\n    1 AS A", False),
 ]
 
 
