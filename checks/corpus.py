@@ -3,7 +3,7 @@
 `plain` has one bare statement per script. `annotated` wraps the same statements in
 what exported scripts carry: comments with quotes in them, USE/GO/SET preambles, and
 literals that look like code. `exported` holds what tools write and `nested` views with
-nested select lists, both with results by hand.
+nested select lists, both with results by hand. `linked` has views only, which read each other.
 """
 
 from __future__ import annotations
@@ -23,6 +23,16 @@ case id % 7
  else 'GRANT SELECT ON dbo.part_' || (id - 6) || ' TO usr' end
 """
 
+# Views by tens: most read the one before, a third a hub, 6 reads itself, 7 and 8 each other.
+_OWN_SCHEMA = "case when id % 20 < 10 then 'dbo' else 'sales' end"
+_LINKED = f"""
+'CREATE VIEW ' || {_OWN_SCHEMA} || '.l_' || id || ' AS SELECT a FROM dbo.t_' || id || ' x'
+|| case when id % 3 = 0 and id > 1 then ', dbo.l_1 h' else '' end
+|| case when id % 10 in (0, 6) then '' else ' JOIN [' || {_OWN_SCHEMA} || '].[l_' || (id - 1) || '] y ON 1 = 1' end
+|| case id % 10 when 6 then ', ' || {_OWN_SCHEMA} || '.l_' || id
+  when 7 then ', ' || {_OWN_SCHEMA} || '.l_' || (id + 1) else '' end
+"""
+
 _NOTES = """
 case id % 4
  when 0 then body
@@ -40,7 +50,8 @@ def corpus_sql(variant: str, part: str = "part", with_id: bool = False) -> str:
     literal = "Brand#" if variant == "plain" else "dbo.x -- xml VARCHAR(3) /*"
     noted = _NOTES if variant == "annotated" else "body"
     by_hand = {"exported": exported.body_sql, "nested": nested.body_sql}
-    made = by_hand[variant]() if variant in by_hand else _BODY.replace("{literal}", literal)
+    statements = _LINKED if variant == "linked" else _BODY.replace("{literal}", literal)
+    made = by_hand[variant]() if variant in by_hand else statements
     return f"""
 select k,
        'stage/' || case when k % 2 = 0 then 'a' else 'b' end || '/'

@@ -334,6 +334,49 @@ from (select sql_file_name, _stg_sql_file_md5, schema_name, object_name,
 )
 
 
+# Levels of named nodes: the longest walk, of those that lead into no cycle.
+_LEVELS = """
+reach as (select name, reads from links union select r.name, e.reads from reach r join links e on e.name = r.reads),
+cyclic as (select distinct name from reach where name = reads),
+lost as (select name from cyclic union select r.name from reach r join cyclic c on r.reads = c.name),
+walk as (
+  select name, 0::bigint as depth from nodes where name not in (select name from lost)
+  union
+  select e.name, w.depth + 1 from walk w join links e on e.reads = w.name where e.name not in (select name from lost)
+), levels as (select name, max(depth) as level from walk group by name)
+select sql_file_name, _stg_sql_file_md5, schema_name, object_name, level,
+       name in (select name from cyclic) as in_cycle
+from nodes left join levels using (name)
+"""
+
+
+def _levels_sql() -> str:
+    nodes = (
+        "select sql_file_name, _stg_sql_file_md5, upper(schema_name) as schema_name, upper(object_name) as object_name, "
+        "upper(object_name) as name from registry where object_type = 'view' and operation_type = 'create'"
+    )
+    links = "select distinct object_name as name, depends_on as reads from edges where depends_on in (select name from nodes)"
+    named = _ctes(*_registered("plain"), _EDGES, ("nodes", nodes), ("links", links)).rstrip()
+    return named.replace("with", "with recursive", 1) + ", " + _LEVELS
+
+
+def _linked_levels_sql() -> str:
+    """By the numbers that the scripts are made from, not by their texts."""
+    return f"""
+with recursive scripts as (
+  select distinct string_split(path, '/')[-1] as sql_file_name, md5 as _stg_sql_file_md5, id
+  from ({corpus_sql("linked", with_id=True)}) where regexp_full_match(path, '.*MS-SQL-Server-Script.*[.]sql')
+), nodes as (
+  select *, case when id % 20 < 10 then 'DBO' else 'SALES' end as schema_name, 'L_' || id as object_name, id as name
+  from scripts
+), links as (
+  select * from (select id as name, unnest([case when id % 3 = 0 and id > 1 then 1 end, case when id % 10 not in (0, 6) then id - 1 end,
+    case when id % 10 = 6 then id end, case when id % 10 = 7 then id + 1 end]) as reads
+  from scripts)
+  where reads in (select id from scripts)
+), {_LEVELS}"""
+
+
 def _complexity_sql(variant: str) -> str:
     counts = ", ".join(
         f"len(regexp_extract_all({CODE}, '{pattern}')) as {name}"
@@ -557,6 +600,8 @@ def all_sql() -> dict[str, str]:
         "chat_seed": "select distinct c_custkey as conv_id, 0::bigint as turn, "
         f"'assistant' as role, {_text(GREETING)} as text from customer "
         "where c_custkey not in (select conv_id from conversations)",
+        "view_levels": _levels_sql(),
+        "view_levels_linked": _linked_levels_sql(),
         "sql_query": SQL_TEXT,
         "single_column": COLUMN_TEXT,
     }

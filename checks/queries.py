@@ -26,6 +26,7 @@ from scriptloom.operators.ingest import (
     new_scripts,
     registry_rows,
 )
+from scriptloom.operators.levels import view_levels
 from scriptloom.operators.sqlapi import SqlMemo
 from scriptloom.operators.stats import object_type_stats, stmt_type_stats
 from scriptloom.operators.tasks import answer_task
@@ -348,6 +349,13 @@ def exported_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependency_counts(spark, sf_dir, "exported")
 
 
+def levels(variant: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return view_levels(_views(spark, sf_dir, variant))
+
+    return run
+
+
 def complexity(variant: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lineage.script_complexity(_registry(spark, sf_dir, variant))
@@ -539,6 +547,8 @@ def all_queries() -> dict[str, Query]:
         "view_dependencies_exported": dependencies("exported"),
         "view_dependency_counts_exported": exported_counts,
         "script_complexity_exported": complexity("exported"),
+        "view_levels": levels("plain"),
+        "view_levels_linked": levels("linked"),
         "view_dependencies": dependencies("plain"),
         "view_dependencies_annotated": dependencies("annotated"),
         "view_dependency_counts": dependency_counts,

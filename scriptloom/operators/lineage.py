@@ -15,7 +15,8 @@ from scriptloom.schema import KEY
 _NAMED = [*KEY, "schema_name", "object_name"]
 
 
-def _with_sources(views: DataFrame) -> DataFrame:
+def with_sources(views: DataFrame) -> DataFrame:
+    """Key and upper-case name of each view script, and `sources`, the names it reads."""
     code = once(views, __code=code_only(tokens(F.col("sql_body"))))
     upper = [F.upper(c).alias(c) for c in ("schema_name", "object_name")]
     return once(code.select(*KEY, *upper, "__code"), sources=rules.source_names(F.col("__code")))
@@ -27,12 +28,12 @@ def view_dependencies(views: DataFrame) -> DataFrame:
     A view is its script: two of one name in different schemas, or two versions of a file,
     keep their own edges. Sources are distinct in their row, so nothing is shuffled.
     """
-    return _with_sources(views).select(*_NAMED, F.explode("sources").alias("depends_on"))
+    return with_sources(views).select(*_NAMED, F.explode("sources").alias("depends_on"))
 
 
 def view_dependency_counts(views: DataFrame) -> DataFrame:
     """Number of tables and views each view script reads; one that reads none counts 0."""
-    return _with_sources(views).select(
+    return with_sources(views).select(
         *_NAMED, F.size("sources").cast("bigint").alias("n_dependencies")
     )
 
