@@ -160,6 +160,18 @@ from ({corpus_sql("plain")})
 where regexp_full_match(path, '.*MS-SQL-Server-Script.*[.]sql')"""
 
 
+# Half of the files first, then the other half, then none.
+_ONBOARDED = """
+select string_split(f.path, '/')[-1] as sql_file_name, f.md5 as _stg_sql_file_md5, min(f.path) as path,
+       any_value(stmt_type) as stmt_type, any_value(object_type) as object_type,
+       any_value(operation_type) as operation_type, any_value(schema_name) as schema_name,
+       any_value(object_name) as object_name,
+       (select count(*) from files where path like 'stage/a/%') as opened_1,
+       (select count(*) from files where path like 'stage/b/%') as opened_2, 0::bigint as opened_3
+from files f join registry r on r.sql_file_name = string_split(f.path, '/')[-1]
+group by 1, 2
+"""
+
 # --- translation --------------------------------------------------------------------
 
 _ARGS = r"(?:\s*\(\s*[\w\s,.]*\))?"
@@ -500,6 +512,8 @@ def all_sql() -> dict[str, str]:
         "scan_scripts": _SCAN,
         "scan_files": _FILES,
         "preview_files": f"{_FILES} order by path limit 5",
+        "scan_files_in_tasks": _FILES,
+        "onboard_files": _ctes(*_registered("plain"), ("files", _FILES)) + _ONBOARDED,
         "batch_files": f"{_FILES} order by path limit 50",
         "preview_scripts": f"{_SCAN} order by path limit 5",
         "batch_scripts": f"{_SCAN} order by path limit 50",

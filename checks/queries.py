@@ -39,6 +39,7 @@ from scriptloom.operators.translate import (
 from scriptloom.operators.worklist import worklist
 from scriptloom.plans.assistant import answer_pending
 from scriptloom.plans.migration import completed_translation, migrate_worklist
+from scriptloom.plans.onboarding import onboard
 from scriptloom.schema import (
     BATCH_LIMIT,
     CLASS_KEYS,
@@ -157,6 +158,26 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tails(stage.scan_scripts(spark, _staged(spark, sf_dir)))
 
 
+def scan_files_in_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, listed and read in tasks."""
+    return _tails(stage.scan_in_tasks(spark, _staged(spark, sf_dir)))
+
+
+def onboarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus onboarded from files: half of the stage, then all of it, then once more."""
+    root, registry = _staged(spark, sf_dir), work_dir(spark, "registry")
+    opened = []
+    for part in ("stage/a", "stage", "stage"):
+        counter = spark.sparkContext.accumulator(0)
+        onboard(spark, f"{root}/{part}", registry, opened=counter)
+        opened.append(counter.value)
+    rows = read_registry(spark, registry)
+    tail = F.regexp_extract("_stg_sql_file_name", "stage/[ab]/[^/]*$", 0).alias("path")
+    return rows.select(
+        *KEY, tail, *CLASS_KEYS, *[F.lit(n).cast("long").alias(f"opened_{k}") for k, n in enumerate(opened, 1)]
+    )
+
+
 def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tails(stage.preview_scripts(spark, _staged(spark, sf_dir)))
 
@@ -520,6 +541,8 @@ def all_queries() -> dict[str, Query]:
         "preview_scripts": preview_scripts,
         "batch_scripts": batch_scripts,
         "scan_files": scan_files,
+        "scan_files_in_tasks": scan_files_in_tasks,
+        "onboard_files": onboarded_files,
         "preview_files": preview_files,
         "batch_files": batch_files,
         "tabulate_scripts": tabulate_scripts,

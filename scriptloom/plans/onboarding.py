@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ from scriptloom.operators.complete import BackendFactory, complete
 from scriptloom.operators.ingest import failed_rows, new_scripts, registry_rows
 from scriptloom.schema import SCRIPT_PATTERN
 from scriptloom.session import remove_dir, work_dir
+from scriptloom.sources.manifest import changed_files, record_files
 from scriptloom.sources.registry import read_registry, registry_insert
-from scriptloom.sources.stage import batch_scripts, with_file_name
+from scriptloom.sources.stage import list_scripts, read_scripts, with_file_name
 
 
 @dataclass(frozen=True)
@@ -39,19 +41,28 @@ def onboard(
     pattern: str = SCRIPT_PATTERN,
     backend: BackendFactory | None = None,
     ledger: str | None = None,
+    opened: Accumulator | None = None,
 ) -> Onboarded:
     """Classify the scripts that are not registered yet and insert the usable ones.
 
+    The stage is listed in tasks; only files that are new or changed since the registry took
+    them in are opened, each once. `opened` counts them.
+
     Repeated and registered scripts are left out before the classification. Scripts
     with equal keys have equal bodies, hence equal replies, so this cannot hide a
     usable copy behind an unusable one. Without a backend the rules classify.
     """
-    scripts = with_file_name(batch_scripts(spark, roots, None, pattern=pattern))
+    changed = changed_files(list_scripts(spark, roots, pattern), registry)
+    changed_path, scanned_path = work_dir(spark, "changed"), work_dir(spark, "scanned")
+    changed.write.parquet(changed_path)
+    read_scripts(spark.read.parquet(changed_path), opened).write.parquet(scanned_path)
+    scanned = spark.read.parquet(scanned_path)
+    scripts = with_file_name(scanned.drop("modified_ms", "length"))
     fresh = new_scripts(scripts, read_registry(spark, registry, translations=False))
     if limit is not None:
         # Cut what is new, not what is there: repeated runs come to every file.
         fresh = fresh.orderBy("path").limit(limit)
-    # The scan runs once, also when a service is asked and answers are joined back.
+    # What is new is found once, also when a service is asked and answers are joined back.
     fresh_path = work_dir(spark, "fresh")
     fresh.write.parquet(fresh_path)
     fresh = spark.read.parquet(fresh_path)
@@ -65,5 +76,7 @@ def onboard(
     parse_classification(replied).write.parquet(staged)
     parsed = spark.read.parquet(staged)
     version = registry_insert(registry_rows(usable(parsed)), registry)
-    remove_dir(spark, fresh_path)
+    record_files(scanned, registry)
+    for spent in (fresh_path, scanned_path, changed_path):
+        remove_dir(spark, spent)
     return Onboarded(version, classification_rejects(parsed), failed_rows(parsed))

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions.text import base_name
 from scriptloom.schema import BATCH_LIMIT, PREVIEW_LIMIT, SCRIPT_PATTERN
+from scriptloom.sources.files import list_files, read_files
 
 SCAN_COLUMNS = ["path", "load_ts", "md5", "sql_body"]
 
@@ -95,6 +97,32 @@ def _escape_glob(path: str) -> str:
     return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
 
 
+def list_scripts(
+    spark: SparkSession, roots: str | Sequence[str], pattern: str = SCRIPT_PATTERN, glob: str = "*.sql"
+) -> DataFrame:
+    """Listing (path, modified_ms, length) of the scripts under the roots; none is opened."""
+    return list_files(spark, roots, glob).where(matches_pattern(F.col("path"), pattern))
+
+
+def read_scripts(files: DataFrame, opened: Accumulator | None = None) -> DataFrame:
+    """Scan columns of listed scripts, and their modified_ms and length."""
+    return read_files(files, opened).select(
+        "path",
+        _utc_text(F.timestamp_millis("modified_ms")).alias("load_ts"),
+        F.md5("content").alias("md5"),
+        decoded(F.col("content")).alias("sql_body"),
+        "modified_ms",
+        "length",
+    )
+
+
+def scan_in_tasks(
+    spark: SparkSession, roots: str | Sequence[str], pattern: str = SCRIPT_PATTERN, glob: str = "*.sql"
+) -> DataFrame:
+    """As `scan_scripts` without a limit, for stages whose paths the driver should not hold."""
+    return read_scripts(list_scripts(spark, roots, pattern, glob)).select(*SCAN_COLUMNS)
+
+
 def preview_scripts(spark: SparkSession, roots: str | Sequence[str], **options) -> DataFrame:
     """The first few scripts by path."""
     return scan_scripts(spark, roots, limit=PREVIEW_LIMIT, **options)
