@@ -12,6 +12,7 @@ from scriptloom.operators.tasks import SERVICE_ONLY, answer_task
 from scriptloom.operators.translate import TRANSLATORS, translate_registry
 from scriptloom.operators.worklist import stored_worklist
 from scriptloom.schema import COMPAT_TARGET_KINDS, KEY, TARGET_KINDS, WORKLIST_KINDS
+from scriptloom.sources.commits import ConflictError, head
 from scriptloom.sources.registry import (
     add_translations,
     drop_versions,
@@ -20,6 +21,9 @@ from scriptloom.sources.registry import (
     write_snapshot,
 )
 
+#: Times that a snapshot is made again because others have committed meanwhile.
+ATTEMPTS = 5
+
 
 def migrate_all(
     spark: SparkSession,
@@ -34,11 +38,19 @@ def migrate_all(
 
     Scripts that are translated, by whatever means, stay as they are unless `overwrite` is
     set. One pass from files to files, with a shuffle only to take in translations that were
-    recorded since the last version. `keep_versions` deletes all but the newest.
+    recorded since the last version. When others add to the registry meanwhile it starts
+    again from what is there then. `keep_versions` deletes all but the newest.
     """
-    joined = has_translations(spark, registry)
-    rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts, overwrite)
-    version = write_snapshot(rows, registry, rebalance=joined)
+    for attempt in range(ATTEMPTS):
+        since = head(spark, registry)
+        joined = has_translations(spark, registry)
+        rows = translate_registry(read_registry(spark, registry), kinds, compat, batch_ts, overwrite)
+        try:
+            version = write_snapshot(rows, registry, rebalance=joined, since=since)
+            break
+        except ConflictError:
+            if attempt + 1 == ATTEMPTS:
+                raise
     if keep_versions:
         drop_versions(spark, registry, keep_versions)
     return version

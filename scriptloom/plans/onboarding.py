@@ -20,6 +20,7 @@ from scriptloom.operators.complete import BackendFactory, complete
 from scriptloom.operators.ingest import failed_rows, new_scripts, registry_rows
 from scriptloom.schema import SCRIPT_PATTERN
 from scriptloom.session import remove_dir, work_dir
+from scriptloom.sources.commits import head
 from scriptloom.sources.manifest import changed_files, record_files
 from scriptloom.sources.registry import read_registry, registry_insert
 from scriptloom.sources.stage import list_scripts, read_scripts, with_file_name
@@ -58,6 +59,7 @@ def onboard(
     read_scripts(spark.read.parquet(changed_path), opened).write.parquet(scanned_path)
     scanned = spark.read.parquet(scanned_path)
     scripts = with_file_name(scanned.drop("modified_ms", "length"))
+    since = head(spark, registry)
     fresh = new_scripts(scripts, read_registry(spark, registry, translations=False))
     if limit is not None:
         # Cut what is new, not what is there: repeated runs come to every file.
@@ -75,7 +77,7 @@ def onboard(
     staged = work_dir(spark, "classified")
     parse_classification(replied).write.parquet(staged)
     parsed = spark.read.parquet(staged)
-    version = registry_insert(registry_rows(usable(parsed)), registry)
+    version = registry_insert(registry_rows(usable(parsed)), registry, since)
     record_files(scanned, registry)
     for spent in (fresh_path, scanned_path, changed_path):
         remove_dir(spark, spent)
