@@ -49,26 +49,28 @@ def first_per_key(scripts: DataFrame, determined: Sequence[str] = ()) -> DataFra
     )
 
 
+def _exact(column: str) -> Column:
+    """The text of a column as a join key: never null, and no two texts alike."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
+
+
 def new_scripts(scripts: DataFrame, registry: DataFrame) -> DataFrame:
     """Scripts whose key is not registered yet, one per key.
 
     What is new is found from keys and paths alone. Bodies move only for the scripts that
-    are, so a run that finds little new shuffles little, whatever the stage holds.
+    are, and once: the join that picks them and the removal of paths that were listed twice
+    share one partitioning. A run that finds little new shuffles little, whatever the stage
+    holds.
     """
     known = registry.select(
         F.col("sql_file_name"), F.col("_stg_sql_file_md5").alias("md5")
     ).distinct()
     keys = ["sql_file_name", "md5"]
-    first = (
-        scripts.groupBy(*keys)
-        .agg(F.min("path").alias("path"))
-        .join(known, keys, "left_anti")
-        .select(*[F.col(c).alias(f"__{c}") for c in (*keys, "path")])
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "path")]
-    winners = scripts.join(first, same, "left_semi")
-    # A path that was listed twice is one script.
-    return winners.dropDuplicates([*keys, "path"])
+    exact = {f"__{c}": _exact(c) for c in (*keys, "path")}
+    first = scripts.groupBy(*keys).agg(F.min("path").alias("path")).join(known, keys, "left_anti")
+    first = first.select(*[column.alias(name) for name, column in exact.items()])
+    winners = scripts.withColumns(exact).join(first, list(exact), "left_semi")
+    return winners.dropDuplicates(list(exact)).drop(*exact)
 
 
 def registry_rows(

@@ -45,6 +45,26 @@ def test_new_scripts_are_found_without_bodies(spark, plan):
     assert not any("sql_body" in d for d in inputs)
 
 
+def test_bodies_of_new_scripts_are_shuffled_once(spark, plan):
+    scripts = spark.createDataFrame(
+        [("a", "s/a", "t", "m", "b"), ("a", "s/a", "t", "m", "b"), ("a", "s/b", "t", "m", "b"), ("a", "s/c", "t", None, None)],
+        "sql_file_name string, path string, load_ts string, md5 string, sql_body string",
+    )
+    registry = spark.createDataFrame([], REGISTRY_SCHEMA)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        fresh = new_scripts(scripts, registry)
+        details = plan(fresh).split("\n\n")[1:]
+        rows = fresh.collect()
+    finally:
+        spark.conf.set(conf, before)
+    moved = [d for d in details if "Exchange" in d.split("\n")[0] or "Exchange" in d[:20]]
+    assert len([d for d in moved if "sql_body" in d]) == 1
+    assert sorted((r.path, r.md5) for r in rows) == [("s/a", "m"), ("s/c", None)]
+
+
 def test_stats_read_the_kinds_only(spark, plan, tmp_path):
     root = str(tmp_path / "registry")
     registry_insert(spark.createDataFrame([], REGISTRY_SCHEMA), root)
