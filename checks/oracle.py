@@ -644,5 +644,7 @@ def all_sql() -> dict[str, str]:
             found[f"worklist_{kind}_limit"] = (
                 f"{sql} order by sql_file_name, _stg_sql_file_md5 limit {limit}"
             )
+    for name in ("object_type_stats", "stmt_type_stats"):
+        found[f"{name}_kept"] = found[name]
     found |= exported_sql(corpus_sql("exported", with_id=True))
     return found | nested_sql(corpus_sql("nested", with_id=True))

@@ -50,7 +50,7 @@ from scriptloom.schema import (
 )
 from scriptloom.session import work_dir
 from scriptloom.sources import stage
-from scriptloom.sources.registry import read_registry, registry_insert, write_snapshot
+from scriptloom.sources.registry import read_inventory, read_registry, registry_insert, write_snapshot
 from scriptloom.sources.stage import first_scripts, matches_pattern, tabulate, with_file_name
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +322,22 @@ def stmt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stmt_type_stats(_registry(spark, sf_dir))
 
 
+def kept_inventory(stats) -> Query:
+    """Statistics from the counts of two inserts, translations and a snapshot."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = work_dir(spark, "registry")
+        rows = _stored_registry(spark, sf_dir)
+        half = F.crc32(F.col("sql_file_name").cast("binary")) % 2
+        registry_insert(rows.where(half == 0), root)
+        migrate_worklist(spark, root, "table", batch_ts=BATCH_TS)
+        write_snapshot(read_registry(spark, root), root)
+        registry_insert(rows.where(half == 1), root)
+        return stats(read_inventory(spark, root), "n")
+
+    return run
+
+
 def work(kind: str, limit: int | None = 0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return worklist(_registry(spark, sf_dir), kind, limit)
@@ -562,6 +578,8 @@ def all_queries() -> dict[str, Query]:
         "translate_registry": translated_in_place,
         "object_type_stats": object_stats,
         "stmt_type_stats": stmt_stats,
+        "object_type_stats_kept": kept_inventory(object_type_stats),
+        "stmt_type_stats_kept": kept_inventory(stmt_type_stats),
         "copy_statement": copies,
         "translate_view_nested": translate("view", "nested"),
         "trigger_headers": triggers("plain"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptloom.operators.skew import HOT_KEYS, HOT_ROWS, key_hash, salted_left_join
@@ -22,6 +24,8 @@ LEDGER_SCHEMA = "model string, prompt_hash string, response string, error string
 
 # Calls one task makes: what a lost executor costs at most.
 CALLS_PER_TASK = 10_000
+# What a call costs besides its prompt, in characters.
+CALL_COST = 200
 
 
 def read_ledger(
@@ -51,38 +55,96 @@ def _entries(spark: SparkSession, path: str, model: str | None) -> DataFrame:
     return entries.where(F.col("model").eqNullSafe(F.lit(model).cast("string")))
 
 
-def _caller(factory: BackendFactory, batch_size: int, model: str | None = None):
+def _caller(
+    factory: BackendFactory,
+    batch_size: int,
+    model: str | None = None,
+    in_flight: int = 1,
+    attempts: int = 1,
+    backoff: float = 1.0,
+):
+    """A task's calls: a bounded number at a time, repeated after growing pauses.
+
+    Replies go on as they come; the prompt's hash goes with them, so order does not matter.
+    """
+
+    def ask(backend: Backend, prompts: list[str]) -> list[str]:
+        replies = list(backend(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+        return replies
+
     def answer(backend: Backend, prompts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            replies = list(backend(prompts))
-            if len(replies) != len(prompts):
-                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-            return [(reply, None) for reply in replies]
+            return [(reply, None) for reply in ask(backend, prompts)]
         except Exception as error:
-            if len(prompts) == 1:
-                return [(None, f"{type(error).__name__}: {error}")]
-            # One bad prompt must not fail its batch.
-            return [answer(backend, [prompt])[0] for prompt in prompts]
+            if len(prompts) > 1:
+                # One bad prompt must not fail its batch.
+                return [answer(backend, [prompt])[0] for prompt in prompts]
+            failed = error
+        for attempt in range(1, attempts):
+            time.sleep(backoff * 2 ** (attempt - 1))
+            try:
+                return [(ask(backend, prompts)[0], None)]
+            except Exception as error:
+                failed = error
+        return [(None, f"{type(failed).__name__}: {failed}")]
+
+    def replies(hashes: list[str], answers: list[tuple[str | None, str | None]]) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "model": pd.Series([model] * len(hashes), dtype="object"),
+                "prompt_hash": pd.Series(hashes, dtype="object"),
+                "response": pd.Series([a[0] for a in answers], dtype="object"),
+                "error": pd.Series([a[1] for a in answers], dtype="object"),
+            }
+        )
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = factory()
-        for frame in frames:
-            prompts = frame["prompt"].tolist()
-            answers: list[tuple[str | None, str | None]] = []
-            for start in range(0, len(prompts), batch_size):
-                answers += answer(backend, prompts[start : start + batch_size])
-            yield pd.DataFrame(
-                {
-                    "model": pd.Series([model] * len(frame), dtype="object"),
-                    "prompt_hash": frame["prompt_hash"],
-                    "response": pd.Series([a[0] for a in answers], dtype="object"),
-                    "error": pd.Series([a[1] for a in answers], dtype="object"),
-                }
-            )
+        calls: dict[Future, list[str]] = {}
+
+        def ended(until: str) -> Iterator[pd.DataFrame]:
+            done, _ = wait(calls, return_when=until)
+            for future in done:
+                yield replies(calls.pop(future), future.result())
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                prompts, hashes = frame["prompt"].tolist(), frame["prompt_hash"].tolist()
+                for start in range(0, len(prompts), batch_size):
+                    while len(calls) >= in_flight:
+                        yield from ended(FIRST_COMPLETED)
+                    end = start + batch_size
+                    calls[pool.submit(answer, backend, prompts[start:end])] = hashes[start:end]
+            while calls:
+                yield from ended(FIRST_COMPLETED)
 
     return call
 
 
+def equal_shares(prompts: DataFrame, tasks: int, call_cost: int = CALL_COST) -> DataFrame:
+    """The prompts dealt to tasks of about equal cost, that of a call being its length and
+    a constant. Their lengths are added up in the order of their hashes, over ranges and then
+    within them, and the sum is cut into equal shares."""
+    cost = (F.length("prompt") + call_cost).alias("cost")
+    lengths = prompts.select("prompt_hash", cost).repartitionByRange("prompt_hash")
+    stored = work_dir(prompts.sparkSession, "costs")
+    lengths.withColumn("part", F.spark_partition_id()).write.parquet(stored)
+    lengths = prompts.sparkSession.read.parquet(stored)
+    parts = lengths.groupBy("part").agg(F.sum("cost").alias("total"))
+    total = parts.agg(F.sum("total").alias("t")).first()["t"] or 1
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    upto = Window.partitionBy("part").orderBy("prompt_hash").rowsBetween(Window.unboundedPreceding, 0)
+    summed = lengths.withColumn("upto", F.sum("cost").over(upto)).join(bases, "part")
+    # The middle of a prompt decides, so a long one does not push its neighbours aside.
+    middle = F.col("base") + F.col("upto") - F.col("cost") / 2
+    share = F.least(F.floor(middle * tasks / total), F.lit(tasks - 1)).cast("int")
+    shares = summed.select("prompt_hash", share.alias("share"))
+    return prompts.join(shares, "prompt_hash").repartitionById(tasks, F.col("share")).drop("share")
+
+
 def complete(
     rows: DataFrame,
     factory: BackendFactory,
@@ -93,10 +155,16 @@ def complete(
     spread_by: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
     model: str | None = None,
+    in_flight: int = 1,
+    attempts: int = 1,
+    backoff: float = 1.0,
 ) -> DataFrame:
     """Add `response` and `error` for the prompt of each row.
 
-    `model` names what answers: the ledger keeps the answers of each model apart.
+    `model` names what answers: the ledger keeps the answers of each model apart. Tasks get
+    shares of about equal length in all. Each has up to `in_flight` calls under way, from
+    threads if it is more than one, and makes up to `attempts` of a prompt that fails, the
+    pause before the next starting at `backoff` seconds and doubling.
 
     Distinct prompts are written out first, so neither the scan nor the rules behind
     them run again while the service is slow or a task is retried. Prompts with an
@@ -128,8 +196,8 @@ def complete(
     slots = spark.sparkContext.defaultParallelism
     tasks = parallelism or max(slots, waiting.count() // CALLS_PER_TASK)
     (
-        waiting.repartition(tasks, "prompt_hash")
-        .mapInPandas(_caller(factory, batch_size, model), LEDGER_SCHEMA)
+        equal_shares(waiting, tasks)
+        .mapInPandas(_caller(factory, batch_size, model, in_flight, attempts, backoff), LEDGER_SCHEMA)
         .write.mode("append")
         .parquet(ledger)
     )

@@ -10,7 +10,8 @@ An insert adds a folder to the latest version. Translations of a few scripts are
 scripts does not rewrite the rest. A snapshot takes them in and becomes the next version.
 
 Every change is a folder of its own that counts once the commit log names it, so readers see
-whole commits only and what a failed writer left is never read. Writers may work at once: one
+whole commits only and what a failed writer left is never read. Beside the rows of a commit
+lie their counts by kind, `<root>/counts/v=<n>/c=<commit>`: the inventory is their sum. Writers may work at once: one
 that finds its place in the log taken looks at what the others have added. An insert then
 leaves out what is registered by now, translations go to the version in force, and a
 snapshot, which may lack rows, gives up with a `ConflictError` for its caller to start again.
@@ -132,6 +133,25 @@ def _new_folder(version: int, below: str | None = None) -> str:
     return f"{below or f'v={version}'}/c={uuid.uuid4().hex}"
 
 
+def _write_counts(spark: SparkSession, root: str, folder: str) -> None:
+    rows = _read_rows(spark, root, [folder])
+    counts = rows.groupBy("stmt_type", "object_type").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.mode("overwrite").parquet(f"{root}/counts/{folder}")
+
+
+def read_inventory(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """(stmt_type, object_type, n): scripts by kind, from the counts of each commit.
+
+    Translations change no kind. No registry row is read, however large the registry.
+    """
+    folders = [c.folder for c in commits_of(spark, root, version) if c.kind != TRANSLATIONS]
+    schema = "stmt_type string, object_type string, n long"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    counts = spark.read.schema(schema).parquet(*[f"{root}/counts/{folder}" for folder in folders])
+    return counts.groupBy("stmt_type", "object_type").agg(F.sum("n").alias("n"))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target, fs = _file_system(spark, path)
     fs.delete(target, True)
@@ -190,6 +210,7 @@ def registry_insert(rows: DataFrame, root: str, since: int | None = None) -> int
     version = latest_version(spark, root) or 0
     folder = _new_folder(version)
     _write(rows, f"{root}/{folder}", "errorifexists", rebalance=True)
+    _write_counts(spark, root, folder)
     while True:
         later = commits(spark, root, since)
         now = max((c.version for c in later), default=version)
@@ -202,7 +223,9 @@ def registry_insert(rows: DataFrame, root: str, since: int | None = None) -> int
             own = _read_rows(spark, root, [folder]).select(*REGISTRY_COLUMNS)
             moved = _new_folder(now)
             _write(own.join(known, KEY, "left_anti"), f"{root}/{moved}", "errorifexists", rebalance=True)
-            _remove(spark, f"{root}/{folder}")
+            _write_counts(spark, root, moved)
+            for spent in (folder, f"counts/{folder}"):
+                _remove(spark, f"{root}/{spent}")
             folder, version = moved, now
         since = max([since, *(c.number for c in later)])
         if put(spark, root, Commit(since + 1, INSERT, version, folder)):
@@ -224,7 +247,7 @@ def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
     newest = latest_version(spark, root)
     old = [v for v in versions if newest is not None and v <= newest][: -max(keep, 1)]
     for version in old:
-        for folder in (f"{root}/v={version}", f"{root}/{_translations_path(version)}"):
+        for folder in (f"{root}/v={version}", f"{root}/counts/v={version}", f"{root}/{_translations_path(version)}"):
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
     return old
 
@@ -244,7 +267,9 @@ def write_snapshot(rows: DataFrame, root: str, rebalance: bool = True, since: in
     version = 0 if version is None else version + 1
     folder = _new_folder(version)
     _write(rows, f"{root}/{folder}", "errorifexists", rebalance)
+    _write_counts(spark, root, folder)
     if head(spark, root) != since or not put(spark, root, Commit(since + 1, SNAPSHOT, version, folder)):
-        _remove(spark, f"{root}/{folder}")
+        for spent in (folder, f"counts/{folder}"):
+            _remove(spark, f"{root}/{spent}")
         raise ConflictError(f"commits after {since} in {root}")
     return version

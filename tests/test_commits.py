@@ -6,9 +6,17 @@ import pytest
 
 from scriptloom.plans.migration import migrate_all
 from scriptloom.schema import REGISTRY_COLUMNS, REGISTRY_SCHEMA
+from scriptloom.operators.stats import object_type_stats, stmt_type_stats
 from scriptloom.sources import registry as R
 from scriptloom.sources.commits import INSERT, Commit, ConflictError, _rename, commits, head, put
-from scriptloom.sources.registry import add_translations, read_registry, registry_insert, write_snapshot
+from scriptloom.sources.registry import (
+    add_translations,
+    drop_versions,
+    read_inventory,
+    read_registry,
+    registry_insert,
+    write_snapshot,
+)
 
 UPDATES = "sql_file_name string, _stg_sql_file_md5 string, target_sql string, target_object_type string"
 
@@ -152,3 +160,29 @@ def test_inserts_and_translations_follow_a_snapshot(spark, tmp_path, monkeypatch
     monkeypatch.setattr(R, "latest_version", late)
     assert add_translations(one, root) == 2
     assert [r.sql_file_name for r in read_registry(spark, root).where("target_sql = 'text'").collect()] == ["f4"]
+
+
+def test_the_inventory_is_kept_without_reading_rows(spark, tmp_path, plan):
+    root = str(tmp_path / "registry")
+    assert read_inventory(spark, root).count() == 0
+
+    def agrees():
+        kept = read_inventory(spark, root)
+        assert "/counts/" in plan(kept) and "/v=" not in plan(kept).replace("/counts/v=", "")
+        for stats in (object_type_stats, stmt_type_stats):
+            assert stats(kept, "n").collect() == stats(read_registry(spark, root)).collect() != []
+
+    registry_insert(scripts(spark, range(5)), root)
+    agrees()
+    since = head(spark, root)
+    registry_insert(scripts(spark, range(5, 9)), root)
+    registry_insert(scripts(spark, range(7, 12)), root, since)
+    agrees()
+    add_translations(spark.createDataFrame([("f4", "m", "text", "Table")], UPDATES), root)
+    agrees()
+    assert migrate_all(spark, root) == 1
+    registry_insert(scripts(spark, [20]), root)
+    agrees()
+    drop_versions(spark, root, 1)
+    agrees()
+    assert sorted(p.name for p in (tmp_path / "registry" / "counts").iterdir()) == ["v=1"]

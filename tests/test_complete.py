@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.functions.prompts import TEMPLATES, build_prompt
-from scriptloom.operators.complete import complete, read_ledger
+from scriptloom.operators.complete import complete, equal_shares, read_ledger
 
 ASKED = "asked.txt"
 
@@ -104,3 +104,54 @@ def test_prompts_hold_the_script_between_tags(spark, task):
     text = spark.createDataFrame([(body,)], "b string").select(build_prompt(task, F.col("b"))).first()[0]
     assert f"<context>\n{body}\n</context>" in text
     assert len(TEMPLATES) == 10
+
+
+def test_slow_and_flaky_calls_are_answered_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def factory():
+        import random
+        import threading
+        import time
+
+        lock, tries, now = threading.Lock(), {}, [0]
+
+        def answer(prompts):
+            with lock:
+                now[0] += 1
+                busiest = now[0]
+                for p in prompts:
+                    tries[p] = tries.get(p, 0) + 1
+            time.sleep(random.random() / 200)
+            with lock:
+                now[0] -= 1
+            if any(hash(p) % 3 == 0 and tries[p] < 3 for p in prompts):
+                raise TimeoutError("busy")
+            with lock, open(log / "answered", "a") as file:
+                file.writelines(f"{busiest} {p}\n" for p in prompts)
+            return [p.upper() for p in prompts]
+
+        return answer
+
+    frame = spark.createDataFrame([(k, f"prompt{k % 150}") for k in range(300)], "id int, prompt string")
+    options = dict(parallelism=2, batch_size=1, in_flight=4, attempts=4, backoff=0.001)
+    got = complete(frame, factory, str(tmp_path / "l"), **options).collect()
+    assert len(got) == 300 and all(r.response == r.prompt.upper() and r.error is None for r in got)
+    lines = [line.split() for line in (log / "answered").read_text().splitlines()]
+    assert sorted(p for _, p in lines) == sorted(f"prompt{k}" for k in range(150))
+    assert 2 <= max(int(b) for b, _ in lines) <= 4
+
+
+def test_tasks_get_shares_of_equal_cost(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"{rng.getrandbits(64):016x}", "x" * int(rng.paretovariate(1.2) * 20 % 4000)) for _ in range(2000)]
+    prompts = spark.createDataFrame(rows, "prompt_hash string, prompt string")
+    dealt = equal_shares(prompts, 8).withColumn("task", F.spark_partition_id())
+    costs = [r.cost for r in dealt.groupBy("task").agg(F.sum(F.length("prompt") + 200).alias("cost")).collect()]
+    assert len(costs) == 8 and dealt.count() == 2000
+    assert max(costs) < 1.1 * sum(costs) / 8
+    one = equal_shares(prompts.limit(1), 8)
+    assert one.count() == 1 and equal_shares(prompts.limit(0), 3).count() == 0
