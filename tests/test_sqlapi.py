@@ -35,3 +35,33 @@ def test_memo_is_bounded(spark):
     memo.query("select 3")
     assert not first.is_cached
     assert memo.query("select 1") is not first
+
+
+def test_the_same_query_with_other_blanks(spark):
+    memo = SqlMemo(spark)
+    first = memo.query("select id + 1 as n from range(3)")
+    assert memo.query("SELECT  id + 1\n  AS n -- the next\nFROM range(3)") is first
+    assert memo.query("select id + 2 as n from range(3)") is not first
+    assert memo.query("select id + 1 as m from range(3)").columns == ["m"]
+
+
+def test_an_overwritten_table_misses(spark, tmp_path):
+    path = str(tmp_path / "table")
+    text = f"select count(*) as n from parquet.`{path}`"
+    spark.range(3).write.parquet(path)
+    memo = SqlMemo(spark)
+    first = memo.query(text)
+    assert first.first().n == 3 and memo.query(text.replace("select", "SELECT  ")) is first
+    spark.range(5).write.mode("overwrite").parquet(path)
+    second = memo.query(text)
+    assert second.first().n == 5 and not first.is_cached
+    spark.range(2).write.mode("append").parquet(path)
+    assert memo.query(text).first().n == 7
+    assert len(memo._memo) == 1
+
+
+def test_a_command_runs_once(spark):
+    memo = SqlMemo(spark)
+    text = "create temporary view memo_once as select 1 as a"
+    assert memo.query(text) is memo.query(text)
+    spark.sql("drop view memo_once")
