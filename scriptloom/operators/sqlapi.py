@@ -72,7 +72,8 @@ class SqlMemo:
                 result.unpersist()
             # Plan it and read one row, so that most errors show here; then keep what is read.
             frame.limit(1).write.format("noop").mode("overwrite").save()
-            return self._keep(key, files, frame, frame.cache())
+            # Kept under a plan of its own: a query found in the cache shows no files.
+            return self._keep(key, files, frame, frame.select("*").cache())
         except (PySparkException, Py4JJavaError) as error:
             print(f"query failed: {error}")
             return self._empty()
