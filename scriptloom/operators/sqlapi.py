@@ -39,7 +39,16 @@ class SqlMemo:
         """A digest of the files that a query reads, with their lengths and times."""
         jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
         digest = hashlib.sha256()
-        for name in sorted(frame.inputFiles()):
+        # The plan as analysed: one that is found in the cache shows no files.
+        leaves = frame._jdf.queryExecution().analyzed().collectLeaves()
+        names = set()
+        for k in range(leaves.size()):
+            leaf = leaves.apply(k)
+            if leaf.getClass().getSimpleName() == "LogicalRelation":
+                relation = leaf.relation()
+                if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                    names.update(relation.location().inputFiles())
+        for name in sorted(names):
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
             status = path.getFileSystem(conf).getFileStatus(path)
             digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
@@ -60,7 +69,8 @@ class SqlMemo:
             return self._memo[text][2]
         try:
             frame = self._spark.sql(text)
-            if frame._jdf.queryExecution().analyzed().getClass().getSimpleName() == "CommandResult":
+            analysed, run = frame._jdf.queryExecution().analyzed(), frame._jdf.queryExecution().commandExecuted()
+            if "Command" in analysed.getClass().getSimpleName() + run.getClass().getSimpleName():
                 return self._keep(text, "", frame, frame)
             key, files = frame.semanticHash(), self._files(frame)
             if key in self._memo:
@@ -72,8 +82,7 @@ class SqlMemo:
                 result.unpersist()
             # Plan it and read one row, so that most errors show here; then keep what is read.
             frame.limit(1).write.format("noop").mode("overwrite").save()
-            # Kept under a plan of its own: a query found in the cache shows no files.
-            return self._keep(key, files, frame, frame.select("*").cache())
+            return self._keep(key, files, frame, frame.cache())
         except (PySparkException, Py4JJavaError) as error:
             print(f"query failed: {error}")
             return self._empty()
