@@ -207,21 +207,25 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def take_copies(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken.
+    """The documents of the mix with all their columns, whatever their names, each as often
+    as it is taken.
 
     Rows that share id, source and number of words are taken equally often.
     """
     plan = mix(with_sizes(docs), seed).groupBy(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")
+        F.col("doc_id").alias("_plan_id"), F.col("source").alias("_plan_source"), F.col("size").alias("_plan_size")
     ).agg(F.max("copies").cast("int").alias("_copies"))
-    return (
-        docs.withColumn("_size", word_count(F.col("text")))
-        .join(
-            plan.where("_copies > 0"),
-            F.col("doc_id").eqNullSafe(F.col("_d"))
-            & F.col("source").eqNullSafe(F.col("_s"))
-            & (F.col("_size") == F.col("_n")),
-        )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+    # The input goes along as one column, so that no name of it clashes.
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col("doc_id").alias("_id"),
+        F.col("source").alias("_source"),
+        word_count(F.col("text")).alias("_size"),
+    )
+    same = (
+        F.col("_id").eqNullSafe(F.col("_plan_id"))
+        & F.col("_source").eqNullSafe(F.col("_plan_source"))
+        & (F.col("_size") == F.col("_plan_size"))
     )
+    taken = own.join(plan.where("_copies > 0"), same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -142,17 +142,24 @@ def _one_of_repeats(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names.
+
+    A document is told from others of its id by its text's digest and length; of rows that
+    agree in all three one stays.
+    """
     verdict = radix_dedup(docs)
-    keys = {"k1": F.col("doc_id"), "k2": F.col("text_sha256"), "k3": F.col("n_original")}
-    kept = verdict.where("kept").select(*[c.alias(k) for k, c in keys.items()])
-    own = [F.sha2(normalised(F.col("text")), 256), F.char_length(F.coalesce("text", F.lit("")))]
-    left = docs.join(
-        kept,
-        F.col("doc_id").eqNullSafe(F.col("k1")) & (own[0] == F.col("k2")) & (own[1] == F.col("k3")),
-        "left_semi",
+    kept = verdict.where("kept").select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_original").alias("_kept_n")
+    )
+    # The input goes along as one column, so that no name of it clashes.
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col("doc_id").alias("_id"),
+        F.sha2(normalised(F.col("text")), 256).alias("_sha"),
+        F.char_length(F.coalesce("text", F.lit(""))).alias("_n"),
     )
-    repeats = verdict.where("not kept and doc_id <=> keep_id").limit(1)
-    if repeats.isEmpty():
-        return left
-    return left.withColumns({"k2": own[0], "k3": own[1]}).dropDuplicates(["doc_id", "k2", "k3"]).drop("k2", "k3")
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")) & (F.col("_n") == F.col("_kept_n"))
+    left = own.join(kept, same, "left_semi")
+    if not verdict.where("not kept and doc_id <=> keep_id").limit(1).isEmpty():
+        left = left.dropDuplicates(["_id", "_sha", "_n"])
+    return left.select("_doc.*")

@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import folder, spread_left_join, stored
+from scriptloom.llm.words import chunks
 
+#: Schemes that Spark and the writer of archives have different names for.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
@@ -37,7 +40,13 @@ READ_BYTES = 4 << 20
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder that driver and executors share, and the path in it."""
-    return pafs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in _SCHEMES:
+        path = f"{_SCHEMES[scheme]}://{rest}"
+    try:
+        return pafs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives cannot be written below {path}: {error}") from error
 
 
 def url_key(url: Column) -> Column:
@@ -45,10 +54,15 @@ def url_key(url: Column) -> Column:
 
     Scheme, user, port and fragment are dropped and the host is lower-cased.
     """
-    whole = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
+    whole = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)"
     host = F.lower(F.regexp_extract(url, whole, 1))
     return F.coalesce(
-        F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(url, whole, 2)),
+        F.concat(
+            # An address in brackets stays whole.
+            F.when(host.startswith("["), host).otherwise(F.array_join(F.reverse(F.split(host, r"\.")), ",")),
+            F.lit(")"),
+            F.regexp_extract(url, whole, 2),
+        ),
         F.lit(""),
     )
 
@@ -145,7 +159,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> D
         task = TaskContext.get().partitionId()
         stream, name, at = None, "", 0
         try:
-            for batch in batches:
+            # Pages become Python objects a few megabytes at a time.
+            for batch in chunks(batches, "html"):
                 made = []
                 for row in batch.select(["page_id", "url", "html", "sha", "refers_to"]).to_pylist():
                     if stream is None or at >= ARCHIVE_BYTES:

@@ -89,3 +89,16 @@ def test_keys(spark):
     urls = ["http://User@WWW.Example.com:80/a/B?c#d", "https://x.org", "ftp://h", "no scheme/p", None, "//h.i/j"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(W.url_key(F.col("u")).alias("k")).collect()
     assert [r["k"] for r in got] == ["com,example,www)/a/B?c", "org,x)", "h)", "no scheme)/p", "", "i,h)/j"]
+
+
+def test_schemes_and_addresses(spark):
+    with pytest.raises(ValueError, match="cannot be written"):
+        W.opened("nothing://bucket/x")
+    try:
+        kind = W.opened("s3a://bucket/x")[0].type_name
+    except OSError:  # no network to look the bucket up
+        kind = "s3"
+    assert kind == "s3"
+    urls = ["http://[::1]:80/a", "https://u@[2001:db8::2]/b?c#d", "http://a.b:8080/c"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(W.url_key(F.col("u")).alias("k")).collect()
+    assert [r["k"] for r in got] == ["[::1])/a", "[2001:db8::2])/b?c", "b,a)/c"]
