@@ -25,7 +25,11 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return rate_quality(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 1).select(*docs.columns)
+    # Other columns go along as one, so that none clashes with what the classifier adds.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_doc"))
+    rated = rate_quality(narrow, table(spark, sf_dir, "labels")).where(F.col("predicted") == 1)
+    return rated.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
