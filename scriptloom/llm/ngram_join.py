@@ -7,8 +7,10 @@ Which pairs are counted follows from the same order: two sets of the wanted simi
 an n-gram among the first quarter of both. Documents with equal sets are one. Where few
 documents share such an n-gram all their pairs are candidates. Where many do, each is paired
 with one of them first; links found so join most of them into classes, and only pairs across
-classes are left, which are then candidates too. So no link is lost, and a large group of
-near copies never becomes all of its pairs. Before an n-gram that many documents of a task
+classes are left, which are then candidates too, unless a sketch of both sets shows that they
+differ in too much: a bit for each share of the n-grams, set when the set has an odd number
+of them, differs for at most as many shares as there are n-grams in one set only. So no link
+is lost, and a large group of near copies never becomes all of its pairs. Before an n-gram that many documents of a task
 share is shuffled, it is cut down to one row of that task.
 """
 
@@ -45,7 +47,10 @@ LEVELS_PER_FRAGMENT = 3
 _POS = 32767
 _FLAG = 1 << 15
 _ENTRY = np.dtype([("token", "<u4"), ("row", "<i8"), ("code", "<u2"), ("pos", "<u2")])
-_OUT = "kind int, a long, b long, c long, d long, doc_id {id}, blob binary"
+#: Bits of the sketch of a set, and the numbers that hold them.
+SKETCH_BITS = 1024
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+_OUT = "kind int, a long, b long, c long, d long, doc_id {id}, blob binary, sketch array<long>"
 
 
 def _set_digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -55,6 +60,24 @@ def _set_digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.array(one).view(np.int64)), int(np.array(two).view(np.int64))
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each share of the n-grams, whether the set has an odd number of them, as bits."""
+    share = ((tokens >> np.uint64(32)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(share, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _differ() -> Column:
+    """The number of bits in which the sketches of a and b differ."""
+    return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+
+
+def _too_different(percent: int) -> Column:
+    """True when the sketches of a and b differ in more bits than similar sets of their sizes can."""
+    both = F.col("n_a") + F.col("n_b")
+    return _differ() > both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
+
+
 def frequent_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
     """For each slot the binary logarithm of its most frequent n-gram's count, or 0, and all n-grams.
 
@@ -151,8 +174,8 @@ def _split(entries: np.ndarray, keys: np.ndarray):
 def _frame(kind: int, n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
     """A batch of the mixed output; columns that are not given are null."""
     made = {"kind": pa.array(np.full(n, kind, np.int32)), **columns}
-    types = {"kind": pa.int32(), "doc_id": id_type, "blob": pa.binary()}
-    names = ["kind", "a", "b", "c", "d", "doc_id", "blob"]
+    types = {"kind": pa.int32(), "doc_id": id_type, "blob": pa.binary(), "sketch": pa.list_(pa.int64())}
+    names = ["kind", "a", "b", "c", "d", "doc_id", "blob", "sketch"]
     arrays = [made[x] if x in made else pa.nulls(n, types.get(x, pa.int64())) for x in names]
     return pa.RecordBatch.from_arrays(arrays, names)
 
@@ -214,13 +237,14 @@ def _index(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percen
         id_type = pa.int64()
         for batch in chunks(batches, "text"):
             id_type = batch.column("doc_id").type
-            rows, ones, twos, sizes = [], [], [], []
+            rows, ones, twos, sizes, sketches = [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), words):
                 n = len(tokens)
                 row = task + number
                 number += 1
                 one, two = _set_digest(tokens) if n else (0, 0)
                 rows.append(row), ones.append(one), twos.append(two), sizes.append(n)
+                sketches.append(_sketch(tokens))
                 if not n or (one, two) in seen:
                     continue
                 seen.add((one, two))
@@ -237,6 +261,7 @@ def _index(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percen
             yield _frame(
                 0, len(rows), id_type, a=pa.array(rows, pa.int64()), b=pa.array(ones, pa.int64()),
                 c=pa.array(twos, pa.int64()), d=pa.array(sizes, pa.int64()), doc_id=batch.column("doc_id"),
+                sketch=pa.array(sketches, pa.list_(pa.int64())),
             )
             if size >= WINDOW:
                 yield from flush(keys, parts, id_type)
@@ -384,7 +409,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = max(1, -(-(total * (100 - percent) // 100) // BUCKET_ENTRIES))
     made, made_path = stored(_index(docs, levels, buckets, words, percent), "ngram-index")
     rows = made.where("kind = 0").select(
-        F.col("a").alias("row"), F.col("b").alias("one"), F.col("c").alias("two"), F.col("d").alias("n"), "doc_id"
+        F.col("a").alias("row"), F.col("b").alias("one"), F.col("c").alias("two"), F.col("d").alias("n"), "doc_id",
+        *[F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)],
     )
     rows, rows_path = stored(rows, "ngram-rows")
     met, met_path = stored(_meet(made.where("kind = 1"), percent), "ngram-met")
@@ -420,20 +446,48 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     placed, placed_path = stored(placed, "ngram-placed")
     mixed_tokens = placed.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
-    open_, open_path = stored(placed.join(mixed_tokens.select("token").hint("merge"), "token", "left_semi"), "ngram-open")
-    mine = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("row", "class", "code", "pos")])
-    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("row", "class", "code", "pos")])
+    # Few rows of few n-grams are left, and only they carry the sketches of their sets.
+    open_ = placed.join(mixed_tokens.select("token").hint("merge"), "token", "left_semi")
+    open_, open_path = stored(open_.join(sets.select("row", "n", *SKETCH), "row"), "ngram-open")
+    known = ["row", "class", "code", "pos", "n", *SKETCH]
+    mine = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in known])
+    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in known])
     fits: Column = _passes(F.col("code_a"), F.col("pos_a"), F.col("code_b"), F.col("pos_b"), percent)
-    across = mine.join(other, (mine["token"] == other["token"]) & (F.col("class_a") < F.col("class_b")) & fits).select(
-        F.col("row_a").alias("a"), F.col("row_b").alias("b")
+    fits = fits & ~_too_different(percent)
+    across = (
+        mine.join(other, (mine["token"] == other["token"]) & (F.col("class_a") < F.col("class_b")) & fits)
+        .select(
+            F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b"),
+            F.col("class_a").alias("x"), F.col("class_b").alias("y"), _differ().alias("differ"),
+        )
+        .distinct()
     )
-    second, second_path = stored(tidy(across).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    if second.isEmpty():
-        joined = classes
-    else:
-        more, _ = _links(docs, second, sets, levels, words, percent)
-        spans = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        joined, _ = stored(components(spans.unionByName(more)), "ngram-classes")
+    second, second_path = stored(across.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    joined, found = classes, [classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    # The likeliest pair of two classes first; then all pairs of those that are still apart.
+    likeliest = second.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b")
+    likeliest, likeliest_path = stored(likeliest, "ngram-pairs")
+    tried: list[str] = []
+    for number in range(2):
+        if number == 0:
+            pairs = likeliest
+        else:
+            of = sized(stored(joined, "ngram-classes")[0])
+            x, y = (of.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "y"))
+            rest = second.join(likeliest, ["a", "b"], "left_anti").join(x, "x", "left").join(y, "y", "left")
+            apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
+            pairs, path = stored(rest.where(apart).select("a", "b"), "ngram-pairs")
+            tried.append(path)
+        if pairs.isEmpty():
+            break
+        more, _ = _links(docs, pairs, sets, levels, words, percent)
+        found.append(more)
+        every = found[0]
+        for links in found[1:]:
+            every = every.unionByName(links)
+        joined, _ = stored(components(every), "ngram-classes")
+    for spent in (likeliest_path, *tried):
+        remove(spark, spent)
     for spent in (first_path, shared_path, placed_path, open_path, second_path):
         remove(spark, spent)
 
@@ -456,4 +510,4 @@ def near_duplicates_left(docs: DataFrame, words: int = WORDS, percent: int = PER
     firsts = classes.where("doc_id = component_id").select("doc_id").distinct()
     others = classes.where("doc_id <> component_id").select("doc_id").join(firsts, "doc_id", "left_anti").distinct()
     gone, _ = stored(others, "ngram-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

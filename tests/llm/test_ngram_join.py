@@ -95,3 +95,30 @@ def test_filter_never_drops_a_similar_pair(n):
         code = lambda k: float(np.floor(64 * np.log2(k)))
         for a, p, b, q in ((n, i, m, j), (m, j, n, i)):
             assert J._passes(code(a), p * J._POS // a, code(b), q * J._POS // b, 75)
+
+
+def test_a_large_group_of_mixed_distances(docs, prose):
+    """Three hundred near copies, of which many are too far from each other."""
+    rng = np.random.default_rng(11)
+    text = prose(2, 90)
+    rows = [(i, edited(text, rng, i % 9)) for i in range(300)]
+    rows += [(400 + i, edited(rows[i * 7][1], rng, 3)) for i in range(40)]
+    check(docs, rows)
+
+
+def test_sketches_never_drop_a_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (1, 4, 40, 700, 5000):
+        for _ in range(20):
+            one = rng.integers(0, 2**63, n, dtype=np.uint64)
+            kept = one[: rng.integers(0, n + 1)]
+            two = np.concatenate([kept, rng.integers(0, 2**63, rng.integers(1, n // 2 + 2), dtype=np.uint64)])
+            one, two = np.unique(one), np.unique(two)
+            same = len(np.intersect1d(one, two))
+            near = 100 * same >= 75 * (len(one) + len(two) - same)
+            rows.append((bool(near), len(one), len(two), *J._sketch(one).tolist(), *J._sketch(two).tolist()))
+    names = ["near", "n_a", "n_b", *[f"{c}_a" for c in J.SKETCH], *[f"{c}_b" for c in J.SKETCH]]
+    got = spark.createDataFrame(rows, names).select("near", "n_a", J._too_different(75).alias("far")).collect()
+    assert not any(r.near and r.far for r in got) and any(r.near for r in got)
+    assert sum(r.far for r in got if not r.near and 4 < r.n_a < 5000) > 10

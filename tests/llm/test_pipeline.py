@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as P
 from scriptloom.llm import components as C
+from scriptloom.llm.common import stored
 from scriptloom.llm.components import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,6 +42,35 @@ def test_stages_take_effect(spark, tmp_path, prose):
     assert set(left[4]) == set(left[3])
 
 
+CLASHING = [
+    "k1", "k2", "k3", "_d", "_s", "_n", "_size", "_copies", "_copy", "score", "held_out", "predicted", "label", "size",
+    "_doc", "_id", "_sha", "_source", "row", "class", "part", "rank", "keep_id", "kept", "target", "token", "a.b",
+]
+
+
+def test_edge_cases_and_clashing_names_go_through_all_stages(spark, tmp_path, prose):
+    rows = [(i, prose(i, 40), f"s{i % 3}") for i in range(60)]
+    rows += [(100, None, None), (101, "", "s0"), (102, " \t\n", None), (103, prose(7, 20_000), "s1"), (None, prose(8, 30), "s2")]
+    rows += [rows[3], rows[3], (104, rows[4][1], "s0"), (200, "bad$$$ " * 40, "s2"), (201, "bad$$$ " * 50, "s2")]
+    corpus(spark, tmp_path, prose, rows)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = plain.selectExpr("*", *[f"concat('{c} ', doc_id) as `{c}`" for c in CLASHING])
+    for k, (_, stage) in enumerate(P.STAGES):
+        before = stage(spark, plain, str(tmp_path))
+        if k < len(P.STAGES) - 1:
+            found = stage(spark, docs, str(tmp_path))
+            assert found.columns == docs.columns
+            for c in CLASHING:
+                assert found.where(f"doc_id is not null and `{c}` <> concat('{c} ', doc_id)").isEmpty()
+            narrow = found.select(*plain.columns)
+            assert sorted(map(str, narrow.collect())) == sorted(map(str, before.collect()))
+            docs, plain = stored(found, "edge")[0], stored(before, "edge")[0]
+        else:
+            assert {r["doc_id"] for r in before.collect()} == {r["doc_id"] for r in plain.collect()}
+    assert not {200, 201, 104} & {r["doc_id"] for r in plain.collect()}
+    assert {103, None} <= {r["doc_id"] for r in plain.collect()}
+
+
 def test_run_on_an_empty_table(spark, tmp_path, prose):
     corpus(spark, tmp_path, prose, [])
     assert P.run(spark, str(tmp_path)).collect() == []
