@@ -66,7 +66,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # The executors of local-cluster[...] are processes of their own.
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = _local_folder()
     return f"{base.rstrip('/')}/scriptloom/{label}-{uuid.uuid4().hex}"
