@@ -9,8 +9,9 @@ documents share such an n-gram all their pairs are candidates. Where many do, ea
 with one of them first; links found so join most of them into classes, and only pairs across
 classes are left, which are then candidates too, unless a sketch of both sets shows that they
 differ in too much: a bit for each share of the n-grams, set when the set has an odd number
-of them, differs for at most as many shares as there are n-grams in one set only. So no link
-is lost, and a large group of near copies never becomes all of its pairs. Before an n-gram that many documents of a task
+of them, differs for at most as many shares as there are n-grams in one set only. The sets of a pair
+are sent and counted only if longer sketches, which grow with the set, do not rule it out
+either. So no link is lost, and a large group of near copies never becomes all of its pairs. Before an n-gram that many documents of a task
 share is shuffled, it is cut down to one row of that task.
 """
 
@@ -60,13 +61,36 @@ def _set_digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.array(one).view(np.int64)), int(np.array(two).view(np.int64))
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """For each share of the n-grams, whether the set has an odd number of them, as bits."""
-    share = ((tokens >> np.uint64(32)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(share, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    """For each share of the n-grams, whether the set has an odd number of them, as bits.
+
+    There are at least two shares for each n-gram, so that sets of any size can be told apart.
+    """
+    bits = max(SKETCH_BITS, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+    share = ((tokens >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(share, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def _folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """The marks as those of fewer shares: a share is odd when one of the two it holds is."""
+    while len(marks) > words:
+        marks = marks[: len(marks) // 2] ^ marks[len(marks) // 2 :]
+    return marks
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """The marks of a set, folded to SKETCH_BITS."""
+    return _folded(_marks(tokens), SKETCH_BITS // 64)
+
+
+def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """False when the marks of two sets differ in more bits than similar sets of their sizes can."""
+    words = min(len(a), len(b))
+    shared = -(-(n_a + n_b) * percent // (100 + percent))
+    return int(np.bitwise_count((_folded(a, words) ^ _folded(b, words)).view(np.uint64)).sum()) <= n_a + n_b - 2 * shared
+
+
 def _differ() -> Column:
     """The number of bits in which the sketches of a and b differ."""
     return sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
@@ -237,14 +261,16 @@ def _index(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percen
         id_type = pa.int64()
         for batch in chunks(batches, "text"):
             id_type = batch.column("doc_id").type
-            rows, ones, twos, sizes, sketches = [], [], [], [], []
+            rows, ones, twos, sizes, sketches, marks = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column("text"), words):
                 n = len(tokens)
                 row = task + number
                 number += 1
                 one, two = _set_digest(tokens) if n else (0, 0)
                 rows.append(row), ones.append(one), twos.append(two), sizes.append(n)
-                sketches.append(_sketch(tokens))
+                marks.append(_marks(tokens))
+                sketches.append(_folded(marks[-1], SKETCH_BITS // 64))
+                marks[-1] = marks[-1].tobytes()
                 if not n or (one, two) in seen:
                     continue
                 seen.add((one, two))
@@ -261,7 +287,7 @@ def _index(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percen
             yield _frame(
                 0, len(rows), id_type, a=pa.array(rows, pa.int64()), b=pa.array(ones, pa.int64()),
                 c=pa.array(twos, pa.int64()), d=pa.array(sizes, pa.int64()), doc_id=batch.column("doc_id"),
-                sketch=pa.array(sketches, pa.list_(pa.int64())),
+                blob=pa.array(marks, pa.binary()), sketch=pa.array(sketches, pa.list_(pa.int64())),
             )
             if size >= WINDOW:
                 yield from flush(keys, parts, id_type)
@@ -340,11 +366,43 @@ def _fragments(docs: DataFrame, needed: DataFrame, levels: np.ndarray, words: in
     return texts.mapInArrow(cut, "row long, fragment int, tokens binary")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that the marks of their sets do not tell apart.
+
+    The marks of a set take a 32nd of its n-grams, so that those of most false candidates are
+    never sent.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            marks = zip(batch.column("marks_a"), batch.column("marks_b"))
+            keep = [
+                _may_link(n, m, np.frombuffer(x.as_buffer(), "<i8"), np.frombuffer(y.as_buffer(), "<i8"), percent)
+                for (n, m), (x, y) in zip(sizes, marks)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    spark = pairs.sparkSession
+    ends, ends_path = stored(_ends(pairs), "ngram-ends")
+    known, known_path = stored(sets.join(sized(ends), "row", "left_semi").select("row", "n", "marks"), "ngram-marks")
+    a, b = (known.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"marks_{c}")) for c in "ab")
+    likely = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(check, "a long, b long")
+    likely, path = stored(likely, "ngram-likely")
+    for spent in (ends_path, known_path):
+        remove(spark, spent)
+    return likely, path
+
+
 def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent: int) -> tuple[DataFrame, str]:
     """The pairs (a, b) whose overlaps, counted by fragment and summed, are large enough."""
-    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    pairs, likely_path = _likely(pairs, sets, percent)
     needed, needed_path = stored(
-        sets.join(ends, "row", "left_semi").select("row", "doc_id", "one", "two"), "ngram-needed"
+        sets.join(_ends(pairs), "row", "left_semi").select("row", "doc_id", "one", "two"), "ngram-needed"
     )
     parts, parts_path = stored(_fragments(docs, needed, levels, words), "ngram-fragments")
     sweep(docs.sparkSession)
@@ -383,7 +441,7 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
         .select("a", "b")
     )
     links, path = stored(checked, "ngram-links")
-    for spent in (parts_path, needed_path, firsts_path):
+    for spent in (parts_path, needed_path, firsts_path, likely_path):
         remove(docs.sparkSession, spent)
     sweep(docs.sparkSession)
     return links, path
@@ -410,7 +468,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     made, made_path = stored(_index(docs, levels, buckets, words, percent), "ngram-index")
     rows = made.where("kind = 0").select(
         F.col("a").alias("row"), F.col("b").alias("one"), F.col("c").alias("two"), F.col("d").alias("n"), "doc_id",
-        *[F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)],
+        F.col("blob").alias("marks"), *[F.col("sketch")[k].alias(c) for k, c in enumerate(SKETCH)],
     )
     rows, rows_path = stored(rows, "ngram-rows")
     met, met_path = stored(_meet(made.where("kind = 1"), percent), "ngram-met")

@@ -122,3 +122,29 @@ def test_sketches_never_drop_a_similar_pair(spark):
     got = spark.createDataFrame(rows, names).select("near", "n_a", J._too_different(75).alias("far")).collect()
     assert not any(r.near and r.far for r in got) and any(r.near for r in got)
     assert sum(r.far for r in got if not r.near and 4 < r.n_a < 5000) > 10
+
+
+def test_marks_never_drop_a_similar_pair():
+    """Whatever the sizes, and they do tell most others apart, long sets included."""
+    rng = np.random.default_rng(13)
+    far = told = 0
+    for n in (0, 1, 4, 40, 700, 5000, 60_000):
+        for _ in range(20):
+            one = rng.integers(0, 2**63, n, dtype=np.uint64)
+            kept = one[: rng.integers(0, n + 1)]
+            two = np.concatenate([kept, rng.integers(0, 2**63, rng.integers(1, n // 2 + 2), dtype=np.uint64)])
+            one, two = np.unique(one), np.unique(two)
+            same = len(np.intersect1d(one, two))
+            passed = J._may_link(len(one), len(two), J._marks(one), J._marks(two), 75)
+            if 100 * same >= 75 * (len(one) + len(two) - same):
+                assert passed
+            elif 2 * same < len(one) + len(two) - same and n > 4:
+                far, told = far + 1, told + (not passed)
+    assert far > 20 and told >= 0.9 * far
+
+
+def test_marks_at_the_very_limit():
+    """Three of four n-grams shared is a link; one fewer is none, though marks may let it pass."""
+    tokens = np.random.default_rng(14).integers(0, 2**63, 400, dtype=np.uint64)
+    assert J._may_link(300, 400, J._marks(tokens[:300]), J._marks(tokens), 75)
+    assert J._may_link(350, 350, J._marks(tokens[:350]), J._marks(tokens[50:]), 75)
