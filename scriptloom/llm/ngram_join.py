@@ -475,7 +475,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     local = made.where("kind > 1").select("kind", "a", "b", "c", "d")
     found = met.unionByName(local)
     same, same_path = stored(_least_rows(rows.where("n > 0")), "ngram-same")
-    sets = rows.join(same.where("row = rep").select("row"), "row", "left_semi")
+    # Pairs and early n-grams are those of the least row of each set from here on.
+    sets = rows
 
     def by_set(frame: DataFrame, column: str) -> DataFrame:
         to = same.select(F.col("row").alias("_r"), F.col("rep").alias("_rep"))
