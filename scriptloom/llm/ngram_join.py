@@ -6,8 +6,8 @@ overlap of a pair of documents is counted fragment by fragment and summed per pa
 Which pairs are counted follows from the same order: two sets of the wanted similarity share
 an n-gram among the first quarter of both. Documents with equal sets are one. Where few
 documents share such an n-gram all their pairs are candidates. Where many do, each is paired
-with one of them first; links found so join most of them into classes, and only pairs across
-classes are left, which are then candidates too, unless a sketch of both sets shows that they
+with one of them first, then with a few more; links found so join most of them into classes, and
+only pairs across classes are left, which are then candidates too, unless a sketch of both sets shows that they
 differ in too much: a bit for each share of the n-grams, set when the set has an odd number
 of them, differs for at most as many shares as there are n-grams in one set only. The sets of a pair
 are sent and counted only if longer sketches, which grow with the set, do not rule it out
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import remove, sized, stored, sweep
+from scriptloom.llm.common import remove, sized, spread_left_join, stored, sweep
 from scriptloom.llm.components import components
 from scriptloom.llm.words import chunks, mixed, shingle_sets
 
@@ -43,6 +43,8 @@ WINDOW = 2_000_000
 BUCKET_ENTRIES = 1 << 19
 #: Ranges that the rare n-grams, and at most those that the frequent ones, are cut into.
 RARE_FRAGMENTS = 4
+#: Documents of each shared early n-gram that the others are compared with before all pairs across classes are.
+PIVOTS = 4
 LEVELS_PER_FRAGMENT = 3
 
 _POS = 32767
@@ -447,6 +449,32 @@ def _links(docs, pairs: DataFrame, sets: DataFrame, levels, words: int, percent:
     return links, path
 
 
+def _around(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows of each n-gram with PIVOTS rows of it, where their classes differ.
+
+    The pivots are those with the least hashes, so that rows which share many n-grams meet the
+    same ones and make few pairs. There are at most PIVOTS pairs for each row of an n-gram.
+    """
+    pivot = [
+        F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("h"), "row", "class", "code", "pos")).alias(f"p{k}")
+        for k in range(PIVOTS)
+    ]
+    pivots, _ = stored(
+        placed.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y"), *pivot)
+        .where("x < y")
+        .select("token", "n", F.array_distinct(F.array(*[F.col(f"p{k}").dropFields("h") for k in range(PIVOTS)])).alias("pivots")),
+        "ngram-pivots",
+    )
+    met = spread_left_join(placed, pivots, ["token"], ["row"]).where("pivots is not null").withColumn("p", F.explode("pivots"))
+    fits = _passes(F.col("code"), F.col("pos"), F.col("p.code"), F.col("p.pos"), percent)
+    return (
+        met.where((F.col("class") != F.col("p.class")) & fits)
+        .select(F.greatest("row", "p.row").alias("a"), F.least("row", "p.row").alias("b"))
+        .distinct()
+    )
+
+
 def _least_rows(rows: DataFrame) -> DataFrame:
     """(row, rep): each row with the least row that has the same set."""
     keys = ["one", "two", "n"]
@@ -499,11 +527,25 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links, _ = _links(docs, first, sets, levels, words, percent)
     classes, classes_path = stored(components(links), "ngram-classes")
 
+    def place(classes: DataFrame) -> tuple[DataFrame, str]:
+        of = classes.withColumnsRenamed({"node": "row", "root": "class"})
+        return stored(shared.join(of, "row", "left").withColumn("class", F.coalesce("class", "row")), "ngram-placed")
+
+    # A few documents of each n-gram join most classes that have it, with pairs in proportion to its rows.
+    placed, placed_path = place(classes)
+    tried = first
+    around, around_path = stored(_around(placed, percent).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    if not around.isEmpty():
+        more, _ = _links(docs, around, sets, levels, words, percent)
+        known_links = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        remove(spark, placed_path)
+        joined, joined_path = stored(components(known_links.unionByName(more)), "ngram-classes")
+        remove(spark, classes_path)
+        classes, classes_path = joined, joined_path
+        placed, placed_path = place(classes)
+        tried = first.unionByName(around)
+
     # What many documents share is left to do only across classes.
-    placed = shared.join(classes.withColumnsRenamed({"node": "row", "root": "class"}), "row", "left").withColumn(
-        "class", F.coalesce("class", "row")
-    )
-    placed, placed_path = stored(placed, "ngram-placed")
     mixed_tokens = placed.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
     # Few rows of few n-grams are left, and only they carry the sketches of their sets.
     open_ = placed.join(mixed_tokens.select("token").hint("merge"), "token", "left_semi")
@@ -521,12 +563,12 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         )
         .distinct()
     )
-    second, second_path = stored(across.join(first, ["a", "b"], "left_anti"), "ngram-pairs")
+    second, second_path = stored(across.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     joined, found = classes, [classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
     # The likeliest pair of two classes first; then all pairs of those that are still apart.
     likeliest = second.groupBy("x", "y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b")
     likeliest, likeliest_path = stored(likeliest, "ngram-pairs")
-    tried: list[str] = []
+    rest_paths: list[str] = []
     for number in range(2):
         if number == 0:
             pairs = likeliest
@@ -536,7 +578,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             rest = second.join(likeliest, ["a", "b"], "left_anti").join(x, "x", "left").join(y, "y", "left")
             apart = F.coalesce("root_x", "x") != F.coalesce("root_y", "y")
             pairs, path = stored(rest.where(apart).select("a", "b"), "ngram-pairs")
-            tried.append(path)
+            rest_paths.append(path)
         if pairs.isEmpty():
             break
         more, _ = _links(docs, pairs, sets, levels, words, percent)
@@ -545,7 +587,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         for links in found[1:]:
             every = every.unionByName(links)
         joined, _ = stored(components(every), "ngram-classes")
-    for spent in (likeliest_path, *tried):
+    for spent in (likeliest_path, around_path, *rest_paths):
         remove(spark, spent)
     for spent in (first_path, shared_path, placed_path, open_path, second_path):
         remove(spark, spent)
