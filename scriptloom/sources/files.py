@@ -58,6 +58,15 @@ def _split(path: str) -> tuple[str, pafs.FileSystem, str]:
     return f"{scheme}://{authority}", system, inside[len(authority) :]
 
 
+def can_open(path: str) -> bool:
+    """Whether the file system of a path is one that tasks can read, and the path is in it."""
+    try:
+        _, system, inside = _split(path)
+        return system.get_file_info(inside).type != pafs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
 def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
 

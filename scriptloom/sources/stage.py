@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions.text import base_name
 from scriptloom.schema import BATCH_LIMIT, PREVIEW_LIMIT, SCRIPT_PATTERN
-from scriptloom.sources.files import list_files, read_files
+from scriptloom.session import work_dir
+from scriptloom.sources.files import LISTING, can_open, list_files, read_files
 
 SCAN_COLUMNS = ["path", "load_ts", "md5", "sql_body"]
 
@@ -56,9 +57,47 @@ def scan_scripts(
 
     The glob prunes while listing, the pattern decides on the whole path. With a
     limit the first paths in order are found from the listing alone, and only
-    those files are opened.
+    those files are opened. The stage is listed and read in tasks. Roots that only Spark's own
+    readers can open are listed by those, on the driver.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
+    found = _found_roots(spark, roots)
+    if found is None:
+        return _scan_on_driver(spark, roots, pattern, glob, limit)
+    listing = list_scripts(spark, found, pattern, glob)
+    if len(found) > 1:
+        # Roots may lie in one another.
+        listing = listing.dropDuplicates(["path"])
+    if limit is not None:
+        listing = _first(listing, "path", limit)
+    # The listing is wanted twice, for the number of tasks and by them.
+    kept = work_dir(spark, "listing")
+    listing.write.parquet(kept)
+    return read_scripts(spark.read.schema(LISTING).parquet(kept)).select(*SCAN_COLUMNS)
+
+
+def _found_roots(spark: SparkSession, roots: list[str]) -> list[str] | None:
+    """Whole paths of the roots, wildcards resolved; None if one is not there or tasks cannot open it."""
+    found = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        matches = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = [m.getPath().toString() for m in matches or []]
+        if not names or not all(map(can_open, names)):
+            return None
+        found += names
+    return found
+
+
+def _first(files: DataFrame, order: str, limit: int) -> DataFrame:
+    # Each task hands the driver its first rows, however few it holds: tasks are bounded.
+    few = files.coalesce(files.sparkSession.sparkContext.defaultParallelism)
+    return few.orderBy(order).limit(limit)
+
+
+def _scan_on_driver(
+    spark: SparkSession, roots: list[str], pattern: str, glob: str, limit: int | None
+) -> DataFrame:
     if limit is not None:
         roots = _first_paths(spark, roots, pattern, glob, limit)
         if not roots:
@@ -90,7 +129,7 @@ def _first_paths(
         .where(matches_pattern(_plain_path(), pattern))
         .select(F.col("path").alias("uri"), _plain_path().alias("plain"))
     )
-    return [_escape_glob(r.uri) for r in listing.orderBy("plain").limit(limit).collect()]
+    return [_escape_glob(r.uri) for r in _first(listing, "plain", limit).collect()]
 
 
 def _escape_glob(path: str) -> str:
@@ -119,7 +158,7 @@ def read_scripts(files: DataFrame, opened: Accumulator | None = None) -> DataFra
 def scan_in_tasks(
     spark: SparkSession, roots: str | Sequence[str], pattern: str = SCRIPT_PATTERN, glob: str = "*.sql"
 ) -> DataFrame:
-    """As `scan_scripts` without a limit, for stages whose paths the driver should not hold."""
+    """As `scan_scripts` without a limit, whose listing is read anew by each run of the frame."""
     return read_scripts(list_scripts(spark, roots, pattern, glob)).select(*SCAN_COLUMNS)
 
 
