@@ -43,6 +43,10 @@ case id % 4
 
 LOAD_TS = "2024-05-01 00:00:00"
 
+#: Keys that a task turns into scripts. A key is a few bytes in a file but much text work later
+#: on, so that tasks cut by the bytes of the file would be few.
+KEYS_PER_TASK = 20_000
+
 
 def corpus_sql(variant: str, part: str = "part", with_id: bool = False) -> str:
     """Query with columns k, path, load_ts, md5, sql_body, and the script's number if asked for."""
@@ -68,6 +72,12 @@ from (select k, id, {noted} as sql_body
 """
 
 
+def corpus_tasks(spark: SparkSession, keys: int) -> int:
+    """Tasks for the scripts of so many keys."""
+    return max(spark.sparkContext.defaultParallelism, -(-keys // KEYS_PER_TASK))
+
+
 def corpus(spark: SparkSession, sf_dir: str, variant: str = "plain") -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    part = part.repartition(corpus_tasks(spark, part.count()))
     return spark.sql(corpus_sql(variant, "{part}"), part=part)
