@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -25,6 +27,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LISTING = "path string, modified_ms long, length long"
 #: The driver goes down the folders until it has found so many.
 FOLDERS = 1024
+#: Files of a local folder that a task looks at, and the most tasks that share one.
+FOLDER_FILES = 50_000
+SLICES = 256
 ROWS = 10_000
 #: Bytes of contents that a task opens, and hands on at once.
 TASK_BYTES = 128 << 20
@@ -77,12 +82,28 @@ def _entries(system: pafs.FileSystem, folder: str) -> Iterator[pafs.FileInfo]:
             yield info
 
 
+def _contents(system: pafs.FileSystem, folder: str) -> tuple[list[str], int]:
+    """The folders in a folder, and the tasks that share its files. Of local files only the names are read."""
+    if not isinstance(system, pafs.LocalFileSystem):
+        return [e.path for e in _entries(system, folder) if e.type == pafs.FileType.Directory], 1
+    below, files = [], 0
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if not entry.is_dir():
+                files += 1
+            elif not _hidden(entry.name):
+                below.append(entry.path)
+    return below, max(1, min(SLICES, -(-files // FOLDER_FILES)))
+
+
 @dataclass
 class Folder(InputPartition):
-    """A folder to list: all that lies below, or only its own files."""
+    """A folder to list: all that lies below, or only its own files, or of those a slice by name."""
 
     path: str
     deep: bool
+    slice: int = 0
+    slices: int = 1
 
 
 class StageReader(DataSourceReader):
@@ -100,16 +121,17 @@ class StageReader(DataSourceReader):
                 raise FileNotFoundError(root)
             level.append(lead + path.rstrip("/"))
         while level and len(level) + len(shallow) < self.folders:
-            below = []
+            below, own = [], []
             for folder in level:
                 lead, system, path = _split(folder)
+                slices = 1
                 if system.get_file_info(path).type == pafs.FileType.Directory:
-                    below += [lead + e.path for e in _entries(system, path) if e.type == pafs.FileType.Directory]
-            if not below:
-                break
-            shallow += level
+                    found, slices = _contents(system, path)
+                    below += [lead + e for e in found]
+                own += [Folder(folder, False, k, slices) for k in range(slices)]
+            shallow += own
             level = below
-        return [Folder(p, False) for p in shallow] + [Folder(p, True) for p in level]
+        return shallow + [Folder(p, True) for p in level]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         lead, system, start = _split(partition.path)
@@ -117,6 +139,9 @@ class StageReader(DataSourceReader):
         todo = [start]
         while todo:
             folder = todo.pop()
+            if isinstance(system, pafs.LocalFileSystem) and os.path.isdir(folder):
+                yield from self._local_rows(lead, folder, partition, todo)
+                continue
             info = system.get_file_info(folder)
             for entry in [info] if info.is_file else _entries(system, folder):
                 if entry.type == pafs.FileType.Directory and partition.deep:
@@ -129,6 +154,29 @@ class StageReader(DataSourceReader):
                     rows = []
         yield _rows(rows)
 
+    def _local_rows(self, lead: str, folder: str, partition: Folder, todo: list[str]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if partition.slices > 1 and zlib.crc32(os.fsencode(entry.name)) % partition.slices != partition.slice:
+                    continue
+                if _hidden(entry.name):
+                    continue
+                if entry.is_dir():
+                    if partition.deep:
+                        todo.append(entry.path)
+                elif fnmatch.fnmatchcase(entry.name, self.glob) and entry.is_file():
+                    try:
+                        info = entry.stat()
+                    except FileNotFoundError:
+                        continue  # removed while it was listed
+                    if info.st_size:
+                        rows.append((lead + entry.path, info.st_mtime_ns // 1_000_000, info.st_size))
+                if len(rows) >= ROWS:
+                    yield _rows(rows)
+                    rows = []
+        yield _rows(rows)
+
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     path, modified, length = zip(*rows) if rows else ((), (), ())

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptloom.sources import files as files_source
 from scriptloom.sources import stage as stage_source
+from scriptloom.sources.files import StageReader
 from scriptloom.sources.stage import batch_scripts, preview_scripts, scan_scripts
 
 NAMES = [f"{folder}/{k}-MS-SQL-Server-Script.sql" for folder in ("a", "b", "b/c") for k in range(3)]
@@ -62,3 +64,17 @@ def test_the_driver_lists_what_tasks_cannot_open(spark, stage, monkeypatch):
     assert sorted(n.removeprefix(f"file:{stage}/") for n in plain) == sorted(NAMES)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan_scripts(spark, str(stage / "nowhere"))
+
+
+def test_tasks_share_the_files_of_a_folder(stage, monkeypatch):
+    monkeypatch.setattr(files_source, "FOLDER_FILES", 1)
+    reader = StageReader({"roots": f'["{stage}"]', "glob": "*.sql"})
+    found = [[r["path"] for b in reader.read(p) for r in b.to_pylist()] for p in reader.partitions()]
+    assert len(found) > 4
+    assert sorted(n.removeprefix(f"file:{stage}/") for part in found for n in part) == sorted(NAMES)
+
+
+def test_the_driver_reads_no_file_but_its_name(stage, monkeypatch):
+    monkeypatch.setattr(files_source, "_entries", None)
+    reader = StageReader({"roots": f'["{stage}"]', "glob": "*.sql"})
+    assert sorted(p.path.removeprefix("file:") for p in reader.partitions()) == [str(stage / n).rstrip("/") for n in ("", "a", "b", "b/c")]
