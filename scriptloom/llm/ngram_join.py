@@ -6,7 +6,8 @@ overlap of a pair of documents is counted fragment by fragment and summed per pa
 Which pairs are counted follows from the same order: two sets of the wanted similarity share
 an n-gram among the first quarter of both. Documents with equal sets are one. Where few
 documents share such an n-gram all their pairs are candidates. Where many do, each is paired
-with one of them first, then with a few more; links found so join most of them into classes, and
+with one of them first, then with a few more, then with the one of some hundred that is likeliest
+by its sketch; links found so join most of them into classes, and
 only pairs across classes are left, which are then candidates too, unless a sketch of both sets shows that they
 differ in too much: a bit for each share of the n-grams, set when the set has an odd number
 of them, differs for at most as many shares as there are n-grams in one set only. The sets of a pair
@@ -45,6 +46,8 @@ BUCKET_ENTRIES = 1 << 19
 RARE_FRAGMENTS = 4
 #: Documents of each shared early n-gram that the others are compared with before all pairs across classes are.
 PIVOTS = 4
+#: Documents among which the likeliest partner of another class is looked for, about and at most twice that.
+GROUP = 512
 LEVELS_PER_FRAGMENT = 3
 
 _POS = 32767
@@ -475,6 +478,44 @@ def _around(placed: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _nearest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each row with the likeliest row of another class, by their sketches, of about GROUP rows.
+
+    A row is looked up in one n-gram only, of those across classes the one of most rows, whose
+    rows are dealt out by a hash. There is at most one pair for each row.
+    """
+
+    def likeliest(group: pa.Table) -> pa.Table:
+        group = group.sort_by("row")
+        row, of, n = (group.column(c).to_numpy() for c in ("row", "class", "n"))
+        marks = np.stack([group.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
+        pairs = []
+        for k in range(len(row)):
+            both = n + n[k]
+            most = both - 2 * -(-both * percent // (100 + percent))
+            differ = np.bitwise_count(marks ^ marks[k]).sum(1, dtype=np.int64)
+            fits = np.flatnonzero((of != of[k]) & (differ <= most))
+            if len(fits):
+                near = fits[np.argmin(differ[fits] / both[fits])]
+                pairs.append((max(row[k], row[near]), min(row[k], row[near])))
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    mixed, _ = stored(
+        placed.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y"))
+        .where("x < y")
+        .select("token", "n"),
+        "ngram-mixed",
+    )
+    own = spread_left_join(placed, mixed, ["token"], ["row"]).where("n is not null")
+    own = own.groupBy("row", "class").agg(F.max(F.struct("n", "token")).alias("t"))
+    dealt = F.pmod(F.xxhash64("row"), F.ceil(F.col("t.n") / GROUP)).alias("part")
+    own = own.select("row", "class", F.col("t.token").alias("token"), dealt)
+    own = own.join(sets.select("row", "n", *SKETCH), "row")
+    return own.groupBy("token", "part").applyInArrow(likeliest, "a long, b long").distinct()
+
+
 def _least_rows(rows: DataFrame) -> DataFrame:
     """(row, rep): each row with the least row that has the same set."""
     keys = ["one", "two", "n"]
@@ -531,19 +572,23 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         of = classes.withColumnsRenamed({"node": "row", "root": "class"})
         return stored(shared.join(of, "row", "left").withColumn("class", F.coalesce("class", "row")), "ngram-placed")
 
-    # A few documents of each n-gram join most classes that have it, with pairs in proportion to its rows.
+    # A few documents of each n-gram, then the likeliest of some hundred, join most classes that
+    # have it, with pairs in proportion to its rows.
     placed, placed_path = place(classes)
-    tried = first
-    around, around_path = stored(_around(placed, percent).join(first, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not around.isEmpty():
-        more, _ = _links(docs, around, sets, levels, words, percent)
+    tried, tried_paths = first, []
+    for near in (lambda: _around(placed, percent), lambda: _nearest(placed, sets, percent)):
+        fresh, path = stored(near().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried_paths.append(path)
+        if fresh.isEmpty():
+            continue
+        more, _ = _links(docs, fresh, sets, levels, words, percent)
         known_links = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         remove(spark, placed_path)
         joined, joined_path = stored(components(known_links.unionByName(more)), "ngram-classes")
         remove(spark, classes_path)
         classes, classes_path = joined, joined_path
         placed, placed_path = place(classes)
-        tried = first.unionByName(around)
+        tried = tried.unionByName(fresh)
 
     # What many documents share is left to do only across classes.
     mixed_tokens = placed.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
@@ -587,7 +632,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         for links in found[1:]:
             every = every.unionByName(links)
         joined, _ = stored(components(every), "ngram-classes")
-    for spent in (likeliest_path, around_path, *rest_paths):
+    for spent in (likeliest_path, *tried_paths, *rest_paths):
         remove(spark, spent)
     for spent in (first_path, shared_path, placed_path, open_path, second_path):
         remove(spark, spent)

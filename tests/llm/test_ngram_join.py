@@ -148,3 +148,38 @@ def test_marks_at_the_very_limit():
     tokens = np.random.default_rng(14).integers(0, 2**63, 400, dtype=np.uint64)
     assert J._may_link(300, 400, J._marks(tokens[:300]), J._marks(tokens), 75)
     assert J._may_link(350, 350, J._marks(tokens[:350]), J._marks(tokens[50:]), 75)
+
+
+def test_candidates_do_not_grow_with_the_square_of_a_group(docs, prose, monkeypatch):
+    """A large class, and rows that link with a tenth of it, so that a few pivots miss them."""
+    rng = np.random.default_rng(15)
+    text = prose(2, 90)
+    rows = [(i, edited(text, rng, 1)) for i in range(400)] + [(400 + i, edited(text, rng, 2)) for i in range(200)]
+    made, stored = [], J.stored
+
+    def counted(frame, label):
+        out = stored(frame, label)
+        if label == "ngram-pairs":
+            made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(J, "stored", counted)
+    check(docs, rows)
+    assert sum(made) < 10 * len(rows), made
+
+
+def test_the_likeliest_of_another_class_is_met_once_a_row(spark, monkeypatch):
+    """One pair for each row at most, also where a group is dealt out in parts."""
+    monkeypatch.setattr(J, "GROUP", 16)
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.95], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(100)]
+    known = spark.createDataFrame(
+        [(i, len(s), *J._sketch(s).tolist()) for i, s in enumerate(sets)], ["row", "n", *J.SKETCH]
+    )
+    placed = spark.createDataFrame(
+        [(t, i, i if i < 50 else 50, 0, 0) for i in range(100) for t in (7, 8 + i % 2)], ["token", "row", "class", "code", "pos"]
+    )
+    pairs = [tuple(r) for r in J._nearest(placed, known, 75).collect()]
+    assert 30 < len(pairs) <= 100 and len(set(pairs)) == len(pairs)
+    assert all(a > b and min(a, 50) != min(b, 50) for a, b in pairs)
