@@ -119,7 +119,9 @@ def frequent_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
         held, size, total = [], 0, 0
 
         def flush():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            joined = np.concatenate(held)
+            held.clear()
+            tokens, n = np.unique(joined, return_counts=True)
             often = n >= 2
             return pa.RecordBatch.from_arrays(
                 [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"]
@@ -234,8 +236,11 @@ def _index(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percen
     id_field = docs.schema["doc_id"].dataType
 
     def flush(keys, parts, id_type):
+        # What is gathered is not kept beside what is made of it.
         token = np.concatenate(keys)
+        keys.clear()
         entries = np.concatenate(parts)
+        parts.clear()
         # From here on an n-gram is its bucket and its lower half, as it is where buckets meet.
         bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         token = (bucket << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on together inside a task.
 CHUNK_BYTES = 4 << 20
+#: Bytes whose spans are hashed together: eight bytes a byte, several times over.
+BLOCK_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, bool)
@@ -92,10 +94,10 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     i = 0
     while i < len(starts):
         low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK_BYTES, "right")))
         high = int(ends[j - 1])
         span = high - low
-        up, down = _powers(max(CHUNK_BYTES, 1 << (span - 1).bit_length()) + 1)
+        up, down = _powers(max(BLOCK_BYTES, 1 << (span - 1).bit_length()) + 1)
         sums = np.empty(span + 1, np.uint64)
         sums[0] = 0
         np.cumsum(numbers[raw[low:high]] * up[:span], out=sums[1:])

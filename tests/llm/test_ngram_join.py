@@ -183,3 +183,19 @@ def test_the_likeliest_of_another_class_is_met_once_a_row(spark, monkeypatch):
     pairs = [tuple(r) for r in J._nearest(placed, known, 75).collect()]
     assert 30 < len(pairs) <= 100 and len(set(pairs)) == len(pairs)
     assert all(a > b and min(a, 50) != min(b, 50) for a, b in pairs)
+
+
+def test_span_hashes_take_little_memory_and_do_not_depend_on_blocks(monkeypatch):
+    import tracemalloc
+
+    from scriptloom.llm import words as W
+
+    raw = np.frombuffer(b"some words of a text \xc3\xa9 " * 160_000, np.uint8)
+    starts, ends, _ = W.word_spans(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    got = W.span_hashes(raw, starts, ends, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    monkeypatch.setattr(W, "BLOCK_BYTES", 1 << 12)
+    assert np.array_equal(got, W.span_hashes(raw, starts, ends, True))
