@@ -113,9 +113,10 @@ def _translated(rows: DataFrame, kinds: list[str], kind: Column, compat: bool) -
         | rules.several_statements(F.col("__code"))
         | _case(kind, {name: review for name, (_, review) in found.items()})
     )
+    # Filters on the text are common.
+    rows = once(rows, new_sql=_case(kind, {name: sql for name, (sql, _) in found.items()}).cast("string"))
     return rows.withColumns(
         {
-            "new_sql": _case(kind, {name: sql for name, (sql, _) in found.items()}).cast("string"),
             "new_type": _case(kind, {name: F.lit(names[name]) for name in kinds}).cast("string"),
             "needs_review": F.coalesce(review, F.lit(True)),
         }

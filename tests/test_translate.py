@@ -1,6 +1,7 @@
 import pytest
 
 from scriptloom.operators.translate import (
+    TRANSLATORS,
     copy_statements,
     translate_constraint,
     translate_function,
@@ -187,3 +188,13 @@ def test_triggers(scripts, values):
 )
 def test_compatible_target_kinds(scripts, values, translate, kind):
     assert values(translate(scripts("x"), compat=True), "target_object_type") == [kind]
+
+
+@pytest.mark.parametrize("kind", list(TRANSLATORS))
+def test_a_filter_on_the_text_does_not_translate_again(spark, kind):
+    schema = "sql_file_name string, _stg_sql_file_md5 string, sql_body string"
+    work = spark.createDataFrame([("a", "b", "CREATE VIEW dbo.v AS SELECT a FROM dbo.t")], schema)
+    rows = TRANSLATORS[kind](work).where("target_sql is not null").select("target_sql")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("__" in line for line in filters), filters
