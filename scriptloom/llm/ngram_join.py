@@ -89,10 +89,17 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return _folded(_marks(tokens), SKETCH_BITS // 64)
 
 
+def _least_shared(both, percent: int):
+    """How many n-grams similar sets share at least, when they have so many together. Works on numpy arrays too."""
+    return -(-both * percent // (100 + percent))
+
+
 def _may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """False when the marks of two sets differ in more bits than similar sets of their sizes can."""
+    """False when no similar sets have these sizes, or when their marks differ in more bits than those of such sets can."""
     words = min(len(a), len(b))
-    shared = -(-(n_a + n_b) * percent // (100 + percent))
+    shared = _least_shared(n_a + n_b, percent)
+    if min(n_a, n_b) < shared:
+        return False  # before the marks, as those of a small set tell nothing about a large one
     return int(np.bitwise_count((_folded(a, words) ^ _folded(b, words)).view(np.uint64)).sum()) <= n_a + n_b - 2 * shared
 
 
@@ -102,9 +109,19 @@ def _differ() -> Column:
 
 
 def _too_different(percent: int) -> Column:
-    """True when the sketches of a and b differ in more bits than similar sets of their sizes can."""
+    """True when no similar sets have the sizes of a and b, or when their sketches differ in more bits than those of such sets can."""
     both = F.col("n_a") + F.col("n_b")
-    return _differ() > both - 2 * F.ceil(both * percent / (100 + percent) - 1e-9)
+    shared = F.ceil(both * percent / (100 + percent) - 1e-9)
+    return (F.least("n_a", "n_b") < shared) | (_differ() > both - 2 * shared)
+
+
+def _usual(differ: np.ndarray) -> np.ndarray:
+    """The most bits in which the sketches of sets that differ in so many n-grams do differ, but for one pair in some hundred.
+
+    Many n-grams that differ fall on the same bit, so that it is no longer one bit for each.
+    """
+    share = (1 - np.exp(-2 * differ / SKETCH_BITS)) / 2
+    return SKETCH_BITS * share + 3 * np.sqrt(SKETCH_BITS * share * (1 - share))
 
 
 def frequent_levels(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
@@ -487,7 +504,8 @@ def _nearest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each row with the likeliest row of another class, by their sketches, of about GROUP rows.
 
     A row is looked up in one n-gram only, of those across classes the one of most rows, whose
-    rows are dealt out by a hash. There is at most one pair for each row.
+    rows are dealt out by a hash. There is at most one pair for each row, of sets whose sizes and
+    sketches speak for a link; other pairs of two classes are left to the join across them.
     """
 
     def likeliest(group: pa.Table) -> pa.Table:
@@ -497,9 +515,11 @@ def _nearest(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = []
         for k in range(len(row)):
             both = n + n[k]
-            most = both - 2 * -(-both * percent // (100 + percent))
+            shared = _least_shared(both, percent)
+            most = both - 2 * shared
             differ = np.bitwise_count(marks ^ marks[k]).sum(1, dtype=np.int64)
-            fits = np.flatnonzero((of != of[k]) & (differ <= most))
+            fits = (of != of[k]) & (np.minimum(n, n[k]) >= shared)
+            fits = np.flatnonzero(fits & (differ <= np.minimum(most, _usual(most))))
             if len(fits):
                 near = fits[np.argmin(differ[fits] / both[fits])]
                 pairs.append((max(row[k], row[near]), min(row[k], row[near])))

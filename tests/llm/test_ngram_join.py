@@ -199,3 +199,32 @@ def test_span_hashes_take_little_memory_and_do_not_depend_on_blocks(monkeypatch)
     assert peak < 64 << 20
     monkeypatch.setattr(W, "BLOCK_BYTES", 1 << 12)
     assert np.array_equal(got, W.span_hashes(raw, starts, ends, True))
+
+
+def test_sets_of_unlike_sizes_are_no_candidates(spark):
+    """However many of its bits a large set fills, it shares too little with a small one."""
+    rng = np.random.default_rng(18)
+    small, large = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (300, 7000))
+    assert not J._may_link(300, 7000, J._marks(small), J._marks(large), 75)
+    assert J._may_link(75, 100, J._marks(large[:75]), J._marks(large[:100]), 75)
+    assert not J._may_link(74, 100, J._marks(large[:74]), J._marks(large[:100]), 75)
+    rows = [(len(a), len(b), *J._sketch(a).tolist(), *J._sketch(b).tolist()) for a, b in (
+        (small, large), (large[:75], large[:100]), (large[:74], large[:100]), (large[:5250], large),
+    )]
+    names = ["n_a", "n_b", *[f"{c}_a" for c in J.SKETCH], *[f"{c}_b" for c in J.SKETCH]]
+    got = spark.createDataFrame(rows, names).select(J._too_different(75).alias("far")).collect()
+    assert [r.far for r in got] == [True, False, True, False]
+
+
+def test_a_large_set_is_not_the_likeliest_of_all_others(spark):
+    """Sixty unrelated sets and the near copies of ten of them share an n-gram with a few very large ones."""
+    rng = np.random.default_rng(19)
+    sizes = [200] * 60 + [7000] * 4
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in sizes]
+    sets += [np.concatenate([s[:190], rng.integers(0, 2**63, 10, dtype=np.uint64)]) for s in sets[:10]]
+    known = spark.createDataFrame([(i, len(s), *J._sketch(s).tolist()) for i, s in enumerate(sets)], ["row", "n", *J.SKETCH])
+    placed = spark.createDataFrame([(7, i, i, 0, 0) for i in range(len(sets))], ["token", "row", "class", "code", "pos"])
+    pairs = {tuple(r) for r in J._nearest(placed, known, 75).collect()}
+    assert {(64 + i, i) for i in range(10)} <= pairs
+    assert all(min(sizes[a] if a < 64 else 200, sizes[b]) * 4 >= 3 * max(sizes[a] if a < 64 else 200, sizes[b]) for a, b in pairs)
+    assert len(pairs) <= 10 + 4
